@@ -35,6 +35,11 @@ def cap_levels(nodes: DataFrame, most: int = MAX_LEVELS) -> DataFrame:
     return nodes.where(F.col("lvl") < most)
 
 
+def deepest(nodes: DataFrame) -> int:
+    """The largest level, at most MAX_LEVELS - 1: how many steps walks up or down need."""
+    return min(MAX_LEVELS - 1, nodes.agg(F.coalesce(F.max("lvl"), F.lit(0))).first()[0])
+
+
 def parents_of(ranges: DataFrame, nodes: DataFrame, key: list[str], inserted_before: bool = False) -> DataFrame:
     """Each range's parent: of the nodes one level up that contain it, that with the smallest start, then the last inserted. parent null: none."""
     p = nodes.select("doc", (F.col("lvl") + 1).alias("lvl"), F.col("st").alias("pst"), F.col("en").alias("pen"), F.col("idx").alias("pidx"))
@@ -54,18 +59,18 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     up = parents(nodes).select("doc", "idx", "parent")
     step = up.where("parent is not null").select("doc", "idx", F.col("parent").alias("anc_idx"))
     out, hop = step, up.select("doc", F.col("idx").alias("anc_idx"), F.col("parent").alias("next"))
-    for _ in range(MAX_LEVELS - 2):
+    for _ in range(deepest(nodes) - 1):
         step = step.join(hop, ["doc", "anc_idx"]).where("next is not null").select("doc", "idx", F.col("next").alias("anc_idx"))
         out = out.unionByName(step)
     return out.join(nodes.select("doc", F.col("idx").alias("anc_idx"), F.col("lvl").alias("anc_lvl")), ["doc", "anc_idx"])
 
 
-def paths(nodes: DataFrame, depth: int = MAX_LEVELS) -> DataFrame:
+def paths(nodes: DataFrame) -> DataFrame:
     """(doc, idx, path): captions from the root to the node, ``->`` between, ``$`` removed. Walks down level by level."""
     own = parents(nodes).select("doc", "idx", "lvl", "parent", F.replace(F.coalesce("caption", F.lit("")), F.lit("$"), F.lit("")).alias("cap"))
     done = own.where("parent is null").select("doc", "idx", F.col("cap").alias("path"))
     out, left = done, own.where("parent is not null")
-    for _ in range(depth - 1):
+    for _ in range(deepest(nodes)):
         done = left.join(done.select("doc", F.col("idx").alias("parent"), F.col("path").alias("above")), ["doc", "parent"]).select("doc", "idx", F.concat("above", F.lit("->"), "cap").alias("path"))
         out = out.unionByName(done)
     return out
