@@ -39,7 +39,8 @@ class Pieces:
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = sp.unk_id()
         self.fallback = sp.is_byte(self.bytes[0])
-        self.across = any(re.search("[^▁]▁", p) for p in self.id)
+        # texts are cut before blanks if the model puts one in front and no piece has one behind another symbol
+        self.cuts = sp.normalize("a")[:1] == "▁" and not any(re.search("[^▁]▁", p) for p in self.id)
         self.cut = re.compile("▁+[^▁]*")
         self.sep = next(c for c in "\n\t\0\x01" if not any(c in p for p in self.id))  # merges with nothing
         self.between = self.sp.encode(self.sep + self.sep)[len(self.sp.encode(self.sep)) :]
@@ -100,13 +101,12 @@ class Pieces:
     def segments(self, text: str) -> list[str]:
         """What the text is cut into, each without the blank that leads it."""
         norm = self.sp.normalize(text) if text else ""
-        if not norm or self.across or norm[0] != "▁":
-            return [norm[1:] if norm[0] == "▁" else "\0" + norm] if norm else []
+        if not norm or not self.cuts:
+            return [norm] if norm else []
         return norm.split("▁")[1:] if "▁▁" not in norm else [s[1:] for s in self.cut.findall(norm)]
 
-    @staticmethod
-    def whole(segment: str) -> str:
-        return segment[1:] if segment[:1] == "\0" else "▁" + segment
+    def whole(self, segment: str) -> str:
+        return "▁" + segment if self.cuts else segment
 
     def learn(self, wanted: set[str]) -> None:
         """Merge segments not seen before and check them against the library."""
