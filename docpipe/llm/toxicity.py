@@ -20,8 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS, MAX_FIT, EPOCHS = 20, 12_000, 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 0.1
+BITS, MAX_FIT, EPOCHS = 20, 12_000, 10
+#: L1 exceeds EPOCHS, so no feature of a single document can gather a weight.
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
 #: Every byte that ends a word becomes a blank; A-Z become a-z.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
