@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS, MAX_FIT, EPOCHS = 20, 12_000, 10
+BITS, MAX_FIT, EPOCHS = 20, 5_000, 10
 #: L1 exceeds EPOCHS, so no feature of a single document can gather a weight.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
 #: Every byte that ends a word becomes a blank; A-Z become a-z.
@@ -81,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[flo
 
     def train(p: pd.DataFrame) -> pd.DataFrame:
         p = p.assign(n=[len(f) for f in p["f"]], s=[int(np.sum(f)) for f in p["f"]]).sort_values(["at", "n", "s"])
-        rows = [(np.asarray(f, np.int64), int(y)) for f, y in zip(p["f"], p["toxic"], strict=True)]
+        rows = list(zip(p["f"], p["toxic"].tolist(), strict=True))
         bias, idx, w = ftrl(rows)
         return pd.DataFrame({"idx": np.append(idx, -1), "w": np.append(w, bias)})
 
