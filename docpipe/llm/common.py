@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SMALL = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,6 +47,25 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(f):
+    """f(docs, ...) runs with Arrow batches of SMALL rows: a batch may hold whole texts, some of them very long, and its worker holds it all.
+
+    Holds for what f runs itself (tables it stages), not for what runs after it returned.
+    """
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **kwargs):
+        conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        conf.set(key, str(SMALL))
+        try:
+            return f(docs, *args, **kwargs)
+        finally:
+            conf.set(key, before)
+
+    return run
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
