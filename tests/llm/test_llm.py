@@ -56,8 +56,9 @@ def near_texts(seed, family, n):
     return out
 
 
-@pytest.mark.parametrize("n,pct", [(3, 90), (5, 80)])
-def test_jaccard(spark, n, pct):
+@pytest.mark.parametrize("n,pct,block", [(3, 90, 1024), (5, 80, 1024), (5, 80, 16)])
+def test_jaccard(spark, monkeypatch, n, pct, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     texts = [*near_texts(1, 12, 9), *near_texts(2, 1, 180), *ODD]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, texts), n, pct).collect()}
     sets = []
@@ -68,6 +69,13 @@ def test_jaccard(spark, n, pct):
     assert got == {i: (len(sets[i]), c) for i, c in groups(pairs, range(len(sets))).items()}
 
 
+def test_shared_between():
+    rng = random.Random(4)
+    sets = [np.unique(np.array([rng.randrange(9000) for _ in range(rng.randrange(2000))], np.int64)) for _ in range(30)]
+    for cut in (0, 1, 11, 30):
+        assert jaccard._shared_between(sets[:cut], sets[cut:]).tolist() == [[len(np.intersect1d(x, y)) for y in sets[cut:]] for x in sets[:cut]]
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(docs(spark, []).where("false")).count() == 0
 
