@@ -135,7 +135,7 @@ def _prefixes(docs: DataFrame, n: int, pct: int, frequent: np.ndarray | None) ->
                 one.append(int(m.sum(dtype=U).astype(np.int64))), two.append(int(np.bitwise_xor.reduce(_mix(m)).astype(np.int64)) if len(s) else 0)
                 if len(often) and len(s):
                     s = np.sort(s + _HALF * (often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s))
-                pre.append(s[: lead(len(s), pct)] if len(s) >= 100 // (100 - pct) else s[:0])  # smaller sets link only with equal ones
+                pre.append(s[: lead(len(s), pct)] if len(s) * (100 - pct) >= pct else s[:0])  # smaller sets link only with equal ones: s of s + 1 is too little
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": size, "f1": one, "f2": two, "pre": pre})
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, pre array<long>")

@@ -69,6 +69,21 @@ def test_jaccard(spark, monkeypatch, n, pct, block):
     assert got == {i: (len(sets[i]), c) for i, c in groups(pairs, range(len(sets))).items()}
 
 
+@pytest.mark.parametrize("n,pct", [(3, 90), (5, 80)])
+def test_jaccard_short(spark, n, pct):
+    """The smallest sets that link with a larger one: the same words and one more at either end."""
+    least_n, rng, texts = -(-pct // (100 - pct)), random.Random(6), []
+    for size in range(least_n - 2, least_n + 8):
+        for k in range(4):
+            w = [f"{'common' if k == 3 else f's{size}k{k}'}x{j}" for j in range(size + n - 1)]
+            texts += [" ".join(w), " ".join([*w, f"e{rng.randrange(10**6)}"]), " ".join([f"b{rng.randrange(10**6)}", *w])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, texts), n, pct).collect()}
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in map(str.split, texts)]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= pct * len(sets[i] | sets[j])]
+    assert got == {i: (len(sets[i]), c) for i, c in groups(pairs, range(len(sets))).items()}
+    assert got[3 * 4 * 2][1] == got[3 * 4 * 2 + 1][1] and got[3 * 4][1] != got[3 * 4 + 1][1]
+
+
 def test_shared_between():
     rng = random.Random(4)
     sets = [np.unique(np.array([rng.randrange(9000) for _ in range(rng.randrange(2000))], np.int64)) for _ in range(30)]
