@@ -6,6 +6,11 @@ vectors goes to both sides. Trees are fitted on at most ``SAMPLE`` vectors (smal
 leaf's own number and quantiles that Spark computes, for as long as they shrink; a leaf that does not is compared in blocks, so no
 leaf is one large group. Inside a leaf all cosines are computed in double precision. Equal vectors are collapsed first.
 
+Splits would cut groups of near copies larger than a leaf, so these are taken out first, from the table and from each leaf before it is
+split: a hashed probe gives pivots that link with at least a ``DENSE``-th of it (``CUT``: no fitted node with such a pivot is split). Rows
+that link with a pivot are the core of a canopy, and rows within twice that angle its rim: whatever links with a core row is in the
+canopy. A canopy is compared in blocks, core with core and core with rim, and only rows that are in no core go on. No link is lost there.
+
 A pair is counted in the first leaf that holds both (vectors carry their leaves), so no pair is ever emitted; a leaf sends
 one row per vector: its counted links and the smallest vector it is connected with there. These give components.
 
@@ -25,15 +30,41 @@ from .common import components, staged
 from .jaccard import _shared_counts
 
 TREES, SPILL, SAMPLE, SAMPLE_LEAF, LEAF, ROUNDS = 14, 0.06, 8192, 24, 768, 48
+#: Rows of a probe of the table and of a leaf; the share of a probe that a pivot links with, there and in a leaf or node.
+PROBE, LEAF_PROBE, DENSE, CUT = 2048, 256, 64, 8
+
+
+def pivots(x: np.ndarray, least: float, share: int) -> np.ndarray:
+    """Rows of a probe that link with a ``share``-th of it or more, each counted without what links with those before it."""
+    linked, out = x @ x.T >= least, []
+    while True:
+        many = linked.sum(1)
+        if not len(x) or many.max() < max(4, len(x) / share):
+            return x[out]
+        out.append(int(many.argmax()))
+        gone = linked[out[-1]].copy()
+        linked[gone] = False
+        linked[:, gone] = False
 
 
-def fit_tree(x: np.ndarray, depth: int, seed: int) -> list[tuple[np.ndarray, float, float] | None]:
+def canopies(x: np.ndarray, p: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pivot, core) of all canopies, and which rows are in no core; a row is in the core of one canopy at most."""
+    cos = x @ p.T
+    near = cos >= least
+    first = np.where(near.any(1), near.argmax(1), -1)
+    row, k = np.nonzero(near | (cos >= (2 * least * least - 1 - 1e-9 if least > 0 else -2)))
+    used = np.isin(k, first)
+    row, k = row[used], k[used]
+    return row, k, first[row] == k, first < 0
+
+
+def fit_tree(x: np.ndarray, depth: int, seed: int, least: float) -> list[tuple[np.ndarray, float, float] | None]:
     """Nodes in heap order: direction and the two thresholds between which vectors go both ways; None: leaf."""
     rng, nodes, held = np.random.default_rng(seed), [None] * (1 << depth), {1: np.arange(len(x))}
     for i in range(1, 1 << depth):
         d = rng.standard_normal(x.shape[1])
         at = held.pop(i, None)
-        if at is None or len(at) < 2 * SAMPLE_LEAF:
+        if at is None or len(at) < 2 * SAMPLE_LEAF or len(pivots(x[at[:LEAF_PROBE]], least, CUT)):
             continue
         v = x[at] @ d
         lo, hi = np.quantile(v, [0.5 - SPILL, 0.5 + SPILL])
@@ -63,31 +94,67 @@ def _unit(col) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _split(rows: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(vec_id, leaf) one level further down for the given leaves."""
+def _split(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, leaf) one level further down for rows (vec_id, leaf, count, embedding), and the canopies (vec_id, leaf, core) taken out."""
+
+    def probe(p: pd.DataFrame) -> pd.DataFrame:
+        found = pivots(_unit(p["embedding"]), least, CUT)
+        return pd.DataFrame({"leaf": np.full(len(found), p["leaf"].iloc[0]), "k": np.arange(len(found)), "p": pd.Series(list(found), dtype=object)})
 
     def project(batches):
         for b in batches:
-            x, v = _unit(b["embedding"]), np.zeros(len(b))
+            x = _unit(b["embedding"])
             for leaf, at in b.groupby("leaf").indices.items():
-                v[at] = x[at] @ np.random.default_rng(int(leaf) & ((1 << 63) - 1)).standard_normal(x.shape[1])
-            yield pd.DataFrame({"vec_id": b["vec_id"], "leaf": b["leaf"], "v": v})
+                ids, rest = b["vec_id"].to_numpy()[at], np.ones(len(at), bool)
+                some = b["p"].iloc[at[0]]
+                if some is not None:
+                    row, k, core, rest = canopies(x[at], np.stack([np.asarray(q["p"]) for q in some]), least)
+                    yield pd.DataFrame({"vec_id": ids[row], "leaf": leaf, "k": k.astype(np.int32), "core": core, "v": 0.0})
+                v = x[at] @ np.random.default_rng(int(leaf) & ((1 << 63) - 1)).standard_normal(x.shape[1])
+                yield pd.DataFrame({"vec_id": ids[rest], "leaf": leaf, "k": np.int32(-1), "core": True, "v": v[rest]})
 
-    flat = rows.select("vec_id", "leaf", "embedding").mapInPandas(project, "vec_id long, leaf long, v double")
+    seen = rows.where(F.pmod(F.xxhash64("vec_id", "leaf"), F.col("count")) < LEAF_PROBE).select("leaf", "embedding")
+    found = seen.groupBy("leaf").applyInPandas(probe, "leaf long, k long, p array<double>")
+    found = staged(found.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("p")), "pivots")
+    flat = rows.join(found, "leaf", "left").select("vec_id", "leaf", "embedding", "p").mapInPandas(project, "vec_id long, leaf long, k int, core boolean, v double")
     flat = staged(flat, "projected")
+    out = flat.where("k >= 0").select("vec_id", F.xxhash64("leaf", F.lit(-1) - F.col("k")).alias("leaf"), "core")
+    flat = flat.where("k < 0")
     cut = flat.groupBy("leaf").agg(F.percentile_approx("v", F.array(F.lit(0.5 - SPILL), F.lit(0.5 + SPILL)), F.lit(2000)).alias("q"))
     both = flat.join(cut, "leaf").select("vec_id", "leaf", F.explode(F.filter(F.array(F.when(F.col("v") <= F.col("q")[1], 0), F.when(F.col("v") >= F.col("q")[0], 1)), lambda s: s.isNotNull())).alias("s"))
-    return both.select("vec_id", F.xxhash64("leaf", "s").alias("leaf"))
+    return both.select("vec_id", F.xxhash64("leaf", "s").alias("leaf")), out
+
+
+def _sample(vectors: DataFrame, most: int) -> np.ndarray:
+    few = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("embedding").toPandas()
+    return _unit(few["embedding"]) if len(few) else np.zeros((0, 1))
+
+
+def leaves_of(vectors: DataFrame, least: float) -> DataFrame:
+    """(vec_id, leaf, core): staged; a leaf number tells tree and node, or the canopy."""
+    spark, kind = vectors.sparkSession, "vec_id long, leaf long, core boolean"
+    x, out = _sample(vectors, SAMPLE), None
+    dense = pivots(x[:PROBE], least, DENSE)
+    if len(dense):
+        told = spark.sparkContext.broadcast(dense)
 
+        def take(batches):
+            for b in batches:
+                ids = b["vec_id"].to_numpy()
+                row, k, core, rest = canopies(_unit(b["embedding"]), told.value, least)
+                yield pd.DataFrame({"vec_id": ids[row], "leaf": k - (1 << 40), "core": core})
+                yield pd.DataFrame({"vec_id": ids[rest], "leaf": 0, "core": True})
 
-def leaves_of(vectors: DataFrame) -> DataFrame:
-    """(vec_id, leaf): staged; a leaf number tells tree and node."""
-    few = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()
-    x = _unit(few["embedding"])
+        every = staged(vectors.select("vec_id", "embedding").mapInPandas(take, kind), "canopies")
+        out = every.where("leaf < 0")
+        vectors = staged(vectors.join(every.where("leaf = 0").select("vec_id"), "vec_id", "left_semi"), "vectors")
+        x = _sample(vectors, SAMPLE)
+        if not len(x):
+            return out
     depth = max(1, int(np.ceil(np.log(max(1, len(x) / SAMPLE_LEAF)) / np.log(1 / (0.5 + SPILL)))))
     n = vectors.count()
     depth = min(depth, max(1, int(np.ceil(np.log(max(1.0, n / (LEAF / 2))) / np.log(1 / (0.5 + SPILL))))))
-    sent = vectors.sparkSession.sparkContext.broadcast([fit_tree(x, depth, t) for t in range(TREES)])
+    sent = spark.sparkContext.broadcast([fit_tree(x, depth, t, least) for t in range(TREES)])
 
     def run(batches):
         for b in batches:
@@ -98,7 +165,7 @@ def leaves_of(vectors: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"vec_id": ids[r], "leaf": leaf.astype(np.int64) + (t << 40)})
 
     held = staged(vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, leaf long"), "leaves")
-    done, before = None, None
+    whole, before, parts = F.lit(True).alias("core"), None, [] if out is None else [out]
     for _ in range(ROUNDS):
         sizes = held.groupBy("leaf").count()
         big = sizes.where(F.col("count") > LEAF)
@@ -106,23 +173,32 @@ def leaves_of(vectors: DataFrame) -> DataFrame:
         if now is None or before is not None and now > 0.95 * before:
             break
         before = now
-        big = staged(big.select("leaf"), "bigleaves")
-        small = held.join(big, "leaf", "left_anti").select("vec_id", "leaf")
-        done = small if done is None else done.unionByName(small)
-        held = staged(_split(held.join(big, "leaf").join(vectors.select("vec_id", "embedding"), "vec_id"), big), "leaves")
-    return held if done is None else staged(done.unionByName(held), "leaves")
+        big = staged(big, "bigleaves")
+        parts.append(held.join(big, "leaf", "left_anti").select("vec_id", "leaf", whole))
+        down, taken = _split(held.join(big, "leaf").join(vectors.select("vec_id", "embedding"), "vec_id"), least)
+        parts.append(taken)
+        held = staged(down, "leaves")
+    done = held.select("vec_id", "leaf", whole)
+    for part in parts:
+        done = done.unionByName(part)
+    return staged(done, "leaves")
 
 
 def forest_links(vectors: DataFrame, least: float) -> DataFrame:
     """(vec_id, links, root) rows from leaves: links counted there, and the smallest connected vec_id there. vectors: distinct
     vectors (vec_id, embedding, copies)."""
-    leaves = leaves_of(vectors)
-    sizes = leaves.groupBy("leaf").count().where("count > 1")
-    mine = leaves.groupBy("vec_id").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # a few per tree
+    leaves = leaves_of(vectors, least)
+    sizes = leaves.groupBy("leaf").agg(F.count("*").alias("count"), F.count_if("core").alias("cores")).where("count > 1")
+    sizes = sizes.select("leaf", F.ceil(F.col("cores") / (2 * LEAF)).alias("nc"), F.ceil((F.col("count") - F.col("cores")) / (2 * LEAF)).alias("nr"))
+    # a few per tree; two rows of a rim only are not compared in that leaf
+    mine = leaves.groupBy("vec_id").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"), F.sort_array(F.collect_set(F.when(~F.col("core"), F.col("leaf")))).alias("rims"))
     full = vectors.join(mine, "vec_id")
-    rows = leaves.join(sizes, "leaf").join(full, "vec_id").withColumn("nb", F.ceil(F.col("count") / (2 * LEAF)))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("nb"))).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
-    rows = rows.select("leaf", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "vec_id", "embedding", "copies", "leaves")
+    rows = leaves.join(sizes, "leaf").join(full, "vec_id").where("nc > 0")
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.greatest(n, F.lit(1).cast("long")))
+    rows = rows.withColumn("mine", F.when(F.col("core"), block(F.col("nc"))).otherwise(F.col("nc") + block(F.col("nr"))))
+    others = F.when(F.col("core"), F.col("nc") + F.col("nr")).otherwise(F.col("nc"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)).alias("other"))
+    rows = rows.select("leaf", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "vec_id", "embedding", "copies", "leaves", "rims")
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         leaf, i, j = int(p["leaf"].iloc[0]), int(p["i"].iloc[0]), int(p["j"].iloc[0])
@@ -135,8 +211,8 @@ def forest_links(vectors: DataFrame, least: float) -> DataFrame:
         if not len(some):
             return pd.DataFrame({"vec_id": [], "links": [], "root": []}, dtype="int64")
         linked, ids, copies = linked[np.ix_(some, some)], ids[some], copies[some]
-        earlier = [np.asarray(v)[np.asarray(v) < leaf] for v in p["leaves"].to_numpy()[some]]
-        count = np.where(linked & (_shared_counts(earlier) == 0), copies[None, :], 0).sum(1)
+        earlier, rims = ([np.asarray(v, np.int64)[np.asarray(v, np.int64) < leaf] for v in p[c].to_numpy()[some]] for c in ("leaves", "rims"))
+        count = np.where(linked & (_shared_counts(earlier) == _shared_counts(rims)), copies[None, :], 0).sum(1)
         root, old = ids.copy(), None
         while old is None or not np.array_equal(root, old):
             old = root

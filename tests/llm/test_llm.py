@@ -108,6 +108,22 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (1000, 1001, 1002, 1003))
 
 
+@pytest.mark.parametrize("leaf", [48, 20])
+def test_embeddings_dense_group(spark, monkeypatch, leaf):
+    """A group of near copies many times as large as a leaf, beside others: small leaves stand for a deep forest."""
+    monkeypatch.setattr(embedding_dedup, "LEAF", leaf)
+    rng = np.random.default_rng(8)
+    noisy = lambda k: rng.standard_normal(32) + 0.27 * rng.standard_normal((k, 32))
+    x = np.concatenate([noisy(1200), noisy(150), rng.standard_normal((1500, 32))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert all(got[i] <= near[i].sum() for i in range(len(x)))
+    assert sum(got[i] for i in range(len(x))) >= 0.98 * near.sum()
+
+
 def test_urls(spark):
     urls = ["https://www.Example.org/es/x?q#f", "http://example.org/en/17", "http://org/", "http://a.com/fr/1", "http://xcom/fr/", None, "no url", "ftp://example.org", "http://example.org./es/", "http://a.com/it/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string")
