@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read back as the next one's
 docs. All but the last return the columns of documents; whole documents are kept or go. Duplicates are found on five-word
-shingles at a similarity of 0.8 or more; the smallest doc_id of a group stays. ORACLE_SQL is None: SQL expresses
+shingles at a similarity of 0.8 or more; the smallest doc_id of a group stays. Rows equal in doc_id and text are one document; rows that
+share a doc_id only are documents of their own, and rows without one stay. ORACLE_SQL is None: SQL expresses
 neither the classifier nor the tokenizer; the tests compare with brute force.
 """
 
@@ -29,9 +30,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.jaccard_components(docs, n=5, pct=80)
-    once = docs.dropDuplicates(["doc_id"]) if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() else docs
-    return _kept(once, groups.where("component_id <> doc_id"))
+    copies = staged(jaccard.near_copies(docs, n=5, pct=80), "copies").distinct()
+    left = docs.withColumn("th", jaccard.text_hash()).join(copies, ["doc_id", "th"], "left_anti")
+    known = left.where("doc_id is not null")
+    if not known.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        left = known.dropDuplicates(["doc_id", "th"]).unionByName(left.where("doc_id is null"))
+    return left.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -292,9 +292,48 @@ def _blocks(members: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
     return dealt.groupBy("g", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
+
+
+def _row_components(docs: DataFrame, n: int, pct: int) -> DataFrame | None:
+    """Where a doc_id stands on different texts: staged (doc_id, th, n_shingles, row, component), one row per doc_id and
+    text, component the row that stands for its component; None where no doc_id does."""
+    known = docs.where("doc_id is not null").select("doc_id", text_hash(), "text")
+    if known.groupBy("doc_id").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").isEmpty():
+        return None
+    rows = staged(known.dropDuplicates(["doc_id", "th"]).withColumn("row", F.monotonically_increasing_id()), "rows")
+    got = _components(rows.select(F.col("row").alias("doc_id"), "text"), n, pct).withColumnRenamed("doc_id", "row")
+    return staged(got.join(rows.select("row", "doc_id", "th"), "row").select("doc_id", "th", "n_shingles", "row", F.col("component_id").alias("component")), "components")
+
+
+@small_batches
+def near_copies(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
+    """(doc_id, th) of every text but one of each component: the one of the smallest doc_id (then th) is not among them. A
+    doc_id on different texts counts as that many documents; rows with null doc_id are left out."""
+    rows = _row_components(docs, n, pct)
+    if rows is None:
+        bad = _components(docs, n, pct).where("component_id <> doc_id").select("doc_id").distinct()
+        return docs.select("doc_id", text_hash()).join(bad, "doc_id", "left_semi")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "th", "row"))["row"].alias("first"))
+    return rows.join(first, "component").where("row <> first").select("doc_id", "th")
+
+
 @small_batches
 def jaccard_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
+    rows = _row_components(docs, n, pct)
+    if rows is None:
+        return _components(docs, n, pct)
+    least_id = rows.groupBy("component").agg(F.min("doc_id").alias("b"))
+    comp = components(rows.join(least_id, "component").select(F.col("doc_id").alias("a"), "b"))
+    known = docs.where("doc_id is not null").select("doc_id", text_hash()).join(rows.select("doc_id", "th", "n_shingles"), ["doc_id", "th"])
+    known = known.join(comp, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return known.unionByName(_components(docs.where("doc_id is null"), n, pct))
+
+
+def _components(docs: DataFrame, n: int, pct: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs, where no doc_id stands on different texts."""
     spark = docs.sparkSession
     first = _prefixes(docs, n, pct, None)
     often = (
