@@ -6,14 +6,17 @@ not unique in the whole may be. Equal words next to an aligned pair are added be
 share of the template's words that are aligned. The scan is one pass over whole texts without a shuffle; words that no
 template holds are counted as places but never looked at.
 
-A template is found when coverage reaches ``LEAST`` and the aligned stretch of the text is at most ``SPREAD`` times as long
-as the template. Cases: null and empty texts have coverage 0 for all; repeated rows are each scanned; ties between
+A template is found wherever a stretch of the text of at most ``SPREAD`` times its length holds ``LEAST`` of its words in order:
+every such window of the whole text whose word counts allow it is compared by its longest common subsequence, so repeated and mixed
+notices are found each. The best coverage is that of the alignment with the whole text or of a window. Cases: null and empty texts have coverage 0 for all; repeated rows are each scanned; ties between
 templates keep all that are found, in the order given; an empty table gives an empty result; extra columns are dropped.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -94,6 +97,75 @@ def scan_text(text: str | None, templates: dict[str, list], vocabulary: set) ->
     return out
 
 
+def common(a: list, bits: dict, size: int, stop: int) -> tuple[int, int]:
+    """(length, end) of the longest common subsequence of a[:end] and the template; end: where it first reaches that, or ``stop``."""
+    full = (1 << size) - 1
+    v, best, end = full, 0, 0
+    for i, w in enumerate(a, 1):
+        u = v & bits[w]
+        if u:
+            v = ((v + u) | (v - u)) & full
+            got = size - v.bit_count()
+            if got > best:
+                best, end = got, i
+                if best >= stop:
+                    break
+    return best, end
+
+
+@lru_cache(maxsize=256)
+def tables(t: tuple) -> tuple[Counter, dict, dict]:
+    """Counts of a template's words, and their places as bits from its start and from its end."""
+    bits, back = ({w: sum(1 << j for j, x in enumerate(u) if x == w) for w in set(t)} for u in (t, t[::-1]))
+    return Counter(t), bits, back
+
+
+def windows(some: list, at: list[int], t: list, least: float, spread: float) -> list[tuple[int, int, int]]:
+    """(aligned words, first and last word place) of every stretch, from left to right and apart, that holds the template."""
+    size, (left, bits, back) = len(t), tables(tuple(t))
+    need = next((m for m in range(1, size + 1) if m / size >= least), size + 1)
+    place = [k for k, w in enumerate(some) if w in bits]
+    a, pos = [some[k] for k in place], [at[k] for k in place]
+    have = Counter(a)
+    if sum(min(c, have[w]) for w, c in left.items()) < need:
+        return []
+    out, i, j, held, hold = [], 0, 0, 0, Counter()
+    after = 0  # where the last window ended
+    while i < len(a):
+        while j < len(a) and pos[j] - pos[i] < spread * size:
+            hold[a[j]] += 1
+            held += hold[a[j]] <= left[a[j]]
+            j += 1
+        if i >= after and held >= need:
+            got, end = common(a[i:j], bits, size, need)
+            if got >= need:
+                # the latest start for that end, then what the missing words may add on either side
+                start, end = i + end - common(a[i : i + end][::-1], back, size, need)[1], i + end
+                reach = end
+                while reach < len(a) and pos[reach] - pos[end - 1] <= size - need and pos[reach] - pos[start] < spread * size:
+                    reach += 1
+                got, n = common(a[start:reach], bits, size, size)
+                top = start + n
+                low = start
+                while low > after and pos[start] - pos[low - 1] <= size - got and pos[top - 1] - pos[low - 1] < spread * size:
+                    low -= 1
+                got, n = common(a[low:top][::-1], back, size, size)
+                out.append((got, pos[top - n], pos[top - 1]))
+                after = top
+        held -= hold[a[i]] <= left[a[i]]
+        hold[a[i]] -= 1
+        i += 1
+    return out
+
+
+def found_in(text: str | None, templates: dict[str, list], vocabulary: set, least: float = LEAST, spread: float = SPREAD) -> list[tuple[str, float, int, int, int]]:
+    """(template, coverage, aligned words, first and last word place) of every window in which a template is found."""
+    words = words_of(text)
+    at = [i for i, w in enumerate(words) if w in vocabulary]
+    some = [words[i] for i in at]
+    return [(name, n / len(t), n, f, e) for name, t in templates.items() for n, f, e in (windows(some, at, t, least, spread) if t else [])]
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, spread: float = SPREAD) -> DataFrame:
     """(doc_id, best_template, best_coverage, found array<struct<template, coverage, matched, first, last>>) of every row."""
     lists = {k: words_of(v) for k, v in templates.items()}
@@ -104,9 +176,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
             best, cover, found = [], [], []
             for text in b["text"]:
                 got = scan_text(text, lists, vocabulary)
-                top = max(got, key=lambda g: g[1], default=(None, 0.0))
+                held = found_in(text, lists, vocabulary, least, spread)
+                top = max([*got, *held], key=lambda g: g[1], default=(None, 0.0))
                 best.append(top[0]), cover.append(float(top[1]))
-                found.append([dict(zip(("template", "coverage", "matched", "first", "last"), g, strict=True)) for g in got if g[1] >= least and g[4] - g[3] < spread * len(lists[g[0]])])
+                found.append([dict(zip(("template", "coverage", "matched", "first", "last"), g, strict=True)) for g in held])
             yield pd.DataFrame({"doc_id": b["doc_id"], "best_template": best, "best_coverage": cover, "found": found})
 
     kind = "doc_id long, best_template string, best_coverage double, found array<struct<template: string, coverage: double, matched: int, first: int, last: int>>"
@@ -115,4 +188,5 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
 
 def op7_license(spark, sf_dir: str) -> DataFrame:
     out = license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "best_template", "best_coverage", F.array_join("found.template", "; ").alias("licenses"), F.size("found").cast("long").alias("n_licenses"))
+    names = F.array_distinct("found.template")  # a license that stands several times counts once
+    return out.select("doc_id", "best_template", "best_coverage", F.array_join(names, "; ").alias("licenses"), F.size(names).cast("long").alias("n_licenses"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from itertools import combinations
 from zlib import crc32
 
 import numpy as np
@@ -213,6 +214,32 @@ def test_license():
         assert len(got) <= lcs[-1][-1] and (len(got) == len(a) if a == b else True)
 
 
+def test_license_windows():
+    """Repeated and mixed notices between other words of the templates, in long texts; and single windows by brute force."""
+    lists = {k: license_scan.words_of(v) for k, v in license_scan.TEMPLATES.items()}
+    vocabulary, rng = {w for t in lists.values() for w in t}, random.Random(12)
+    noise = lambda n: " ".join(rng.choice(["the", "under", "is", "of", "license", "word", "x1", "x2"]) for _ in range(n))
+    for name, text in license_scan.TEMPLATES.items():
+        for many in (1, 2, 3):
+            whole = " ".join(noise(400) + " " + text for _ in range(many)) + " " + noise(400)
+            got = [g for g in license_scan.found_in(whole, lists, vocabulary) if g[0] == name and g[1] == 1]
+            assert len(got) == many, (name, many)
+        assert [g[1] for g in license_scan.found_in(f"{text} {text}", lists, vocabulary) if g[0] == name] == [1, 1]
+    mixed = license_scan.TEMPLATES["CC-BY-NC-4.0 notice"] + " " + noise(200) + " " + license_scan.TEMPLATES["Apache-2.0 notice"]
+    assert {"CC-BY-NC-4.0 notice", "Apache-2.0 notice"} <= {g[0] for g in license_scan.found_in(mixed, lists, vocabulary)}
+    for _ in range(400):
+        a, t = [rng.randrange(5) for _ in range(rng.randrange(1, 16))], [rng.randrange(4) for _ in range(5)]
+        lcs = lambda x: max((sum(1 for _ in c) for c in [[]] + [c for n in range(1, 6) for c in combinations(t, n) if subsequence(c, x)]), default=0)
+        want = any(lcs(a[i : i + 10]) >= 4 for i in range(len(a)))
+        got = license_scan.windows([x for x in a if x in t], [i for i, x in enumerate(a) if x in t], t, 0.8, 2.0)
+        assert bool(got) == want and all(n <= lcs(a[f : e + 1]) and e - f < 10 and n >= 4 for n, f, e in got)
+
+
+def subsequence(c, x):
+    it = iter(x)
+    return all(w in it for w in c)
+
+
 def test_license_rows(spark):
     got = license_scan.license_scan(docs(spark, [*ODD, "foo. Released under the MIT License."])).orderBy("doc_id").collect()
     assert len(got) == len(ODD) + 1 and [f.template for f in got[-1].found] == ["MIT notice"] and got[0].best_coverage == 0
