@@ -3,44 +3,44 @@
 A document's set holds the hashes of its distinct ``n``-word shingles (fewer words: the whole sequence as one; none:
 empty). Links are pairs of sets whose Jaccard similarity reaches the threshold; a component is what links connect.
 
-1. Sets are computed where the text is read. Equal sets are collapsed by a fingerprint; one document stands for each.
+1. Sets are computed where the text is read, a batch of texts at a time. Equal sets are collapsed by a fingerprint.
 2. Tokens are ordered rare before frequent, then by hash. The frequent ones (the ``MOST_FREQUENT`` most frequent of
-   those in at least ``FREQUENT`` documents' leading tokens) are few and broadcast; classes steer the work, not the result.
+   those in at least ``FREQUENT`` sets' leading tokens) are few and broadcast; classes steer the work, not the result.
 3. With p = n - ceil(t n) + 1, a pair that links shares at least one of its first p tokens while these are rare. Where
    rare ones do not suffice, the prefix is extended and frequent tokens, dealt into sub-classes, are indexed as
-   two-token combinations: a sub-class with f tokens of the prefix counts f - 1, so one more token per sub-class is
-   taken. Any link then shares a rare token or a combination.
-   All leading tokens are indexed, a quarter of a prefix more than needed, so a document whose tokens are all rare must
-   share several; one that shares fewer keys with anyone is dropped by a count.
-4. Documents under one key are compared with the smallest of them first (a star, never all pairs): each document with
-   the one it shares most keys with, then those pairs that are not in one component by then. Leading tokens bound
-   the overlap from above, which drops nearly all chance candidates before any text is fetched; the rest is verified on
-   whole sets. Links give components; a key whose documents are already one component needs nothing more.
-5. Documents that the other keys connect form groups. A dense group is dealt into blocks of about ``BLOCK``, and whole
-   sets are compared block against block, which gives spanning links between components. In a group so sparse that this
-   would cost more, only documents of different components under one key are compared: for keys of ``SIDE`` at most by
-   the same bound and then on whole sets, for larger ones in blocks. No link between components is lost, and no group
-   meets in one task.
+   two-token combinations: of s + 1 common leading tokens in s sub-classes two fall together. Any link then shares a
+   rare token or a combination. A set whose leading tokens are all rare must share several (``must_share``).
+4. Keys with the same sets under them are kept once. Under a key of at most ``FREQUENT`` sets all pairs of like sizes are
+   counted, and those that share enough go on; under a larger one each set is paired with the smallest.
+5. A set carries a bitmap of token parities: bits that differ between two bitmaps are tokens the sets don't share, which
+   bounds the overlap from above. What passes is verified on whole texts: each set's closest candidate first, then the
+   candidates that links leave in different components.
+6. Under a larger key that still holds several components, the sets outside its largest one are compared with all others
+   by bitmap, in blocks of ``BLOCK`` by ``BLOCK``: first only the closest pair of two components in a block is verified,
+   then all that remain between components. No link between components is lost, and no key meets in one task.
 
 Cases: null and empty texts have the empty set and link with nothing (component_id is their own doc_id); a doc_id on
-several rows keeps its rows, which share a component; rows with null doc_id are left out of links and are returned with
-null component_id; empty tables give empty results; extra columns are dropped.
+several rows keeps its rows, and those with words share a component; rows with null doc_id are left out of links and are
+returned with null component_id; empty tables give empty results; extra columns are dropped.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, small_batches, staged
+from .common import components, small_batches, staged
 
-FREQUENT, MOST_FREQUENT, SIDE = 12, 1 << 18, 128
-#: A block of a dense group: documents, and shingles on average.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+FREQUENT, MOST_FREQUENT, BLOCK = 12, 1 << 18, 2048
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 22
 _HALF = 1 << 62
 U = np.uint64
+ODD = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,19 +49,73 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 62-bit hashes of the n-word shingles of the whole text."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(xxh64_intdigest, words), U, len(words))
-    k = min(n, len(words))
-    acc = np.full(len(words) - k + 1, k, U)
-    for j in range(k):
-        acc = acc * U(0x9E3779B97F4A7C15) + h[j : len(words) - k + 1 + j]
-    return np.unique((_mix(acc) >> U(2)).astype(np.int64))
+#: A 64-bit number for every byte, the same for a letter in either case; and the bytes that part words.
+_BYTE = _mix(np.arange(1, 257, dtype=U) * U(ODD))
+_BYTE[65:91] = _BYTE[97:123]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    up, down = np.full(size, ODD, U), np.full(size, pow(ODD, -1, 1 << 64), U)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts of a string column (null: none), and where each text's begin, with the end.
+
+    A word's hash is a polynomial of its bytes, read off running sums over a piece of text; pieces end between words.
+    """
+    col = col.cast(pa.large_string()).fill_null("")
+    off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    buf = np.frombuffer(col.buffers()[2] or b"", np.uint8)[off[0] : off[-1]] if len(off) else np.zeros(0, np.uint8)
+    off = off - off[0] if len(off) else np.zeros(1, np.int64)
+    ink = ~_SPACE[buf]
+    cut = np.zeros(len(buf) + 1, bool)
+    cut[off] = cut[-1] = True
+    begins = ink & cut[:-1]
+    begins[1:] |= ink[1:] & ~ink[:-1]
+    ends = ink & cut[1:]
+    ends[:-1] |= ink[:-1] & ~ink[1:]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    out, k = np.empty(len(first), U), 0
+    while k < len(first):
+        stop = max(k + 1, int(np.searchsorted(last, first[k] + PIECE, "right")))
+        a, b = first[k], last[stop - 1]
+        up, down = _powers(1 << max(16, int(b - a).bit_length()))
+        run = np.zeros(b - a + 1, U)
+        np.cumsum(_BYTE[buf[a:b]] * up[: b - a], out=run[1:])
+        x, y = first[k:stop] - a, last[k:stop] - a
+        out[k:stop] = _mix((run[y] - run[x]) * down[x] + (y - x).astype(U))
+        k = stop
+    return out, np.searchsorted(first, off)
+
+
+def shingle_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 62-bit hashes of each text's n-word shingles, one text after the other, and where each begins, with the end."""
+    w, at = word_hashes(col)
+    size = np.diff(at)
+    many = np.where(size > 0, np.maximum(size - n + 1, 1), 0)
+    bound = np.concatenate([[0], np.cumsum(many)])
+    s = np.empty(bound[-1], np.int64)
+    acc = np.full(max(0, len(w) - n + 1), n, U)
+    for j in range(n):
+        acc = acc * U(ODD) + w[j : len(w) - n + 1 + j]
+    acc = (_mix(acc) >> U(2)).astype(np.int64)
+    for i in np.flatnonzero(many):
+        if size[i] >= n:
+            s[bound[i] : bound[i + 1]] = np.sort(acc[at[i] : at[i] + many[i]])
+        else:
+            one = np.array([size[i]], U)
+            for y in w[at[i] : at[i + 1]]:
+                one = one * U(ODD) + y
+            s[bound[i]] = (_mix(one) >> U(2)).astype(np.int64)[0]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    new[bound[:-1][many > 0]] = True
+    return s[new], np.concatenate([[0], np.cumsum(new)])[bound]
 
 
 def least(n: int, pct: int) -> int:
@@ -73,19 +127,25 @@ def prefix(n: int, pct: int) -> int:
     return n - least(n, pct) + 1
 
 
-def bands(n: int, pct: int) -> list[tuple[int, int]]:
+def subclasses(band: int, pct: int) -> int:
+    return max(1, prefix(1 << max(band - 1, 0), pct) // 4)
+
+
+@lru_cache(maxsize=1 << 16)
+def bands(n: int, pct: int) -> tuple[tuple[int, int], ...]:
     """(band, sub-classes): the size's own band, and the one below if a partner may lie there."""
     own = n.bit_length()
-    out = [b for b in (own, own - 1) if b == own or least(n, pct) < 1 << (own - 1)]
-    return [(b, max(1, prefix(1 << max(b - 1, 0), pct) // 4)) for b in out]
+    return tuple((b, subclasses(b, pct)) for b in (own, own - 1) if b == own or least(n, pct) < 1 << (own - 1))
 
 
+@lru_cache(maxsize=1 << 16)
 def lead(n: int, pct: int) -> int:
-    return min(n, prefix(n, pct) + max(j for _, j in bands(n, pct)))
+    """Leading tokens that are kept; none where no larger set can link, so that only equal sets do."""
+    return min(n, prefix(n, pct) + max(j for _, j in bands(n, pct))) if n * (100 - pct) >= pct else 0
 
 
 def combinations(pre: np.ndarray, n: int, pct: int) -> np.ndarray:
-    """Index keys of one document: single rare tokens, or these and pairs of frequent tokens of a sub-class."""
+    """Index keys of one set: single rare tokens, or these and pairs of frequent tokens of a sub-class."""
     rare = pre[pre < _HALF]
     if len(rare) >= prefix(n, pct):
         return rare
@@ -95,309 +155,321 @@ def combinations(pre: np.ndarray, n: int, pct: int) -> np.ndarray:
         order = np.argsort(cls, kind="stable")
         for g in np.split(freq[order], np.flatnonzero(np.diff(cls[order])) + 1):
             i, j = np.triu_indices(len(g), 1)
-            out.append((_mix(g[i] * U(0x9E3779B97F4A7C15) + g[j] * U(0xC2B2AE3D27D4EB4F) + U(band)) >> U(1)).astype(np.int64))
+            out.append((_mix(g[i] * U(ODD) + g[j] * U(0xC2B2AE3D27D4EB4F) + U(band)) >> U(1)).astype(np.int64))
     return np.unique(np.concatenate(out))
 
 
 def must_share(pre: np.ndarray, n: int, pct: int) -> int:
-    """Keys that a document shares at least with any partner: of m leading tokens all but n - least(n) at most."""
-    return len(pre) - prefix(n, pct) + 1 if len(pre) and pre[-1] < _HALF else 1
+    """Keys that a set shares at least with any partner. If all its leading tokens are rare: one more than the sub-classes
+    of the smaller of the two, for so many of the first common tokens stand among the leading ones of both."""
+    if not len(pre) or pre[-1] >= _HALF:
+        return 1
+    return min(len(pre) - prefix(n, pct), *(j for _, j in bands(n, pct))) + 1
 
 
-def needed(a: int, b: int, pct: int) -> int:
+def needed(a, b, pct: int):
     """Smallest overlap at which sets of a and b tokens link."""
     return -(-pct * (a + b) // (100 + pct))
 
 
-def may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int, pct: int) -> bool:
-    """Upper bound of the overlap from two leading parts of the ordered sets."""
-    if min(nx, ny) < least(max(nx, ny), pct):
-        return False
-    top = min(x[-1] if len(x) < nx else 1 << 63, y[-1] if len(y) < ny else 1 << 63)
-    a = len(x) if top > x[-1] else int(np.searchsorted(x, top, "right"))
-    b = len(y) if top > y[-1] else int(np.searchsorted(y, top, "right"))
-    both = len(np.intersect1d(x[:a], y[:b], assume_unique=True))
-    return both + min(nx - a, ny - b) >= needed(nx, ny, pct)
+def parities(s: np.ndarray) -> bytes:
+    """Whether an even or odd number of tokens falls on each of 2 to 4 bits a token (64 at least); halves of it fold by XOR."""
+    m = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount(s & (m - 1), minlength=m).astype(np.uint8) & 1).tobytes()
+
+
+def folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bitmaps brought to width bytes."""
+    while x.shape[1] > width:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits by which rows of x and of y, of one width, differ; y may be one row more dimension."""
+    return np.bitwise_count(np.ascontiguousarray(x).view(U) ^ np.ascontiguousarray(y).view(U)).sum(-1, dtype=np.int64)
+
+
+def may_link(nx, ny, d, pct: int):
+    """Whether sets of nx and ny tokens may link that differ in d or more."""
+    return (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * pct) & ((nx + ny - d) // 2 >= needed(nx, ny, pct))
+
+
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
 
+def _bitmap_rows(col: pa.Array):
+    """(width, places, matrix) for each width of bitmaps that occurs."""
+    raw = col.to_pylist()
+    width = np.fromiter(map(len, raw), np.int64, len(raw))
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        yield int(w), at, np.frombuffer(b"".join([raw[i] for i in at]), np.uint8).reshape(len(at), w)
 
-def _prefixes(docs: DataFrame, n: int, pct: int, frequent: np.ndarray | None) -> DataFrame:
-    """(doc_id, n, f1, f2, pre): set size, fingerprint and leading tokens in order; frequent None: in hash order."""
-    sent = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)
+
+def text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
+
+
+def _leading_counts(docs: DataFrame, n: int, pct: int) -> DataFrame:
+    """(t, c): in how many sets' leading tokens, in hash order, each token stands."""
 
     def run(batches):
-        often = np.zeros(0, np.int64) if sent is None else sent.value
         for b in batches:
-            size, one, two, pre = [], [], [], []
-            for t in b["text"]:
-                s = shingles(t, n)
-                size.append(len(s))
-                m = _mix(s.astype(U) + U(1))
-                one.append(int(m.sum(dtype=U).astype(np.int64))), two.append(int(np.bitwise_xor.reduce(_mix(m)).astype(np.int64)) if len(s) else 0)
-                if len(often) and len(s):
-                    s = np.sort(s + _HALF * (often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s))
-                pre.append(s[: lead(len(s), pct)] if len(s) * (100 - pct) >= pct else s[:0])  # smaller sets link only with equal ones: s of s + 1 is too little
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": size, "f1": one, "f2": two, "pre": pre})
-
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, pre array<long>")
-
-
-def _bounded(pairs: DataFrame, lead_table: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) that their leading tokens do not rule out."""
-    x = lead_table.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pre").alias("pa"))
-    y = lead_table.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pre").alias("pb"))
-    both = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * pct)
+            s, at = shingle_sets(_column(b, "text"), n)
+            t = np.concatenate([s[:0], *(s[a : a + lead(int(m), pct)] for a, m in zip(at, np.diff(at)))])
+            t, c = np.unique(t, return_counts=True)
+            yield pa.record_batch({"t": t, "c": c})
+
+    return docs.select("text").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
+
+
+def _sets(docs: DataFrame, n: int, pct: int, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, th, n, f1, f2, pre, bits) of every row: set size, fingerprint, leading tokens and bitmap."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
+        often = sent.value
         for b in batches:
-            ok = [may_link(*v, pct) for v in zip(b["pa"], b["na"], b["pb"], b["nb"], strict=True)]
-            yield b.loc[ok, ["a", "b"]]
+            s, at = shingle_sets(_column(b, "text"), n)
+            size = np.diff(at)
+            ranked = s + _HALF * (often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s) if len(often) else s
+            m = _mix(s.astype(U) + U(1))
+            full, f1, f2 = np.flatnonzero(size), np.zeros(len(size), U), np.zeros(len(size), U)
+            f1[full], f2[full] = np.add.reduceat(m, at[full]) if len(full) else 0, np.bitwise_xor.reduceat(_mix(m), at[full]) if len(full) else 0
+            pre, bits = [], []
+            for a, k in zip(at, size.tolist()):
+                keep = lead(k, pct) if k else 0
+                pre.append(np.sort(ranked[a : a + k])[:keep] if keep else s[:0])
+                bits.append(parities(s[a : a + k]) if keep else b"")
+            yield pa.record_batch({
+                "doc_id": _column(b, "doc_id"), "th": _column(b, "th"), "n": size, "f1": f1.astype(np.int64), "f2": f2.astype(np.int64),
+                "pre": pa.array(pre, pa.list_(pa.int64())), "bits": pa.array(bits, pa.binary()),
+            })
 
-    return both.select("a", "b", "pa", "na", "pb", "nb").mapInPandas(run, "a long, b long")
+    return docs.select("doc_id", text_hash(), "text").mapInArrow(run, "doc_id long, th long, n long, f1 long, f2 long, pre array<long>, bits binary")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the asked documents: only their texts are kept for the joins that follow."""
-    found = docs.where("doc_id is not null").select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi")
-    return staged(found.dropDuplicates(["doc_id"]), "texts")
+def _index(heads: DataFrame, pct: int) -> DataFrame:
+    """(key, rid, n, need) of every set that can link with a larger or smaller one."""
 
+    def run(batches):
+        for b in batches:
+            size = _column(b, "n").to_numpy()
+            pre = [np.asarray(p.values) for p in _column(b, "pre")]
+            keys = [combinations(p, int(m), pct) for p, m in zip(pre, size)]
+            many = [len(k) for k in keys]
+            need = np.array([must_share(p, int(m), pct) for p, m in zip(pre, size)], np.int32)
+            yield pa.record_batch({
+                "key": np.concatenate([np.zeros(0, np.int64), *keys]), "rid": np.repeat(_column(b, "rid").to_numpy(), many),
+                "n": np.repeat(size.astype(np.int32), many), "need": np.repeat(need, many),
+            })
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold."""
-    text = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    both = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    return heads.where("size(pre) > 0").select("rid", "n", "pre").mapInArrow(run, "key long, rid long, n int, need int")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rid", "n")).alias("hub"), F.bit_xor(F.xxhash64("rid")).alias("sig")).where("c > 1")
+
+
+def _like(a: str, b: str, pct: int):
+    return F.least(a, b) * 100 >= F.greatest(a, b) * pct
+
+
+def _small_pairs(rows: DataFrame, pct: int) -> DataFrame:
+    """(a, b) of sets that share as many keys as they must, from keys of FREQUENT sets at most."""
+    together = rows.groupBy("key").agg(F.first("times").alias("times"), F.sort_array(F.collect_list(F.struct("rid", "n", "need"))).alias("g"))
+    pairs = F.expr(f"""flatten(transform(g, x -> transform(filter(g, y -> y.rid > x.rid AND least(x.n, y.n) * 100L >= greatest(x.n, y.n) * {pct}L),
+        y -> struct(x.rid AS a, y.rid AS b, greatest(x.need, y.need) AS need))))""")
+    got = together.select("times", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("times").alias("c"), F.max("p.need").alias("need"))
+    return got.where("c >= need").select("a", "b")
+
+
+def _bounded(pairs: DataFrame, heads: DataFrame, pct: int) -> DataFrame:
+    """(a, b, d): the pairs that their bitmaps do not rule out, d the bits that differ."""
+    x = heads.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    y = heads.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
 
     def run(batches):
-        last, held = None, None
-        for b in batches:
-            ok = []
-            for t, u in zip(b["ta"], b["tb"], strict=True):
-                if t is not last:
-                    last, held = t, shingles(t, n)
-                o = shingles(u, n)
-                i = len(np.intersect1d(held, o, assume_unique=True))
-                ok.append(100 * i >= pct * (len(held) + len(o) - i))
-            yield b.loc[ok, ["a", "b"]]
-
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
-
-
-def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of a bounded list of sets, by products of incidence columns."""
-    at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = times[col] > 1
-    _, col = np.unique(col[keep], return_inverse=True)
-    at, out = at[keep], np.zeros((len(sets), len(sets)), np.float32)
-    for k in range(0, int(col.max()) + 1 if len(col) else 0, 4096):
-        x, some = np.zeros((len(sets), 4096), np.float32), (col >= k) & (col < k + 4096)
-        x[at[some], col[some] - k] = 1
-        out += x @ x.T
-    return out.astype(np.int64)
-
-
-def _shared_between(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each set on the left with each on the right; only tokens of both sides are looked at."""
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    tokens = np.intersect1d(a, b)
-    out = np.zeros((len(left), len(right)), np.float32)
-    if not len(tokens):
-        return out.astype(np.int64)
-
-    def placed(sets, flat):
-        row, col = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
-        there = tokens[col] == flat
-        order = np.argsort(col[there], kind="stable")
-        return row[there][order], col[there][order]
-
-    sides = [placed(left, a), placed(right, b)]
-    for k in range(0, len(tokens), 4096):
-        x = [np.zeros((n, min(4096, len(tokens) - k)), np.float32) for n in out.shape]
-        for m, (row, col) in zip(x, sides, strict=True):
-            lo, hi = np.searchsorted(col, [k, k + 4096])
-            m[row[lo:hi], col[lo:hi] - k] = 1
-        out += x[0] @ x[1].T
-    return out.astype(np.int64)
-
-
-def _cross(rows: DataFrame, heads: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) of different components under one small key that leading tokens don't rule out."""
-
-    def pairs_of(g: pd.DataFrame) -> pd.DataFrame:
-        doc, comp, n, pre = g["doc_id"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(), [np.asarray(p) for p in g["pre"]]
-        i, j = np.nonzero(np.triu(comp[:, None] != comp[None, :], 1) & (np.minimum.outer(n, n) * 100 >= np.maximum.outer(n, n) * pct))
-        far = (doc[i] != g["hub"].iloc[0]) & (doc[j] != g["hub"].iloc[0])
-        i, j = i[far], j[far]
-        if not len(i):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        top = np.array([p[-1] if len(p) < m else _HALF * 2 - 1 for p, m in zip(pre, n, strict=True)])
-        t = np.minimum(top[i], top[j])
-        upto = lambda k: np.array([np.searchsorted(pre[x], v, "right") for x, v in zip(k, t, strict=True)])
-        best = _shared_counts(pre)[i, j] + np.minimum(n[i] - upto(i), n[j] - upto(j))
-        ok = best >= -(-pct * (n[i] + n[j]) // (100 + pct))
-        return pd.DataFrame({"a": np.minimum(doc[i], doc[j])[ok], "b": np.maximum(doc[i], doc[j])[ok]})
+        for t in batches:
+            na, nb = _column(t, "na").to_numpy(), _column(t, "nb").to_numpy()
+            d, left, right = np.full(len(na), 1 << 40), list(_bitmap_rows(_column(t, "xa"))), list(_bitmap_rows(_column(t, "xb")))
+            for w, i, p in left:
+                for v, j, q in right:
+                    both, pi, qj = np.intersect1d(i, j, assume_unique=True, return_indices=True)
+                    if len(both):
+                        d[both] = apart(folded(p[pi], min(w, v)), folded(q[qj], min(w, v)))
+            ok = may_link(na, nb, d, pct)
+            yield pa.record_batch({"a": _column(t, "a").to_numpy()[ok], "b": _column(t, "b").to_numpy()[ok], "d": d[ok]})
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, d long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, pct: int) -> DataFrame:
+    """Staged (a, b): the pairs whose whole sets reach the threshold. Only the texts asked for are moved."""
+    asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "asked")
+    who = staged(heads.select("rid", "doc_id", "th").join(asked, "rid"), "asked")
+    text = docs.where("doc_id is not null").select("doc_id", text_hash(), "text").join(who, ["doc_id", "th"]).select("rid", "text")
+    text = staged(text.dropDuplicates(["rid"]), "texts")
+    both = pairs.join(text.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
-        left = None
-        for b in batches:
-            b = b if left is None else pd.concat([left, b], ignore_index=True)
-            whole = b["key"] != b["key"].iloc[-1] if len(b) else None
-            left = b[~whole] if len(b) else b
-            for _, g in b[whole].groupby("key", sort=False) if len(b) else []:
-                yield pairs_of(g)
-        if left is not None and len(left):
-            yield pairs_of(left)
-
-    with_heads = rows.join(heads, "doc_id").repartition("key").sortWithinPartitions("key", "doc_id")
-    return with_heads.select("key", "doc_id", "comp", "hub", "n", "pre").mapInPandas(run, "a long, b long").distinct()
-
-
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Key rows with g, the smallest document that keys connect a row's document to."""
-    g = components(rows.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
-    return rows.join(g.select(F.col("node").alias("doc_id"), F.col("component").alias("g")), "doc_id")
-
-
-def _blocks(members: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """Spanning links between components within each g of members (doc_id, comp, g, n), on whole sets, block against block."""
-    held = _texts(docs, members.select("doc_id")).join(members, "doc_id")
-    many = held.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("nb"))
-    dealt = held.join(many, "g").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("nb")))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
-    dealt = dealt.select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "comp", "text")
-
-    def compare(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("mine", kind="stable")
-        doc, comp, s = p["doc_id"].to_numpy(), p["comp"].to_numpy(), [shingles(t, n) for t in p["text"]]
-        size = np.array([len(x) for x in s])
-        # within one block all pairs, between two only those across
-        cut = int((p["mine"] == p["i"]).sum()) if p["i"].iloc[0] != p["j"].iloc[0] else 0
-        at, to = slice(0, cut or None), slice(cut, None)
-        both = _shared_between(s[at], s[to]) if cut else _shared_counts(s)
-        i, j = np.nonzero((100 * both >= pct * (size[at, None] + size[None, to] - both)) & (comp[at, None] != comp[None, to]))
-        j = j + cut
-        root, out = {}, []
-
-        def find(x):
-            while root.get(x, x) != x:
-                root[x] = x = root.get(root[x], root[x])
-            return x
-
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            ra, rb = find(comp[a]), find(comp[b])
-            if ra != rb:
-                root[ra] = rb
-                out.append((min(doc[a], doc[b]), max(doc[a], doc[b])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("g", "i", "j").applyInPandas(compare, "a long, b long")
+        for t in batches:
+            a, b = _column(t, "ta").dictionary_encode(), _column(t, "tb").dictionary_encode()
+            (x, p), (y, q), ok = shingle_sets(a.dictionary, n), shingle_sets(b.dictionary, n), []
+            for i, j in zip(a.indices.to_pylist(), b.indices.to_pylist(), strict=True):
+                u, v = x[p[i] : p[i + 1]], y[q[j] : q[j + 1]]
+                same = len(np.intersect1d(u, v, assume_unique=True))
+                ok.append(100 * same >= pct * (len(u) + len(v) - same))
+            ok = np.array(ok, bool)
+            yield pa.record_batch({"a": _column(t, "a").to_numpy()[ok], "b": _column(t, "b").to_numpy()[ok]})
 
+    return staged(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
 
-def text_hash():
-    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
+
+def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(comp.select(F.col("node").alias(end), F.col("component").alias(f"{end}c")), end, "left")
+    return pairs.where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
+
+
+def _mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """Staged (key, rid, comp, main) of the keys whose sets lie in several components; main: in the key's largest one."""
+    own = rows.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
+    sizes = own.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("m", "comp"))["comp"].alias("top"), F.sum("m").alias("c"), F.max("m").alias("m")).where("m < c")
+    return staged(own.join(top, "key").select("key", "rid", "comp", (F.col("comp") == F.col("top")).alias("main"), "c", (F.col("c") - F.col("m")).alias("p")), "mixed")
+
+
+def _probed(mixed: DataFrame, heads: DataFrame, pct: int, closest: bool) -> DataFrame:
+    """(a, b, d) of different components under one key that bitmaps do not rule out; closest: one of two components in a block."""
+    rows = mixed.join(heads.select("rid", "n", "bits"), "rid")
+    block = lambda m: F.ceil(F.col(m) / BLOCK) - 1
+    every = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), block("p"))).alias("i"), F.pmod(F.xxhash64("rid"), block("c") + 1).alias("j"), F.lit(False).alias("probe"))
+    probes = rows.where("not main").select("*", F.pmod(F.xxhash64("rid"), block("p") + 1).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), block("c"))).alias("j"), F.lit(True).alias("probe"))
+
+    def compare(g: pa.Table) -> pa.Table:
+        rid, comp, n, main = (g.column(c).to_numpy() for c in ("rid", "comp", "n", "main"))
+        probe, out = g.column("probe").to_numpy(), [np.zeros((0, 5), np.int64)]
+        kinds = list(_bitmap_rows(g.column("bits").combine_chunks()))
+        for w, i, p in kinds:
+            p, i = p[probe[i]], i[probe[i]]
+            for v, j, q in kinds:
+                q, j = q[~probe[j]], j[~probe[j]]
+                if not len(i) or not len(j) or n[i].max() * 100 < n[j].min() * pct or n[j].max() * 100 < n[i].min() * pct:
+                    continue
+                left, right = folded(p, min(w, v)), folded(q, min(w, v))
+                step = max(1, (1 << 22) // left.nbytes)
+                for k in range(0, len(j), step):
+                    at = j[k : k + step]
+                    d = apart(left[:, None, :], right[None, k : k + step, :])
+                    # of two probes the pair is told once
+                    ok = may_link(n[i][:, None], n[at][None, :], d, pct) & (comp[i][:, None] != comp[at][None, :]) & (main[at][None, :] | (rid[i][:, None] < rid[at][None, :]))
+                    x, y = np.nonzero(ok)
+                    out.append(np.stack([rid[i[x]], rid[at[y]], d[x, y], comp[i[x]], comp[at[y]]], 1))
+        got = np.concatenate(out)
+        if closest and len(got):
+            c = np.sort(got[:, 3:], axis=1)
+            order = np.lexsort((got[:, 1], got[:, 0], got[:, 2], c[:, 1], c[:, 0]))
+            got, c = got[order], c[order]
+            got = got[np.concatenate([[True], (c[1:] != c[:-1]).any(1)])]
+        return pa.table({"a": got[:, :2].min(1), "b": got[:, :2].max(1), "d": got[:, 2]}) if len(got) else pa.table({k: pa.array([], pa.int64()) for k in "abd"})
+
+    both = every.unionByName(probes).select("key", "i", "j", "rid", "comp", "n", "main", "probe", "bits")
+    return both.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def _settled(cand: DataFrame, links: DataFrame | None, verify) -> tuple[DataFrame, DataFrame]:
+    """(links, components) after staged candidates (a, b, d): each set's closest first, then those still between components."""
+    best = cand.groupBy("b").agg(F.min(F.struct("d", "a"))["a"].alias("a")).select("a", "b")
+    found = verify(staged(best, "pairs"))
+    links = found if links is None else links.unionByName(found)
+    comp = components(links)
+    rest = staged(_between(cand, comp), "pairs")
+    if rest.isEmpty():
+        return links, comp
+    links = links.unionByName(verify(rest))
+    return links, components(links)
 
 
-def _row_components(docs: DataFrame, n: int, pct: int) -> DataFrame | None:
-    """Where a doc_id stands on different texts: staged (doc_id, th, n_shingles, row, component), one row per doc_id and
-    text, component the row that stands for its component; None where no doc_id does."""
-    known = docs.where("doc_id is not null").select("doc_id", text_hash(), "text")
-    if known.groupBy("doc_id").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").isEmpty():
-        return None
-    rows = staged(known.dropDuplicates(["doc_id", "th"]).withColumn("row", F.monotonically_increasing_id()), "rows")
-    got = _components(rows.select(F.col("row").alias("doc_id"), "text"), n, pct).withColumnRenamed("doc_id", "row")
-    return staged(got.join(rows.select("row", "doc_id", "th"), "row").select("doc_id", "th", "n_shingles", "row", F.col("component_id").alias("component")), "components")
+def _set_components(docs: DataFrame, n: int, pct: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, heads, links): rows (doc_id, th, n, rid) of all documents with an id, rid the number of their set (null: empty
+    set); heads, one row per set; links (a, b) between sets that connect all that any link connects."""
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    often = (
+        _leading_counts(docs, n, pct).where(F.col("c") >= FREQUENT)
+        .orderBy(F.desc("c"), "t").limit(MOST_FREQUENT).select("t").toPandas()["t"].to_numpy(np.int64)
+    )
+    sets, ids = staged(_sets(docs, n, pct, np.sort(often)), "sets"), ["n", "f1", "f2"]
+    heads = sets.where("n > 0").groupBy(*ids).agg(F.min_by(F.struct("doc_id", "th", "pre", "bits"), F.struct("doc_id", "th")).alias("h"))
+    heads = staged(heads.select(F.monotonically_increasing_id().alias("rid"), *ids, "h.*"), "heads")
+    rows = staged(sets.select("doc_id", "th", *ids).join(heads.select("rid", *ids), ids, "left").select("doc_id", "th", "n", "rid"), "rows")
+
+    index = staged(_index(heads, pct), "index")
+    index = staged(index.join(_shared(index).select("key"), "key"), "keys")
+    able = index.groupBy("rid").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("rid")
+    index = staged(index.join(able, "rid"), "keys")
+    once = _shared(index).groupBy("c", "hub", "sig").agg(F.min("key").alias("key"), F.count("*").alias("times"))
+    keys = staged(index.join(once.drop("sig"), "key"), "keys")
+    large = keys.where(F.col("c") > FREQUENT)
+    # a set under a large key may share less under small ones
+    free = large.select("rid").distinct().withColumn("free", F.lit(True))
+    small = keys.where(F.col("c") <= FREQUENT).join(free, "rid", "left").withColumn("need", F.when(F.col("free"), 1).otherwise(F.col("need")))
+    star = large.where((F.col("rid") != F.col("hub.rid")) & _like("n", "hub.n", pct)).select(F.col("hub.rid").alias("a"), F.col("rid").alias("b"))
+    pairs = staged(_small_pairs(small, pct).unionByName(star).distinct(), "pairs")
+
+    def verify(found: DataFrame) -> DataFrame:
+        return _verified(found, docs, heads, n, pct)
+
+    links, comp = _settled(staged(_bounded(pairs, heads, pct), "close"), None, verify)
+    for closest in (True, False):
+        mixed = _mixed(large, comp)
+        if mixed.isEmpty():
+            break
+        cand = staged(_probed(mixed, heads, pct, closest), "close")
+        if cand.isEmpty():
+            break
+        links, comp = _settled(cand, links, verify)
+    return rows, heads, links
+
+
+def _row_components(docs: DataFrame, n: int, pct: int) -> DataFrame:
+    """Staged (doc_id, th, n, comp) of all documents with an id: comp is a number of their component (null: empty set)."""
+    rows, _, links = _set_components(docs, n, pct)
+    # rows of one doc_id hang together
+    several = rows.where("rid is not null").groupBy("doc_id").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).where("a < z").select("doc_id", "a")
+    ties = rows.join(several, "doc_id").where("rid is not null").select("a", F.col("rid").alias("b"))
+    comp = components(links.unionByName(ties))
+    return staged(rows.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("doc_id", "th", "n", F.coalesce("component", "rid").alias("comp")), "components")
 
 
 @small_batches
 def near_copies(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
-    """(doc_id, th) of every text but one of each component: the one of the smallest doc_id (then th) is not among them. A
-    doc_id on different texts counts as that many documents; rows with null doc_id are left out."""
-    rows = _row_components(docs, n, pct)
-    if rows is None:
-        bad = _components(docs, n, pct).where("component_id <> doc_id").select("doc_id").distinct()
-        return docs.select("doc_id", text_hash()).join(bad, "doc_id", "left_semi")
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "th", "row"))["row"].alias("first"))
-    return rows.join(first, "component").where("row <> first").select("doc_id", "th")
+    """Staged (doc_id, th) of every text but one of each component: the one of the smallest doc_id (then th) is not among
+    them. A doc_id on different texts counts as that many documents; rows with null doc_id are left out."""
+    rows, _, links = _set_components(docs, n, pct)
+    rows = rows.where("rid is not null").select("doc_id", "th", "rid")
+    rows = rows.join(components(links).withColumnRenamed("node", "rid"), "rid", "left").select("doc_id", "th", F.coalesce("component", "rid").alias("comp"))
+    first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    return staged(rows.join(first, "comp").where(F.struct("doc_id", "th") != F.col("first")).select("doc_id", "th").distinct(), "copies")
 
 
 @small_batches
 def jaccard_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     rows = _row_components(docs, n, pct)
-    if rows is None:
-        return _components(docs, n, pct)
-    least_id = rows.groupBy("component").agg(F.min("doc_id").alias("b"))
-    comp = components(rows.join(least_id, "component").select(F.col("doc_id").alias("a"), "b"))
-    known = docs.where("doc_id is not null").select("doc_id", text_hash()).join(rows.select("doc_id", "th", "n_shingles"), ["doc_id", "th"])
-    known = known.join(comp, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return known.unionByName(_components(docs.where("doc_id is null"), n, pct))
-
-
-def _components(docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs, where no doc_id stands on different texts."""
-    spark = docs.sparkSession
-    first = _prefixes(docs, n, pct, None)
-    often = (
-        first.select(F.explode("pre").alias("t")).groupBy("t").count().where(F.col("count") >= FREQUENT)
-        .orderBy(F.desc("count"), "t").limit(MOST_FREQUENT).select("t").toPandas()["t"].to_numpy(np.int64)
-    )
-    sets = staged(_prefixes(docs, n, pct, np.sort(often)), "sets")
-    ids = ["n", "f1", "f2"]
-    rep = sets.where("n > 0").groupBy(*ids).agg(F.min("doc_id").alias("rep"))
-    rep = staged(rep, "reps")
-    heads = staged(sets.where("size(pre) > 0").join(rep.select(F.col("rep").alias("doc_id"), *ids), ["doc_id", *ids], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "pre"), "heads")
-    fat, sets = sets, staged(sets.drop("pre"), "sizes")
-    discard(fat)
-
-    def keys(batches):
+    least_id = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least_id"))
+    known = rows.join(least_id, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least_id", "doc_id").alias("component_id"))
+
+    def count(batches):
         for b in batches:
-            pre = [np.asarray(p) for p in b["pre"]]
-            k = [combinations(p, int(m), pct) for p, m in zip(pre, b["n"], strict=True)]
-            size = [len(x) for x in k]
-            least_keys = [must_share(p, int(m), pct) for p, m in zip(pre, b["n"], strict=True)]
-            yield pd.DataFrame({
-                "doc_id": np.repeat(b["doc_id"].to_numpy(), size), "need": np.repeat(least_keys, size).astype(np.int32),
-                "key": np.concatenate([np.zeros(0, np.int64), *k]),
-            })
+            size = np.diff(shingle_sets(_column(b, "text"), n)[1])
+            yield pa.record_batch({"doc_id": pa.nulls(len(size), pa.int64()), "n_shingles": size, "component_id": pa.nulls(len(size), pa.int64())})
 
-    index = heads.mapInPandas(keys, "doc_id long, need int, key long")
-    shared = index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    index = raw = staged(index.join(shared, "key"), "keys")
-    able = index.groupBy("doc_id").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("doc_id")
-    index = index.join(able, "doc_id").select("key", "doc_id")
-    shared = index.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("hub")).where("c > 1")
-    index = staged(index.join(shared, "key"), "keys")
-    discard(raw)
-    star = staged(index.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("c")), "star")
-    # first each document with the hub it shares most keys with; then only pairs that these links leave in different components
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
-    links = staged(_verified(staged(_bounded(best, heads, pct), "star"), docs, n, pct), "links")
-    joined = components(links)
-    for end in ("a", "b"):
-        star = star.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}c")), end, "left")
-    apart = star.where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
-    links = links.unionByName(staged(_verified(staged(_bounded(apart, heads, pct), "star"), docs, n, pct), "links"))
-    comp = components(links).withColumnRenamed("node", "doc_id")
-    # keys whose documents are not one component yet
-    own = index.where("c > 2").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    own = staged(_grouped(own.join(mixed, "key").select("key", "doc_id", "comp", "hub", "c")).join(heads.select("doc_id", "n"), "doc_id"), "mixed")
-    # a group of m documents costs m * m / BLOCK texts in blocks, or a row of leading tokens per key and document
-    cost = own.groupBy("g").agg(F.count_distinct("doc_id").alias("m"), F.count("*").alias("r")).withColumn("dense", 4 * F.col("m") * F.ceil(F.col("m") / BLOCK) <= F.col("r"))
-    own = staged(own.join(cost.select("g", "dense"), "g"), "mixed")
-    links = links.unionByName(staged(_blocks(own.where("dense").select("doc_id", "comp", "g", "n").distinct(), docs, n, pct), "links"))
-    sparse = own.where("not dense").drop("g", "n")
-    if not sparse.isEmpty():
-        rest = staged(_cross(sparse.where(F.col("c") <= SIDE), heads, pct), "rest")
-        links = links.unionByName(staged(_verified(rest, docs, n, pct), "links"))
-        large = _grouped(sparse.where(F.col("c") > SIDE)).join(heads.select("doc_id", "n"), "doc_id")
-        links = links.unionByName(staged(_blocks(large.select("doc_id", "comp", "g", "n").distinct(), docs, n, pct), "links"))
-    comp = components(links)
-    out = sets.join(rep, ids, "left").join(comp, F.col("rep") == F.col("node"), "left")
-    known = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    lost = docs.where("doc_id is null").select("doc_id", "text").mapInPandas(
-        lambda it: (pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(shingles(t, n)) for t in b["text"]], "component_id": pd.array([None] * len(b), "Int64")}) for b in it),
-        known.schema,
-    )
+    lost = docs.where("doc_id is null").select("text").mapInArrow(count, "doc_id long, n_shingles long, component_id long")
     return known.unionByName(lost)
 
 

@@ -57,17 +57,66 @@ def near_texts(seed, family, n):
     return out
 
 
-@pytest.mark.parametrize("n,pct,block", [(3, 90, 1024), (5, 80, 1024), (5, 80, 16)])
-def test_jaccard(spark, monkeypatch, n, pct, block):
+def shingled(text, n):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def linked(sets, pct):
+    return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= pct * len(sets[i] | sets[j])]
+
+
+@pytest.mark.parametrize("n,pct,block,frequent", [(3, 90, 2048, 12), (5, 80, 2048, 12), (5, 80, 16, 3)])
+def test_jaccard(spark, monkeypatch, n, pct, block, frequent):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    texts = [*near_texts(1, 12, 9), *near_texts(2, 1, 180), *ODD]
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    rng = random.Random(21)
+    # one core that all texts of a group share, with a tenth to a fourth of each text its own: most pairs are close to the threshold
+    core = [f"c{j}" for j in range(150)]
+    close = [" ".join([*core, *(f"o{k}x{j}" for j in range(rng.randrange(4, 45)))]) for k in range(160)]
+    texts = [*near_texts(1, 12, 9), *near_texts(2, 1, 180), *close, *ODD]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, texts), n, pct).collect()}
-    sets = []
-    for t in texts:
-        w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
-    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= pct * len(sets[i] | sets[j])]
-    assert got == {i: (len(sets[i]), c) for i, c in groups(pairs, range(len(sets))).items()}
+    sets = [shingled(t, n) for t in texts]
+    assert got == {i: (len(sets[i]), c) for i, c in groups(linked(sets, pct), range(len(sets))).items()}
+
+
+def test_jaccard_ids(spark):
+    """Repeated and null ids: rows of one doc_id share a component, rows without an id stand alone."""
+    base = [f"w{i}" for i in range(40)]
+    one, other = " ".join(base), " ".join(f"v{i}" for i in range(30))
+    rows = [(7, one), (7, other), (3, other + " x"), (9, one + " y"), (9, one + " y"), (1, "else where"), (None, one), (None, None), (4, None), (4, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(d, 5, 80).collect())
+    want = [(7, 36, 3), (7, 26, 3), (3, 27, 3), (9, 37, 3), (9, 37, 3), (1, 1, 1), (-1, 36, None), (-1, 0, None), (4, 0, 4), (4, 0, 4)]
+    assert got == sorted(want)
+    gone = {(r.doc_id, r.th) for r in jaccard.near_copies(d, 5, 80).collect()}
+    th = {(r.doc_id, r.text): r.th for r in d.select("doc_id", "text", jaccard.text_hash()).collect()}
+    assert gone == {(7, th[7, other]), (9, th[9, one + " y"])}
+
+
+def test_shingle_sets(monkeypatch):
+    """Words and sets of a batch, cut into small pieces, against Python's own split; bitmaps bound what sets don't share."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [*ODD, *("".join(rng.choice("ab AB\t\x0b\x0c\n\r\xa0\u3000é") for _ in range(rng.randrange(60))) for _ in range(400))]
+    want = {}
+    for piece in (1, 7, 1 << 22):
+        monkeypatch.setattr(jaccard, "PIECE", piece)
+        w, at = jaccard.word_hashes(pa.array(texts))
+        for t, a, b in zip(texts, at, at[1:]):
+            words = (t or "").encode().lower().split()
+            assert len(words) == b - a
+            assert all(want.setdefault(x, h) == h for x, h in zip(words, w[a:b].tolist()))
+    assert len(set(want.values())) == len(want)
+    s, at = jaccard.shingle_sets(pa.array(texts).slice(3), 3)
+    assert [b - a for a, b in zip(at, at[1:])] == [len(shingled(t, 3)) for t in texts[3:]]
+    sets = [np.unique(np.array([rng.randrange(3000) for _ in range(rng.randrange(1, 900))], np.int64)) for _ in range(30)]
+    for x in sets:
+        for y in sets:
+            p, q = (np.frombuffer(jaccard.parities(v), np.uint8)[None] for v in (x, y))
+            width = min(p.shape[1], q.shape[1])
+            assert jaccard.apart(jaccard.folded(p, width), jaccard.folded(q, width))[0] <= len(np.setxor1d(x, y))
 
 
 @pytest.mark.parametrize("n,pct", [(3, 90), (5, 80)])
@@ -85,13 +134,6 @@ def test_jaccard_short(spark, n, pct):
     assert got[3 * 4 * 2][1] == got[3 * 4 * 2 + 1][1] and got[3 * 4][1] != got[3 * 4 + 1][1]
 
 
-def test_shared_between():
-    rng = random.Random(4)
-    sets = [np.unique(np.array([rng.randrange(9000) for _ in range(rng.randrange(2000))], np.int64)) for _ in range(30)]
-    for cut in (0, 1, 11, 30):
-        assert jaccard._shared_between(sets[:cut], sets[cut:]).tolist() == [[len(np.intersect1d(x, y)) for y in sets[cut:]] for x in sets[:cut]]
-
-
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(docs(spark, []).where("false")).count() == 0
 
