@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +31,19 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/docpipe-{tag}-{uuid.uuid4().hex}"
 
 
+#: Removes a query's shuffle files when it ends (they would stay until the driver collects garbage); lost ones are made anew.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and outlives executors."""
     spark = df.sparkSession
-    path = new_dir(spark, tag)
-    df.write.parquet(path)
+    path, before = new_dir(spark, tag), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,34 +80,74 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """(u, v) edges where each task has replaced its own by stars around their smallest nodes; of the same components."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while (up := root.setdefault(top, top)) != top:
+                top = up
+            while x != top:
+                root[x], x = top, root[x]
+            return top
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                u, v = find(u), find(v)
+                root[max(u, v)] = min(u, v)
+        out = np.array([(x, find(x)) for x in list(root)], np.int64).reshape(-1, 2)
+        out = out[out[:, 0] != out[:, 1]]
+        for k in range(0, len(out), 1 << 14):
+            yield pa.record_batch({"u": out[k : k + (1 << 14), 0], "v": out[k : k + (1 << 14), 1]})
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
+def _with_least(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with m, the u's own row of low (u, m, c). Nodes on more than a thousandth of all edges, 2,000 at most, are
+    joined by broadcast, so that none of them is one task."""
+    hot = low.where(F.col("c") * 1000 > total).select("u", F.col("m").alias("hm"))
+    both = edges.join(F.broadcast(hot), "u", "left")
+    rest = both.where("hm is null").join(low.where(F.col("c") * 1000 <= total).select("u", "m"), "u").select("u", "v", "m")
+    return both.where("hm is not null").select("u", "v", F.col("hm").alias("m")).unionByName(rest)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) rows by alternating large-star and small-star steps.
 
-    Returns (node, component), component the smallest node reachable; nodes without an edge have no row. Each
-    step needs only a minimum per node, which is combined before its shuffle, so a hub with a third of all edges
-    is no single task. Only a count and a checksum reach the driver.
+    Returns (node, component), component the smallest node reachable; nodes without an edge have no row. Each task first
+    contracts the edges it holds, so few rounds are needed. A step needs only a minimum per node, which is combined before
+    its shuffle, so a hub with a third of all edges is no single task. Only a count and a checksum reach the driver.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = staged(e, "edges")
-    seen = None
-    for _ in range(max_rounds):
+    e = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v")
+
+    def told(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+    e = staged(contracted(e.distinct()), "edges")
+    seen = told(e)
+    for _ in range(max_rounds if seen[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = _with_least(both.where("v > u"), low, seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
         small = (
-            large.join(low2, "u")
+            _with_least(large, low2, seen[0])
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
             .select("p.u", "p.v").where("u <> v").distinct()
         )
-        e = staged(small, "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        was, e = e, staged(small, "edges")
+        discard(was)
+        now = told(e)
         if now == seen:
             break
         seen = now
     else:
-        raise RuntimeError("components did not settle")
+        if seen[0]:
+            raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -16,8 +16,8 @@ empty). Links are pairs of sets whose Jaccard similarity reaches the threshold;
    bounds the overlap from above. What passes is verified on whole texts: each set's closest candidate first, then the
    candidates that links leave in different components.
 6. Under a larger key that still holds several components, the sets outside its largest one are compared with all others
-   by bitmap, in blocks of ``BLOCK`` by ``BLOCK``: first only the closest pair of two components in a block is verified,
-   then all that remain between components. No link between components is lost, and no key meets in one task.
+   by bitmap, in blocks of ``BLOCK`` by ``BLOCK``: first only pairs that span a block's components, closest ones first, are
+   verified, then all that remain between components. No link between components is lost, and no key meets in one task.
 
 Cases: null and empty texts have the empty set and link with nothing (component_id is their own doc_id); a doc_id on
 several rows keeps its rows, and those with words share a component; rows with null doc_id are left out of links and are
@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, staged
+from .common import components, discard, small_batches, staged
 
-FREQUENT, MOST_FREQUENT, BLOCK = 12, 1 << 18, 2048
+FREQUENT, MOST_FREQUENT, BLOCK = 12, 1 << 18, 1024
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 22
 _HALF = 1 << 62
@@ -344,8 +344,33 @@ def _mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return staged(own.join(top, "key").select("key", "rid", "comp", (F.col("comp") == F.col("top")).alias("main"), "c", (F.col("c") - F.col("m")).alias("p")), "mixed")
 
 
+def spanning(got: np.ndarray) -> np.ndarray:
+    """Of rows (a, b, d, component of a, of b) those that connect the same components, the smallest d first: at most one less than there are."""
+    got, kept = got[np.lexsort((got[:, 1], got[:, 0], got[:, 2]))], []
+    name, label = np.unique(got[:, 3:], return_inverse=True)
+    label, root = label.reshape(-1, 2), np.arange(len(name))
+    while len(got):
+        x = root[label]
+        open_ = x[:, 0] != x[:, 1]
+        got, label, x = got[open_], label[open_], x[open_]
+        # each component's first row, then components that these rows connect
+        _, first = np.unique(x.T.ravel(), return_index=True)
+        for k in np.unique(first % max(1, len(got))):
+            a, b = label[k]
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                kept.append(got[k])
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    return np.array(kept).reshape(-1, 5)
+
+
 def _probed(mixed: DataFrame, heads: DataFrame, pct: int, closest: bool) -> DataFrame:
-    """(a, b, d) of different components under one key that bitmaps do not rule out; closest: one of two components in a block."""
+    """(a, b, d) of different components under one key that bitmaps do not rule out; closest: those that span a block."""
     rows = mixed.join(heads.select("rid", "n", "bits"), "rid")
     block = lambda m: F.ceil(F.col(m) / BLOCK) - 1
     every = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), block("p"))).alias("i"), F.pmod(F.xxhash64("rid"), block("c") + 1).alias("j"), F.lit(False).alias("probe"))
@@ -371,11 +396,7 @@ def _probed(mixed: DataFrame, heads: DataFrame, pct: int, closest: bool) -> Data
                     x, y = np.nonzero(ok)
                     out.append(np.stack([rid[i[x]], rid[at[y]], d[x, y], comp[i[x]], comp[at[y]]], 1))
         got = np.concatenate(out)
-        if closest and len(got):
-            c = np.sort(got[:, 3:], axis=1)
-            order = np.lexsort((got[:, 1], got[:, 0], got[:, 2], c[:, 1], c[:, 0]))
-            got, c = got[order], c[order]
-            got = got[np.concatenate([[True], (c[1:] != c[:-1]).any(1)])]
+        got = spanning(got) if closest else got
         return pa.table({"a": got[:, :2].min(1), "b": got[:, :2].max(1), "d": got[:, 2]}) if len(got) else pa.table({k: pa.array([], pa.int64()) for k in "abd"})
 
     both = every.unionByName(probes).select("key", "i", "j", "rid", "comp", "n", "main", "probe", "bits")
@@ -408,12 +429,16 @@ def _set_components(docs: DataFrame, n: int, pct: int) -> tuple[DataFrame, DataF
     heads = staged(heads.select(F.monotonically_increasing_id().alias("rid"), *ids, "h.*"), "heads")
     rows = staged(sets.select("doc_id", "th", *ids).join(heads.select("rid", *ids), ids, "left").select("doc_id", "th", "n", "rid"), "rows")
 
-    index = staged(_index(heads, pct), "index")
-    index = staged(index.join(_shared(index).select("key"), "key"), "keys")
-    able = index.groupBy("rid").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("rid")
-    index = staged(index.join(able, "rid"), "keys")
+    discard(sets)
+    every = staged(_index(heads, pct), "index")
+    shared = staged(every.join(_shared(every).select("key"), "key"), "keys")
+    discard(every)
+    able = shared.groupBy("rid").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("rid")
+    index = staged(shared.join(able, "rid"), "keys")
+    discard(shared)
     once = _shared(index).groupBy("c", "hub", "sig").agg(F.min("key").alias("key"), F.count("*").alias("times"))
     keys = staged(index.join(once.drop("sig"), "key"), "keys")
+    discard(index)
     large = keys.where(F.col("c") > FREQUENT)
     # a set under a large key may share less under small ones
     free = large.select("rid").distinct().withColumn("free", F.lit(True))
