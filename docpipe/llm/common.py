@@ -76,6 +76,15 @@ def small_batches(f):
     return run
 
 
+def pages(lengths: np.ndarray, most: int = 1 << 22):
+    """(from, to) of runs of texts of about ``most`` characters, one text at least."""
+    at, ends = 0, np.cumsum(lengths)
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 

@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding of merge-type (BPE) vocabularies.
 
 A text is normalised by the model, cut where no piece can reach across, and every different segment is merged once by
-a score-ordered agenda of adjacent symbol pairs: the best-scored, then leftmost, pair whose join is a piece is merged,
-stale pairs are skipped, and what is left is looked up, unknown symbols as UTF-8 bytes. Each new segment is checked
-against the sentencepiece library in the Arrow batch where it first occurs; a difference is an error. A worker remembers
+a score-ordered agenda of adjacent symbol pairs: the best-scored, then leftmost, pair whose join is a piece is merged, and
+what is left is looked up, unknown symbols as UTF-8 bytes. Short segments of one length are the rows of a matrix and take
+a step of their agendas together; long ones have a heap each, where stale pairs are skipped. New segments are checked
+against the sentencepiece library in the Arrow batch where they first occur; a difference is an error. A worker remembers
 about ``REMEMBER`` segments, those of late use. Decoding is the library's own, over all ids of a text.
 
 Cases: null and empty texts have no tokens and decode to the empty text; repeated rows are each encoded; an empty table
@@ -12,16 +13,20 @@ gives an empty result; extra columns are kept as they are unless they bear an ou
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, filterfalse
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBER, SHORT, NEVER = 600_000, 64, float("inf")
+from .common import pages
+
+REMEMBER, SHORT = 1_000_000, 48
 _MODELS: dict[str, "Pieces"] = {}
 
 
@@ -45,26 +50,76 @@ class Pieces:
         self.sep = next(c for c in "\n\t\0\x01" if not any(c in p for p in self.id))  # merges with nothing
         self.between = self.sp.encode(self.sep + self.sep)[len(self.sp.encode(self.sep)) :]
         self.lead = self.sp.encode(self.sep)
-        self.young: dict[str, tuple[list[int], str]] = {}
-        self.old: dict[str, tuple[list[int], str]] = {}
-
-    def merge(self, text: str) -> list[int]:
-        return self.ids(self.by_list(text) if len(text) <= SHORT else self.by_heap(text))
-
-    def by_list(self, text: str) -> list[str]:
-        """A short agenda is a list of scores by position: its first minimum is the next pair, and none is ever stale."""
-        get = self.cost.get
-        agenda = [get(text[i : i + 2], NEVER) for i in range(len(text) - 1)]
-        sym = list(text)
-        while agenda and (best := min(agenda)) < NEVER:
-            i = agenda.index(best)
-            sym[i] = p = sym[i] + sym.pop(i + 1)
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = get(p + sym[i + 1], NEVER)
-            if i:
-                agenda[i - 1] = get(sym[i - 1] + p, NEVER)
-        return sym
+        self.names = [str(i) for i in range(n)]
+        # symbols: pieces by id, then all characters that are none; a pair of symbols whose join is a piece has a rank and a piece
+        self.n, self.symbols, self.piece = n, n + 0x110000, [sp.id_to_piece(i) for i in range(n)]
+        self.of_char = np.arange(n, self.symbols)
+        for c, i in self.id.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = i
+        symbol = self.id | {c: n + ord(c) for c in set("".join(self.id)) - self.id.keys()}
+        rank = {c: k for k, c in enumerate(sorted(set(self.cost.values())))}
+        pairs = [(symbol[p[:k]] * self.symbols + symbol[p[k:]], rank[c], self.id[p]) for p, c in self.cost.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
+        pairs.sort()
+        self.pair, self.rank, self.joined = (np.array([x[i] for x in pairs] or [0], np.int64) for i in range(3))
+        self.never = len(rank) if pairs else 0
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair of symbols and what it joins to; rank ``never``: nothing."""
+        key = left * self.symbols + right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        there = self.pair[at] == key
+        return np.where(there, self.rank[at], self.never), self.joined[at]
+
+    def merge(self, segments: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = [None] * len(segments)
+        by_length: dict[int, list[int]] = {}
+        for k, s in enumerate(segments):
+            by_length.setdefault(len(s), []).append(k)
+        for length, where in by_length.items():
+            if length > SHORT:
+                for k in where:
+                    out[k] = self.ids(self.by_heap(segments[k]))
+                continue
+            code = np.frombuffer("".join([segments[k] for k in where]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(where), length)
+            for rows, got in self.by_matrix(self.of_char[code]):
+                odd = (got >= self.n).any(1)
+                for k, ids in zip(rows.tolist(), got.tolist()):
+                    out[where[k]] = ids
+                for k, sym in zip(rows[odd].tolist(), got[odd].tolist()):
+                    out[where[k]] = self.ids([self.piece[s] if s < self.n else chr(s - self.n) for s in sym])
+        return out
+
+    def by_matrix(self, sym: np.ndarray):
+        """Rows of symbols of one length: in every step each row merges its best pair; yields (rows, their symbols) as they end."""
+        row = np.arange(len(sym))
+        rank, to = self._look(sym[:, :-1], sym[:, 1:])
+        while len(row):
+            if sym.shape[1] == 1:
+                yield row, sym
+                return
+            i = rank.argmin(1)
+            lines = np.arange(len(row))
+            going = rank[lines, i] < self.never
+            if not going.all():
+                yield row[~going], sym[~going]
+                row, sym, rank, to, i = row[going], sym[going], rank[going], to[going], i[going]
+                lines = np.arange(len(row))
+                if not len(row):
+                    return
+            sym[lines, i] = to[lines, i]
+            # symbol i + 1 and pair i go; the pairs on both sides of the new symbol are looked up
+            col = np.arange(sym.shape[1] - 1)
+            sym = np.take_along_axis(sym, col + (col > i[:, None]), 1)
+            col = col[:-1]
+            step = col + (col >= i[:, None])
+            rank, to = np.take_along_axis(rank, step, 1), np.take_along_axis(to, step, 1)
+            for side in (i - 1, i):
+                ok = np.flatnonzero((side >= 0) & (side < sym.shape[1] - 1))
+                k = side[ok]
+                rank[ok, k], to[ok, k] = self._look(sym[ok, k], sym[ok, k + 1])
 
     def by_heap(self, text: str) -> list[str]:
         """A long agenda is a heap; pairs whose symbols have changed are skipped."""
@@ -113,29 +168,26 @@ class Pieces:
         if len(self.young) > REMEMBER // 2:
             self.young, self.old = {}, self.young
         new = []
-        for s in wanted:
-            if s not in self.young:
-                if s in self.old:
-                    self.young[s] = self.old[s]
-                else:
-                    new.append(s)
-        made = [self.merge(self.whole(s)) for s in new]
+        for s in filterfalse(self.young.__contains__, wanted):
+            if s in self.old:
+                self.young[s] = self.old[s]
+            else:
+                new.append(s)
+        made = self.merge([self.whole(s) for s in new])
         for at in range(0, len(new), 2000):
             part = new[at : at + 2000]
             want = self.lead + list(chain.from_iterable(i + self.between for i in made[at : at + 2000]))
             if self.sp.encode(self.sep.join(["", *map(self.whole, part), ""]).replace("▁", " "), num_threads=1) != want:
                 raise ValueError(f"agenda and library differ in one of {part}")
-        for s, ids in zip(new, made, strict=True):
-            self.young[s] = ids, ",".join(map(str, ids))
+        self.young.update(zip(new, map(tuple, made), strict=True))
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """The ids of each text, and these in decimal with commas."""
         cut = [self.segments(t or "") for t in texts]
         self.learn(set(chain.from_iterable(cut)))
-        out = []
-        for c in cut:
-            got = [self.young[s] for s in c]
-            out.append((list(chain.from_iterable(x[0] for x in got)), ",".join([x[1] for x in got])))
-        return out
+        of, name = self.young.__getitem__, self.names.__getitem__
+        ids = [list(chain.from_iterable(map(of, c))) for c in cut]
+        return [(i, ",".join(map(name, i))) for i in ids]
 
 
 def pieces(key: str, model: bytes) -> Pieces:
@@ -154,39 +206,44 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", digests: bo
     made = {"n_tokens": "long"} | ({"ids": "array<int>"} if keep_ids else {}) | ({"ids_sha256": "string", "decoded_sha256": "string"} if digests else {})
     others = [c for c in docs.columns if c.lower() not in {text_col.lower(), *made}]
 
+    held = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+
     def run(batches):
         pc = pieces(key, sent.value)
-        for b in batches:
-            for at in range(0, len(b), 256):
-                p = b.iloc[at : at + 256]
-                got = pc.encode(p["_text"].tolist())
-                cols = {c: p[c] for c in others}
-                cols["n_tokens"] = [len(i) for i, _ in got]
-                if keep_ids:
-                    cols["ids"] = [i for i, _ in got]
-                if digests:
-                    cols["ids_sha256"] = [hashlib.sha256(s.encode()).hexdigest() for _, s in got]
-                    cols["decoded_sha256"] = [hashlib.sha256((pc.sp.decode(i) if i else "").encode("utf-8")).hexdigest() for i, _ in got]
-                yield pd.DataFrame(cols)
-
-    given = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+        gc.disable()  # the many tuples that a worker remembers are in no cycles
+        try:
+            for b in batches:
+                for at, to in pages(b[held].str.len().to_numpy()):
+                    p = b.iloc[at:to]
+                    got = pc.encode(p[held].tolist())
+                    cols = {c: p[c] for c in others}
+                    cols["n_tokens"] = [len(i) for i, _ in got]
+                    if keep_ids:
+                        cols["ids"] = [i for i, _ in got]
+                    if digests:
+                        cols["ids_sha256"] = [hashlib.sha256(s.encode()).hexdigest() for _, s in got]
+                        cols["decoded_sha256"] = [hashlib.sha256((pc.sp.decode(i) if i else "").encode("utf-8")).hexdigest() for i, _ in got]
+                    yield pd.DataFrame(cols)
+        finally:
+            gc.enable()
+
+    given = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(held))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + [f"{k} {v}" for k, v in made.items()])
     return given.mapInPandas(run, schema)
 
 
 def decode(ids: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """ids plus a column text: the library's decoding of each row's ids (null: empty)."""
-    import sentencepiece as spm
-
     with open(model_path, "rb") as f:
-        sent = ids.sparkSession.sparkContext.broadcast(f.read())
+        model = f.read()
+    key, sent = hashlib.sha256(model).hexdigest(), ids.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
     def text(col: pd.Series) -> pd.Series:
-        sp = spm.SentencePieceProcessor(model_proto=sent.value)
-        return pd.Series([sp.decode([int(i) for i in x]) if x is not None and len(x) else "" for x in col])
+        sp = pieces(key, sent.value).sp
+        return pd.Series([sp.decode([int(i) for i in x]) if x is not None and len(x) else "" for x in col], dtype=object)
 
-    return ids.withColumn("text", text(F.col(ids_col)))
+    return ids.withColumn("text", text(F.col(f"`{ids_col}`")))
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
