@@ -16,8 +16,8 @@ something else, so texts are cut there and each worker keeps the ids of pieces i
 late use); new ones go to the library, many at a time. Texts with a special string of the vocabulary or with runs of white
 space around a blank, and all texts for other kinds of vocabulary, go to the library whole.
 
-Cases: null and empty texts hold just the end id; repeated rows are each written, in order of (doc_id, text); null
-doc_ids come first; an empty table gives no files and no rows; extra columns are dropped.
+Cases: null and empty texts hold just the end id; repeated rows are each written, in order of doc_id and a hash of the
+text; null doc_ids come first; an empty table gives no files and no rows; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import hashlib
 import os
 import re
 import struct
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import get_file, new_dir, put_file, staged
+from .common import get_file, new_dir, pages, put_file, staged
 
 MAGIC, HEAD, ROW = b"DPTOK1\0\0", "<8sII32sQ", "<qQIQ"
 HEAD_BYTES, ROW_BYTES = struct.calcsize(HEAD), struct.calcsize(ROW)
@@ -69,31 +69,34 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of blank-led pieces, many in one call of the library: their bytes tell which ids are whose."""
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
+    def _learn(self, new: list[str]) -> bool:
+        """Ids of blank-led pieces, many in one call of the library: their bytes tell which ids are whose. False: they don't
+        line up, so this vocabulary joins across blanks."""
+        for k in range(0, len(new), 4000):
+            part = new[k : k + 4000]
             raw = self._library(["".join([" " + w for w in part])])[0]
             ends = np.cumsum(self.length[np.frombuffer(raw, self.type)])
             wanted = np.cumsum([len(w.encode()) + 1 for w in part])
             at = np.searchsorted(ends, wanted)
             if at[-1] >= len(ends) or not np.array_equal(ends[at], wanted):
-                raise ValueError("pieces are not encoded on their own")
+                return False
             cuts = [0, *((at + 1) * self.type.itemsize).tolist()]
             self.young.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
+        return True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if not self.plain or self.added and self.added.search(t) or BLANKS.search(t) else t.split(" ") for t in texts]
         if len(self.young) > REMEMBER // 2:
             self.young, self.old = {}, self.young
         new = []
-        for w in set(chain.from_iterable(c[1:] for c in cut if c)):
-            if w not in self.young:
-                if w in self.old:
-                    self.young[w] = self.old[w]
-                else:
-                    new.append(w)
-        self._learn(new)
+        for w in filterfalse(self.young.__contains__, set(chain.from_iterable(c[1:] for c in cut if c))):
+            if w in self.old:
+                self.young[w] = self.old[w]
+            else:
+                new.append(w)
+        if not self._learn(new):
+            self.plain, self.young, self.old = False, {}, {}
+            return self.encode(texts)
         first = iter(self._library([t if c is None else c[0] for t, c in zip(texts, cut, strict=True)]))
         get = self.young.__getitem__
         return [next(first) + (b"".join(map(get, c[1:])) if c else b"") for c in cut]
@@ -162,8 +165,8 @@ def write(docs: DataFrame, vocabulary_path: str, out_uri: str, end_id: int = 0)
         for b in batches:
             ids = [NO_ID if pd.isna(i) else int(i) for i in b["doc_id"]]
             texts = b["text"].tolist()
-            for k in range(0, len(texts), 256):
-                for i, raw in zip(ids[k : k + 256], enc.encode(texts[k : k + 256]), strict=True):
+            for k, to in pages(np.array([len(t) for t in texts])):
+                for i, raw in zip(ids[k:to], enc.encode(texts[k:to]), strict=True):
                     raw += end
                     c = z.compress(raw)
                     blobs.append(c)

@@ -306,3 +306,49 @@ def test_sentencepiece(spark):
     got = sentencepieces.encode(docs(spark, ODD), path)
     assert "key" in got.columns and [list(r.ids) for r in got.orderBy("doc_id").collect()] == [sp.encode(t or "") for t in ODD]
     assert [r.text for r in sentencepieces.decode(got, path).orderBy("doc_id").collect()] == [sp.decode(sp.encode(t)) if t else "" for t in ODD]
+
+
+def test_sentencepiece_clash(spark):
+    """Columns that bear names used inside or of outputs, random strings of odd characters, an empty table."""
+    import sentencepiece
+
+    path, rng = tokenizers_file.path("piece_bpe_32k.model"), random.Random(14)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    alpha = list("abcdefghijklmnop qrstuvwxyz  \u2581éßüöä漢字\n\t'-.0123ABCXYZ\u3000ﬁ①🙂\x00")
+    texts = ["".join(rng.choice(alpha) for _ in range(rng.randrange(120))) for _ in range(300)]
+    d = spark.createDataFrame([(i, t, t, 5, "y") for i, t in enumerate(texts)], "doc_id long, text string, _text string, n_tokens int, ids string")
+    got = sentencepieces.encode(d, path, digests=True).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        ids = sp.encode(t)
+        assert list(r.ids) == ids and r.n_tokens == len(ids) and r["_text"] == t
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    assert sentencepieces.encode(d.where("false"), path).count() == 0
+
+
+def test_token_encoder(monkeypatch):
+    """Random strings against the library, with a memory that turns over, and with pieces that do not line up."""
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizers_file.path("byte_bpe_50k.json"), random.Random(15)
+    alpha = list("abcde fghij  \n\té漢🙂'.,0123ABC")
+    texts = ["".join(rng.choice(alpha) for _ in range(rng.randrange(150))) for _ in range(400)]
+    want = [np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(token_files, "REMEMBER", 300)
+    enc = token_files.Encoder(open(path, encoding="utf-8").read())
+    assert [x for k in range(0, 400, 50) for x in enc.encode(texts[k : k + 50])] == want
+    enc.length = enc.length + 1
+    enc.young, enc.old = {}, {}
+    assert enc.encode(texts) == want and not enc.plain
+
+
+def test_token_file_rows(spark, monkeypatch):
+    """Null and repeated ids, several files a task."""
+    monkeypatch.setattr(token_files, "FILE_BYTES", 400)
+    path, out = tokenizers_file.path("byte_bpe_50k.json"), common.new_dir(spark, "t")
+    texts = near_texts(9, 6, 8)
+    rows = [(None, "no id"), (None, None), *((i // 3, t) for i, t in enumerate(texts))]
+    manifest = token_files.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, out)
+    assert manifest.count() > 3
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.start, len(r.ids) // r.width) for r in token_files.read(manifest, out).collect()), key=lambda r: r[1])
+    assert [g[0] for g in got] == sorted(-1 if i is None else i for i, _ in rows)
+    assert [g[1] for g in got] == [sum(g[2] for g in got[:k]) for k in range(len(got))]
