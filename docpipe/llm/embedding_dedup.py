@@ -1,10 +1,11 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
-``TREES`` trees split vectors again and again by random directions at the median; the middle ``2 * SPILL`` of each node's
-vectors goes to both sides. Trees are fitted on at most ``SAMPLE`` vectors (smallest hashes) down to nodes of
-``SAMPLE_LEAF``; every vector is routed through all. Leaves with more than ``LEAF`` vectors are split on, by directions drawn from the
-leaf's own number and quantiles that Spark computes, for as long as they shrink; a leaf that does not is compared in blocks, so no
-leaf is one large group. Inside a leaf all cosines are computed in double precision. Equal vectors are collapsed first.
+Trees (``TREES``, more where they are deep) split vectors again and again by random directions at the median; the middle
+``2 * SPILL`` of each node's vectors goes to both sides. Trees are fitted on at most ``SAMPLE`` vectors (smallest hashes) down to
+nodes of ``SAMPLE_LEAF``; every vector is routed through all. Leaves with more than ``LEAF`` vectors are split on, by directions drawn
+from the leaf's own number and quantiles that Spark computes, each for as long as it shrinks; a leaf that does not, or is left after
+``ROUNDS``, is compared in blocks, so no leaf is one large group. Inside a leaf all cosines are computed in double precision. Equal
+vectors are collapsed first. Vectors of other lengths than most have trees of their own, each of which begins with all of one length.
 
 Splits would cut groups of near copies larger than a leaf, so these are taken out first, from the table and from each leaf before it is
 split: a hashed probe gives pivots that link with at least a ``DENSE``-th of it (``CUT``: no fitted node with such a pivot is split). Rows
@@ -15,12 +16,14 @@ A pair is counted in the first leaf that holds both (vectors carry their leaves)
 one row per vector: its counted links and the smallest vector it is connected with there. These give components.
 
 Recall against brute force is measured in the tests; every reported link is exact. Cases: vectors that are null, zero or
-hold null or non-finite components, or whose length is not that of most, link with nothing; repeated rows of a vec_id count as vectors of their own;
+hold null or non-finite components link with nothing, vectors of different lengths not with each other; repeated rows of a vec_id count as vectors of their own;
 null vec_ids link with nothing and have a null component; an empty table gives an empty result; extra columns are dropped.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,6 +36,18 @@ TREES, SPILL, SAMPLE, SAMPLE_LEAF, LEAF, ROUNDS = 14, 0.06, 8192, 24, 768, 48
 PROBE, LEAF_PROBE, DENSE, CUT = 2048, 256, 64, 8
 
 
+def trees_for(n: int) -> int:
+    """Trees for n vectors: a pair of cosine 0.9 shares a tree's leaf of depth d with probability exp(-0.0535 d) or so, as measured
+    at depths 9 to 14; so many trees miss one pair of a thousand."""
+    depth = np.log(max(1.0, 2 * n / LEAF)) / np.log(1 / (0.5 + SPILL))
+    return max(TREES, int(np.ceil(np.log(1e-3) / np.log1p(-np.exp(-0.0535 * max(1.0, depth))))))
+
+
+@lru_cache(maxsize=4096)
+def direction(seed: int, width: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal(width)
+
+
 def pivots(x: np.ndarray, least: float, share: int) -> np.ndarray:
     """Rows of a probe that link with a ``share``-th of it or more, each counted without what links with those before it."""
     linked, out = x @ x.T >= least, []
@@ -57,17 +72,16 @@ def canopies(x: np.ndarray, p: np.ndarray, least: float) -> tuple[np.ndarray, np
     return row, k, first[row] == k, first < 0
 
 
-def fit_tree(x: np.ndarray, depth: int, seed: int, least: float) -> list[tuple[np.ndarray, float, float] | None]:
-    """Nodes in heap order: direction and the two thresholds between which vectors go both ways; None: leaf."""
-    rng, nodes, held = np.random.default_rng(seed), [None] * (1 << depth), {1: np.arange(len(x))}
+def fit_tree(x: np.ndarray, depth: int, seed: int, least: float) -> list[tuple[int, float, float] | None]:
+    """Nodes in heap order: a direction's seed and the two thresholds between which vectors go both ways; None: leaf."""
+    nodes, held = [None] * (1 << depth), {1: np.arange(len(x))}
     for i in range(1, 1 << depth):
-        d = rng.standard_normal(x.shape[1])
         at = held.pop(i, None)
         if at is None or len(at) < 2 * SAMPLE_LEAF or len(pivots(x[at[:LEAF_PROBE]], least, CUT)):
             continue
-        v = x[at] @ d
+        v = x[at] @ direction((seed << 32) + i, x.shape[1])
         lo, hi = np.quantile(v, [0.5 - SPILL, 0.5 + SPILL])
-        nodes[i] = (d, lo, hi)
+        nodes[i] = ((seed << 32) + i, lo, hi)
         held[2 * i], held[2 * i + 1] = at[v <= hi], at[v >= lo]
     return nodes
 
@@ -82,8 +96,8 @@ def route(x: np.ndarray, nodes: list) -> tuple[np.ndarray, np.ndarray]:
         if i >= len(nodes) or nodes[i] is None:
             rows.append(at), leaves.append(np.full(len(at), i))
             continue
-        d, lo, hi = nodes[i]
-        v = x[at] @ d
+        seed, lo, hi = nodes[i]
+        v = x[at] @ direction(seed, x.shape[1])
         todo += [(2 * i, at[v <= hi]), (2 * i + 1, at[v >= lo])]
     return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
@@ -94,7 +108,8 @@ def _unit(col) -> np.ndarray:
 
 
 def _split(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, leaf) one level further down for rows (vec_id, leaf, count, embedding), and the canopies (vec_id, leaf, core) taken out."""
+    """(vec_id, leaf, up) one level further down for rows (vec_id, leaf, count, embedding), up the count of the leaf above, and the
+    canopies (vec_id, leaf, core) taken out."""
 
     def probe(p: pd.DataFrame) -> pd.DataFrame:
         found = pivots(_unit(p["embedding"]), least, CUT)
@@ -102,26 +117,25 @@ def _split(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 
     def project(batches):
         for b in batches:
-            x = _unit(b["embedding"])
             for leaf, at in b.groupby("leaf").indices.items():
-                ids, rest = b["vec_id"].to_numpy()[at], np.ones(len(at), bool)
+                x, ids, rest, up = _unit(b["embedding"].iloc[at]), b["vec_id"].to_numpy()[at], np.ones(len(at), bool), b["count"].iloc[at[0]]
                 some = b["p"].iloc[at[0]]
                 if some is not None:
-                    row, k, core, rest = canopies(x[at], np.stack([np.asarray(q["p"]) for q in some]), least)
-                    yield pd.DataFrame({"vec_id": ids[row], "leaf": leaf, "k": k.astype(np.int32), "core": core, "v": 0.0})
-                v = x[at] @ np.random.default_rng(int(leaf) & ((1 << 63) - 1)).standard_normal(x.shape[1])
-                yield pd.DataFrame({"vec_id": ids[rest], "leaf": leaf, "k": np.int32(-1), "core": True, "v": v[rest]})
+                    row, k, core, rest = canopies(x, np.stack([np.asarray(q["p"]) for q in some]), least)
+                    yield pd.DataFrame({"vec_id": ids[row], "leaf": leaf, "up": up, "k": k.astype(np.int32), "core": core, "v": 0.0})
+                v = x @ direction(int(leaf) & ((1 << 63) - 1), x.shape[1])
+                yield pd.DataFrame({"vec_id": ids[rest], "leaf": leaf, "up": up, "k": np.int32(-1), "core": True, "v": v[rest]})
 
     seen = rows.where(F.pmod(F.xxhash64("vec_id", "leaf"), F.col("count")) < LEAF_PROBE).select("leaf", "embedding")
     found = seen.groupBy("leaf").applyInPandas(probe, "leaf long, k long, p array<double>")
     found = staged(found.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("p")), "pivots")
-    flat = rows.join(found, "leaf", "left").select("vec_id", "leaf", "embedding", "p").mapInPandas(project, "vec_id long, leaf long, k int, core boolean, v double")
+    flat = rows.join(found, "leaf", "left").select("vec_id", "leaf", "count", "embedding", "p").mapInPandas(project, "vec_id long, leaf long, up long, k int, core boolean, v double")
     flat = staged(flat, "projected")
     out = flat.where("k >= 0").select("vec_id", F.xxhash64("leaf", F.lit(-1) - F.col("k")).alias("leaf"), "core")
     flat = flat.where("k < 0")
     cut = flat.groupBy("leaf").agg(F.percentile_approx("v", F.array(F.lit(0.5 - SPILL), F.lit(0.5 + SPILL)), F.lit(2000)).alias("q"))
-    both = flat.join(cut, "leaf").select("vec_id", "leaf", F.explode(F.filter(F.array(F.when(F.col("v") <= F.col("q")[1], 0), F.when(F.col("v") >= F.col("q")[0], 1)), lambda s: s.isNotNull())).alias("s"))
-    return both.select("vec_id", F.xxhash64("leaf", "s").alias("leaf")), out
+    both = flat.join(cut, "leaf").select("vec_id", "leaf", "up", F.explode(F.filter(F.array(F.when(F.col("v") <= F.col("q")[1], 0), F.when(F.col("v") >= F.col("q")[0], 1)), lambda s: s.isNotNull())).alias("s"))
+    return both.select("vec_id", F.xxhash64("leaf", "s").alias("leaf"), "up"), out
 
 
 def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -143,10 +157,19 @@ def _sample(vectors: DataFrame, most: int) -> np.ndarray:
     return _unit(few["embedding"]) if len(few) else np.zeros((0, 1))
 
 
-def leaves_of(vectors: DataFrame, least: float) -> DataFrame:
-    """(vec_id, leaf, core): staged; a leaf number tells tree and node, or the canopy."""
-    spark, kind = vectors.sparkSession, "vec_id long, leaf long, core boolean"
-    x, out = _sample(vectors, SAMPLE), None
+def _own_trees(others: DataFrame, trees: int) -> DataFrame:
+    """(vec_id, leaf) of vectors of other lengths: one leaf for all of a length, or as many as there are trees if it must be split."""
+    sized = others.select("vec_id", F.size("embedding").alias("w"))
+    many = sized.groupBy("w").count().select("w", F.when(F.col("count") > LEAF, trees).otherwise(1).alias("t"))
+    each = sized.join(many, "w").select("vec_id", F.explode(F.sequence(F.lit(1), "t")).alias("t"), "w")
+    return each.select("vec_id", F.xxhash64("w", "t", F.lit(-2)).alias("leaf"))
+
+
+def leaves_of(every: DataFrame, width: int, least: float) -> DataFrame:
+    """(vec_id, leaf, core): staged; a leaf number tells tree and node, or the canopy. width: the length of most vectors."""
+    spark, kind = every.sparkSession, "vec_id long, leaf long, core boolean"
+    vectors, others = every.where(F.size("embedding") == width), every.where(F.size("embedding") != width)
+    x, parts = _sample(vectors, SAMPLE), []
     dense = pivots(x[:PROBE], least, DENSE)
     if len(dense):
         told = spark.sparkContext.broadcast(dense)
@@ -158,16 +181,15 @@ def leaves_of(vectors: DataFrame, least: float) -> DataFrame:
                 yield pd.DataFrame({"vec_id": ids[row], "leaf": k - (1 << 40), "core": core})
                 yield pd.DataFrame({"vec_id": ids[rest], "leaf": 0, "core": True})
 
-        every = staged(vectors.select("vec_id", "embedding").mapInPandas(take, kind), "canopies")
-        out = every.where("leaf < 0")
-        vectors = staged(vectors.join(every.where("leaf = 0").select("vec_id"), "vec_id", "left_semi"), "vectors")
+        taken = staged(vectors.select("vec_id", "embedding").mapInPandas(take, kind), "canopies")
+        parts.append(taken.where("leaf < 0"))
+        vectors = staged(vectors.join(taken.where("leaf = 0").select("vec_id"), "vec_id", "left_semi"), "vectors")
         x = _sample(vectors, SAMPLE)
-        if not len(x):
-            return out
-    depth = max(1, int(np.ceil(np.log(max(1, len(x) / SAMPLE_LEAF)) / np.log(1 / (0.5 + SPILL)))))
     n = vectors.count()
-    depth = min(depth, max(1, int(np.ceil(np.log(max(1.0, n / (LEAF / 2))) / np.log(1 / (0.5 + SPILL))))))
-    sent = spark.sparkContext.broadcast([fit_tree(x, depth, t, least) for t in range(TREES)])
+    trees = trees_for(n)
+    depth = lambda m: max(1, int(np.ceil(np.log(max(1.0, m)) / np.log(1 / (0.5 + SPILL)))))
+    deep = min(depth(len(x) / SAMPLE_LEAF), depth(n / (LEAF / 2)))
+    sent = spark.sparkContext.broadcast([fit_tree(x, deep, t, least) for t in range(trees)] if len(x) else [])
 
     def run(batches):
         for b in batches:
@@ -177,18 +199,16 @@ def leaves_of(vectors: DataFrame, least: float) -> DataFrame:
                 r, leaf = route(x, nodes)
                 yield pd.DataFrame({"vec_id": ids[r], "leaf": leaf.astype(np.int64) + (t << 40)})
 
-    held = staged(vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, leaf long"), "leaves")
-    whole, before, parts = F.lit(True).alias("core"), None, [] if out is None else [out]
+    held = vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, leaf long").unionByName(_own_trees(others, trees))
+    held = staged(held.withColumn("up", F.lit(None).cast("long")), "leaves")
+    whole = F.lit(True).alias("core")
     for _ in range(ROUNDS):
-        sizes = held.groupBy("leaf").count()
-        big = sizes.where(F.col("count") > LEAF)
-        now = big.agg(F.max("count")).first()[0]
-        if now is None or before is not None and now > 0.95 * before:
+        sizes = held.groupBy("leaf").agg(F.count("*").alias("count"), F.max("up").alias("up"))
+        big = staged(sizes.where((F.col("count") > LEAF) & (F.col("up").isNull() | (F.col("count") <= 0.95 * F.col("up")))).select("leaf", "count"), "bigleaves")
+        if big.isEmpty():
             break
-        before = now
-        big = staged(big, "bigleaves")
         parts.append(held.join(big, "leaf", "left_anti").select("vec_id", "leaf", whole))
-        down, taken = _split(held.join(big, "leaf").join(vectors.select("vec_id", "embedding"), "vec_id"), least)
+        down, taken = _split(held.select("vec_id", "leaf").join(big, "leaf").join(every.select("vec_id", "embedding"), "vec_id"), least)
         parts.append(taken)
         held = staged(down, "leaves")
     done = held.select("vec_id", "leaf", whole)
@@ -197,10 +217,10 @@ def leaves_of(vectors: DataFrame, least: float) -> DataFrame:
     return staged(done, "leaves")
 
 
-def forest_links(vectors: DataFrame, least: float) -> DataFrame:
+def forest_links(vectors: DataFrame, width: int, least: float) -> DataFrame:
     """(vec_id, links, root) rows from leaves: links counted there, and the smallest connected vec_id there. vectors: distinct
     vectors (vec_id, embedding, copies)."""
-    leaves = leaves_of(vectors, least)
+    leaves = leaves_of(vectors, width, least)
     sizes = leaves.groupBy("leaf").agg(F.count("*").alias("count"), F.count_if("core").alias("cores")).where("count > 1")
     sizes = sizes.select("leaf", F.ceil(F.col("cores") / (2 * LEAF)).alias("nc"), F.ceil((F.col("count") - F.col("cores")) / (2 * LEAF)).alias("nr"))
     # a few per tree; two rows of a rim only are not compared in that leaf
@@ -242,13 +262,12 @@ def embedding_components(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = every.where(sound & finite)
     width = good.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    good = good.where(F.size("embedding") == (width.w if width else 0))
     base = staged(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).select("vec_id", "embedding", "copies"), "vectors")
     # one vec_id may stand for several vectors when ids repeat: a number of its own tells them apart
     base = staged(base.withColumn("vid", F.col("vec_id")).withColumn("vec_id", F.monotonically_increasing_id()), "vectors")
     if width is None:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = staged(forest_links(base, least), "links")
+    found = staged(forest_links(base, width.w, least), "links")
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     number = base.select("vec_id", "vid")
     edges = found.where("vec_id <> root").select("vec_id", "root").distinct().join(number, "vec_id").join(number.select(F.col("vec_id").alias("root"), F.col("vid").alias("rid")), "root")
@@ -261,7 +280,7 @@ def embedding_components(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         rows.join(links.withColumnRenamed("vec_id", "num"), "num", "left").join(comp, F.col("vec_id") == F.col("node"), "left")
         .select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     )
-    bad = every.where(~F.coalesce(sound & finite & (F.size("embedding") == width.w), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    bad = every.where(~F.coalesce(sound & finite, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
