@@ -7,7 +7,7 @@ in hash order; L1 leaves a few thousand weights, which are all that reaches the
 workers. Scoring is one pass without a shuffle.
 
 Cases: null and empty texts score by the bias alone; a label row that is null in doc_id or label is not learnt from;
-a doc_id with several labels is learnt from once, as toxic if any says so; repeated documents are each scored; no usable
+a doc_id with several labels or texts is learnt from once, as toxic if any label says so; repeated documents are each scored; no usable
 label gives the score 0 everywhere (all predicted 0); an empty table gives an empty result; extra columns are dropped.
 """
 
@@ -72,7 +72,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[flo
     )
     there = docs.select("doc_id").where(~held_out(F.col("doc_id"))).distinct()
     picked = known.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # max_fit rows
+    # max_fit rows, one of each doc_id: of several texts the one with the smallest hash
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches):
         for b in batches:
