@@ -2,13 +2,14 @@
 
 A text and a template are compared as word lists. Words that stand exactly once in both are anchors; the longest
 increasing run of their places is kept, and the gaps between kept anchors are aligned the same way, where words that were
-not unique in the whole may be. Equal words next to an aligned pair are added before a gap is searched. Coverage is the
+not unique in the whole may be. Equal words next to anchors, at the ends of a gap, are added before it is searched. Coverage is the
 share of the template's words that are aligned. The scan is one pass over whole texts without a shuffle; words that no
 template holds are counted as places but never looked at.
 
 A template is found wherever a stretch of the text of at most ``SPREAD`` times its length holds ``LEAST`` of its words in order:
 every such window of the whole text whose word counts allow it is compared by its longest common subsequence, so repeated and mixed
-notices are found each. The best coverage is that of the alignment with the whole text or of a window. Cases: null and empty texts have coverage 0 for all; repeated rows are each scanned; ties between
+notices are found each. The best coverage is that of the alignment with the whole text or of a window; of equal ones, that of
+the template given first. Cases: null and empty texts have coverage 0 for all; repeated rows are each scanned; ties between
 templates keep all that are found, in the order given; an empty table gives an empty result; extra columns are dropped.
 """
 
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,50 +51,61 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def anchors(a: list, b: list, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Words that stand once in each of two stretches, thinned to the longest run that increases in both."""
+    in_b: dict = {}
+    for j in range(b0, b1):
+        in_b[b[j]] = -1 if b[j] in in_b else j
+    in_a: dict = {}
+    for i in range(a0, a1):
+        if in_b.get(a[i], -1) >= 0:
+            in_a[a[i]] = -1 if a[i] in in_a else i
+    both = sorted((i, in_b[w]) for w, i in in_a.items() if i >= 0)
+    return [both[k] for k in increasing([j for _, j in both])]
+
+
 def align(a: list, b: list) -> list[tuple[int, int]]:
-    """Pairs (i, j), increasing in both, with a[i] == b[j]. Gaps are kept on a list, so depth is no limit."""
-    pairs, gaps = [], [(0, len(a), 0, len(b))]
+    """Pairs (i, j), increasing in both, with a[i] == b[j]: anchors first, then the gaps between them, where equal words next to an
+    anchor are taken, then anchors again; without an anchor, equal words at either end. Gaps are kept on a list, so depth is no limit."""
+    pairs, gaps = [], [(0, len(a), 0, len(b), False, False)]
     while gaps:
-        a0, a1, b0, b1 = gaps.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+        a0, a1, b0, b1, left, right = gaps.pop()
+        while left and a0 < a1 and b0 < b1 and a[a0] == b[b0]:
             pairs.append((a0, b0))
             a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+        while right and a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             pairs.append((a1, b1))
         if a0 >= a1 or b0 >= b1:
             continue
-        in_b: dict = {}
-        for j in range(b0, b1):
-            in_b[b[j]] = -1 if b[j] in in_b else j
-        in_a: dict = {}
-        for i in range(a0, a1):
-            if in_b.get(a[i], -1) >= 0:
-                in_a[a[i]] = -1 if a[i] in in_a else i
-        both = sorted((i, in_b[w]) for w, i in in_a.items() if i >= 0)
-        if not both:
+        kept = anchors(a, b, a0, a1, b0, b1)
+        if not kept:
+            if not (left and right) and (a[a0] == b[b0] or a[a1 - 1] == b[b1 - 1]):
+                gaps.append((a0, a1, b0, b1, True, True))
             continue
-        kept = [both[k] for k in increasing([j for _, j in both])]
-        for (i0, j0), (i1, j1) in zip([(a0 - 1, b0 - 1), *kept], [*kept, (a1, b1)], strict=True):
-            gaps.append((i0 + 1, i1, j0 + 1, j1))
         pairs += kept
+        ends = [(a0 - 1, b0 - 1), *kept, (a1, b1)]
+        for k, ((i0, j0), (i1, j1)) in enumerate(zip(ends, ends[1:])):
+            gaps.append((i0 + 1, i1, j0 + 1, j1, left or k > 0, right or k < len(kept)))
     return sorted(pairs)
 
 
-def scan_text(text: str | None, templates: dict[str, list], vocabulary: set) -> list[tuple[str, float, int, int, int]]:
-    """(template, coverage, aligned words, first and last word place) for every template with an aligned word."""
-    words = words_of(text)
-    at = [i for i, w in enumerate(words) if w in vocabulary]
-    some = [words[i] for i in at]
-    out = []
-    for name, t in templates.items():
-        if not (mine := set(t)) or not mine.intersection(some):
-            continue
-        place = [k for k, w in enumerate(some) if w in mine]
-        pairs = align([some[k] for k in place], t)
-        if pairs:
-            out.append((name, len(pairs) / len(t), len(pairs), at[place[pairs[0][0]]], at[place[pairs[-1][0]]]))
-    return out
+class Template:
+    """A template's words, what is counted of them, and their places as bits from its start and from its end."""
+
+    def __init__(self, name: str, words: list, least: float = LEAST):
+        self.name, self.words, self.size = name, words, len(words)
+        self.left = Counter(words)
+        self.bits, self.back = ({w: sum(1 << j for j, x in enumerate(u) if x == w) for w in set(words)} for u in (words, words[::-1]))
+        self.need = next((m for m in range(1, self.size + 1) if m / self.size >= least), self.size + 1)
+
+    def most(self, have: Counter) -> int:
+        """Words that a text with these counts can hold at most."""
+        return sum(min(c, have[w]) for w, c in self.left.items() if w in have)
+
+
+def templates_of(texts: dict[str, str], least: float = LEAST) -> list[Template]:
+    return [Template(k, w, least) for k, v in texts.items() if (w := words_of(v))]
 
 
 def common(a: list, bits: dict, size: int, stop: int) -> tuple[int, int]:
@@ -113,22 +124,11 @@ def common(a: list, bits: dict, size: int, stop: int) -> tuple[int, int]:
     return best, end
 
 
-@lru_cache(maxsize=256)
-def tables(t: tuple) -> tuple[Counter, dict, dict]:
-    """Counts of a template's words, and their places as bits from its start and from its end."""
-    bits, back = ({w: sum(1 << j for j, x in enumerate(u) if x == w) for w in set(t)} for u in (t, t[::-1]))
-    return Counter(t), bits, back
-
-
-def windows(some: list, at: list[int], t: list, least: float, spread: float) -> list[tuple[int, int, int]]:
+def windows(some: list, at: list[int], t: Template, spread: float = SPREAD) -> list[tuple[int, int, int]]:
     """(aligned words, first and last word place) of every stretch, from left to right and apart, that holds the template."""
-    size, (left, bits, back) = len(t), tables(tuple(t))
-    need = next((m for m in range(1, size + 1) if m / size >= least), size + 1)
+    size, need, left, bits = t.size, t.need, t.left, t.bits
     place = [k for k, w in enumerate(some) if w in bits]
     a, pos = [some[k] for k in place], [at[k] for k in place]
-    have = Counter(a)
-    if sum(min(c, have[w]) for w, c in left.items()) < need:
-        return []
     out, i, j, held, hold = [], 0, 0, 0, Counter()
     after = 0  # where the last window ended
     while i < len(a):
@@ -140,7 +140,7 @@ def windows(some: list, at: list[int], t: list, least: float, spread: float) ->
             got, end = common(a[i:j], bits, size, need)
             if got >= need:
                 # the latest start for that end, then what the missing words may add on either side
-                start, end = i + end - common(a[i : i + end][::-1], back, size, need)[1], i + end
+                start, end = i + end - common(a[i : i + end][::-1], t.back, size, need)[1], i + end
                 reach = end
                 while reach < len(a) and pos[reach] - pos[end - 1] <= size - need and pos[reach] - pos[start] < spread * size:
                     reach += 1
@@ -149,8 +149,11 @@ def windows(some: list, at: list[int], t: list, least: float, spread: float) ->
                 low = start
                 while low > after and pos[start] - pos[low - 1] <= size - got and pos[top - 1] - pos[low - 1] < spread * size:
                     low -= 1
-                got, n = common(a[low:top][::-1], back, size, size)
-                out.append((got, pos[top - n], pos[top - 1]))
+                got = common(a[low:top][::-1], t.back, size, size)[0]
+                # the patience alignment tells which words these are; where words repeat it may find fewer than there are
+                pairs = align(a[low:top], t.words)
+                first = low + (pairs[0][0] if len(pairs) >= got else top - low - common(a[low:top][::-1], t.back, size, size)[1])
+                out.append((got, pos[first], pos[top - 1]))
                 after = top
         held -= hold[a[i]] <= left[a[i]]
         hold[a[i]] -= 1
@@ -158,27 +161,38 @@ def windows(some: list, at: list[int], t: list, least: float, spread: float) ->
     return out
 
 
-def found_in(text: str | None, templates: dict[str, list], vocabulary: set, least: float = LEAST, spread: float = SPREAD) -> list[tuple[str, float, int, int, int]]:
-    """(template, coverage, aligned words, first and last word place) of every window in which a template is found."""
+def scan_text(text: str | None, templates: list[Template], vocabulary: set, spread: float = SPREAD) -> tuple[str | None, float, list[tuple]]:
+    """(template of the best coverage, that coverage, windows found), the windows as (template, coverage, aligned words, first and
+    last word place). Coverage is that of the alignment of the whole text or of a window; templates whose words cannot do better
+    than the best so far are not aligned."""
     words = words_of(text)
     at = [i for i, w in enumerate(words) if w in vocabulary]
+    if not at:
+        return None, 0.0, []
     some = [words[i] for i in at]
-    return [(name, n / len(t), n, f, e) for name, t in templates.items() for n, f, e in (windows(some, at, t, least, spread) if t else [])]
+    have = Counter(some)
+    most = [t.most(have) for t in templates]
+    found = [(t.name, n / t.size, n, f, e) for t, m in zip(templates, most, strict=True) if m >= t.need for n, f, e in windows(some, at, t, spread)]
+    best = [max((g[1] for g in found if g[0] == t.name), default=0.0) for t in templates]
+    for k in sorted(range(len(templates)), key=lambda k: -most[k] / templates[k].size):
+        t = templates[k]
+        if most[k] and most[k] / t.size >= max(best) and best[k] < 1:
+            best[k] = max(best[k], len(align([w for w in some if w in t.bits], t.words)) / t.size)
+    top = max(best)
+    return (templates[best.index(top)].name, top, found) if top else (None, 0.0, found)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, spread: float = SPREAD) -> DataFrame:
     """(doc_id, best_template, best_coverage, found array<struct<template, coverage, matched, first, last>>) of every row."""
-    lists = {k: words_of(v) for k, v in templates.items()}
-    vocabulary = {w for t in lists.values() for w in t}
+    made = templates_of(templates, least)
+    vocabulary = {w for t in made for w in t.bits}
 
     def run(batches):
         for b in batches:
             best, cover, found = [], [], []
             for text in b["text"]:
-                got = scan_text(text, lists, vocabulary)
-                held = found_in(text, lists, vocabulary, least, spread)
-                top = max([*got, *held], key=lambda g: g[1], default=(None, 0.0))
-                best.append(top[0]), cover.append(float(top[1]))
+                name, top, held = scan_text(text, made, vocabulary, spread)
+                best.append(name), cover.append(float(top))
                 found.append([dict(zip(("template", "coverage", "matched", "first", "last"), g, strict=True)) for g in held])
             yield pd.DataFrame({"doc_id": b["doc_id"], "best_template": best, "best_coverage": cover, "found": found})
 
