@@ -17,10 +17,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all machines share (spark.checkpoint.dir); a temporary one where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()

@@ -5,7 +5,8 @@ words of an item; a shorter item that has words is one window. The work, for blo
 that what is broadcast is bounded however many items there are:
 
 1. count each benchmark term over all documents; every window picks its ``ANCHORS`` rarest terms;
-2. postings (term, document, position) of these terms are stored as a table, one row per posting;
+2. postings (term, position) of these terms are stored as a table with one row per document, its two lists side by side;
+   ``inverted`` reads it as one row per posting;
 3. offset-adjusted lists are intersected: a posting at p of a term at item offset o votes for diagonal p - o; a
    (document, item, diagonal) goes on when all anchors of some window voted;
 4. survivors are compared word by word along the diagonal, which gives exact hits.
@@ -157,7 +158,7 @@ def _hits(docs: DataFrame, index: DataFrame, block, need, ids, size: int) -> Dat
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, hits, items) for every row of docs: positions of hit words and items that occur."""
+    """(doc_id, th, n_words, n_hit, hits, items) for every row of docs: a hash of its text, positions of hit words and items that occur."""
     docs = docs.select("doc_id", "text")
     base, found = None, None
     for block in blocks_of(benchmark, size):
@@ -177,29 +178,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
         )
     if found is None:
         base = postings(docs, {}).select("doc_id", "th", "n_words")
-        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<long>").alias("items"))
+        return base.select("doc_id", "th", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<long>").alias("items"))
     found = found.select(F.col("doc_id").alias("fd"), F.col("th").alias("ft"), "hits", "items")
     out = base.join(found, F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("th") == F.col("ft")), "left")
     return out.select(
-        "doc_id", "n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"),
+        "doc_id", "th", "n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<long>")).alias("items"),
     )
 
 
-def proximity(index: DataFrame, phrases: dict[int, list[int]], slop: int) -> DataFrame:
-    """(doc_id, th, phrase, pos): rarest-first matches where every term of the phrase stands within ``slop`` words of
-    its place relative to the first term. ``index`` is a postings table, ``phrases`` maps ids to term ids."""
-    post, out = inverted(index), None
-    for p, terms in phrases.items():
-        got = post.where(F.col("term") == terms[0]).select("doc_id", "th", "pos").distinct()
-        for o, t in enumerate(terms[1:], 1):
-            near = post.where(F.col("term") == t).select(F.col("doc_id").alias("nd"), F.col("th").alias("nt"), F.col("pos").alias("np")).distinct()
-            got = got.join(
-                near, F.col("doc_id").eqNullSafe(F.col("nd")) & (F.col("th") == F.col("nt")) & (F.abs(F.col("np") - F.col("pos") - o) <= slop), "left_semi"
-            )
-        got = got.select("doc_id", "th", F.lit(p).alias("phrase"), "pos")
-        out = got if out is None else out.unionByName(got)
-    return out
+def proximity(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
+    """(doc_id, th, phrase, pos): where a posting of the phrase's rarest term stands so that every other term has a posting within
+    ``slop`` words of its place relative to that one. ``index`` is a postings table, ``phrases`` has rows (phrase, off, term).
+
+    Lists are intersected from the rarest term: its postings become places of the phrase, and those of the other terms are joined
+    to places in the same or a neighbouring cell of ``slop + 1`` words, so a frequent term meets only what is near."""
+    post = inverted(index).join(phrases, "term").select("phrase", "off", "term", "doc_id", "th", "pos", (F.col("pos") - F.col("off")).alias("diag"))
+    rarest = post.groupBy("phrase", "off", "term").agg(F.count("*").alias("c")).groupBy("phrase").agg(F.min(F.struct("c", "term", "off"))["off"].alias("off"))
+    cell = F.floor(F.col("diag") / (slop + 1))
+    start = post.join(rarest, ["phrase", "off"]).select("phrase", "doc_id", "th", F.col("pos").alias("at"), F.col("diag").alias("place"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    near = post.select("phrase", "off", F.col("doc_id").alias("nd"), F.col("th").alias("nt"), "diag", cell.alias("cell"))
+    same = (start["phrase"] == near["phrase"]) & (start["cell"] == near["cell"]) & F.col("doc_id").eqNullSafe(F.col("nd")) & (F.col("th") == F.col("nt"))
+    both = start.join(near, same).drop(near["phrase"], near["cell"]).where(F.abs(F.col("diag") - F.col("place")) <= slop)
+    met = both.groupBy("phrase", "doc_id", "th", "at").agg(F.count_distinct("off").alias("met"))
+    long = phrases.groupBy("phrase").agg(F.count_distinct("off").alias("long"))
+    return met.join(long, "phrase").where("met = long").select("doc_id", "th", "phrase", F.col("at").alias("pos"))
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
