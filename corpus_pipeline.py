@@ -2,9 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read back as the next one's
 docs. All but the last return the columns of documents; whole documents are kept or go. Duplicates are found on five-word
-shingles at a similarity of 0.8 or more; the smallest doc_id of a group stays. Rows equal in doc_id and text are one document; rows that
-share a doc_id only are documents of their own, and rows without one stay. ORACLE_SQL is None: SQL expresses
-neither the classifier nor the tokenizer; the tests compare with brute force.
+shingles at a similarity of 0.8 or more; the row of the smallest doc_id of a group stays. Rows equal in doc_id and text are
+one document; rows that share a doc_id only are documents of their own. Rows without a doc_id are no duplicates of anything,
+but go if toxic or contaminated. ORACLE_SQL is None: SQL expresses neither the classifier nor the tokenizer;
+tests/llm/test_pipeline.py compares stages and whole with brute force.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from docpipe.llm.common import staged
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, bad_ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not among bad_ids; rows without an id stay."""
-    return docs.join(bad_ids.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Semi- or anti-join of docs with staged (doc_id, th) rows; Spark sends them to all tasks only while their table is small."""
+    rows = rows.select(F.col("doc_id").alias("_other_id"), F.col("th").alias("_other_text"))
+    same = docs["doc_id"].eqNullSafe(rows["_other_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == rows["_other_text"])
+    return docs.join(rows, same, how)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,17 +33,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = staged(jaccard.near_copies(docs, n=5, pct=80), "copies").distinct()
-    left = docs.withColumn("th", jaccard.text_hash()).join(copies, ["doc_id", "th"], "left_anti")
-    known = left.where("doc_id is not null")
-    if not known.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
-        left = known.dropDuplicates(["doc_id", "th"]).unionByName(left.where("doc_id is null"))
-    return left.select(*docs.columns)
+    left = _matching(docs, jaccard.near_copies(docs, n=5, pct=80), "left_anti")
+    known = docs.where("doc_id is not null").groupBy("doc_id", jaccard.text_hash())
+    twice = staged(known.agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "th"), "repeats")
+    if twice.isEmpty():
+        return left
+    return _matching(left, twice, "left_anti").unionByName(_matching(left, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _kept(docs, found.where("n_hit > 0"))
+    return _matching(docs, staged(found.where("n_hit > 0").select("doc_id", "th").distinct(), "contaminated"), "left_anti")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
