@@ -37,7 +37,7 @@ from .common import components, discard, small_batches, staged
 
 FREQUENT, MOST_FREQUENT, BLOCK = 12, 1 << 18, 1024
 #: Bytes of text that are hashed at once.
-PIECE = 1 << 22
+PIECE = 1 << 18
 _HALF = 1 << 62
 U = np.uint64
 ODD = 0x9E3779B97F4A7C15

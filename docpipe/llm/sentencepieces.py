@@ -13,7 +13,6 @@ gives an empty result; extra columns are kept as they are unless they bear an ou
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from heapq import heapify, heappop, heappush
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import pages
 
-REMEMBER, SHORT = 1_000_000, 48
+REMEMBER, SHORT, ROWS = 500_000, 48, 1 << 14
 _MODELS: dict[str, "Pieces"] = {}
 
 
@@ -48,12 +47,11 @@ class Pieces:
         self.cuts = sp.normalize("a")[:1] == "▁" and not any(re.search("[^▁]▁", p) for p in self.id)
         self.cut = re.compile("▁+[^▁]*")
         self.sep = next(c for c in "\n\t\0\x01" if not any(c in p for p in self.id))  # merges with nothing
-        self.between = self.sp.encode(self.sep + self.sep)[len(self.sp.encode(self.sep)) :]
-        self.lead = self.sp.encode(self.sep)
         self.names = [str(i) for i in range(n)]
         # symbols: pieces by id, then all characters that are none; a pair of symbols whose join is a piece has a rank and a piece
         self.n, self.symbols, self.piece = n, n + 0x110000, [sp.id_to_piece(i) for i in range(n)]
-        self.of_char = np.arange(n, self.symbols)
+        self.of_char = np.arange(n, self.symbols, dtype=np.int32)
+        self.type = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         for c, i in self.id.items():
             if len(c) == 1:
                 self.of_char[ord(c)] = i
@@ -61,37 +59,44 @@ class Pieces:
         rank = {c: k for k, c in enumerate(sorted(set(self.cost.values())))}
         pairs = [(symbol[p[:k]] * self.symbols + symbol[p[k:]], rank[c], self.id[p]) for p, c in self.cost.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
         pairs.sort()
-        self.pair, self.rank, self.joined = (np.array([x[i] for x in pairs] or [0], np.int64) for i in range(3))
+        self.pair, self.rank, self.joined = (np.array([x[i] for x in pairs] or [0], kind) for i, kind in enumerate((np.int64, np.int32, np.int32)))
         self.never = len(rank) if pairs else 0
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        lead = sp.encode(self.sep)
+        self.lead, self.between = np.array(lead, self.type).tobytes(), np.array(sp.encode(self.sep + self.sep)[len(lead) :], self.type).tobytes()
+        self.young: dict[str, bytes] = {}  # a segment's ids, serialised
+        self.old: dict[str, bytes] = {}
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair of symbols and what it joins to; rank ``never``: nothing."""
-        key = left * self.symbols + right
+        key = left.astype(np.int64) * self.symbols + right
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         there = self.pair[at] == key
-        return np.where(there, self.rank[at], self.never), self.joined[at]
+        return np.where(there, self.rank[at], np.int32(self.never)), self.joined[at]
 
-    def merge(self, segments: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(segments)
+    def merge(self, segments: list[str]) -> list[bytes]:
+        out = [b""] * len(segments)
         by_length: dict[int, list[int]] = {}
         for k, s in enumerate(segments):
             by_length.setdefault(len(s), []).append(k)
-        for length, where in by_length.items():
+        for length, every in by_length.items():
             if length > SHORT:
-                for k in where:
-                    out[k] = self.ids(self.by_heap(segments[k]))
+                for k in every:
+                    out[k] = self.serial(self.ids(self.by_heap(segments[k])))
                 continue
-            code = np.frombuffer("".join([segments[k] for k in where]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(where), length)
-            for rows, got in self.by_matrix(self.of_char[code]):
-                odd = (got >= self.n).any(1)
-                for k, ids in zip(rows.tolist(), got.tolist()):
-                    out[where[k]] = ids
-                for k, sym in zip(rows[odd].tolist(), got[odd].tolist()):
-                    out[where[k]] = self.ids([self.piece[s] if s < self.n else chr(s - self.n) for s in sym])
+            for part in range(0, len(every), ROWS):
+                where = every[part : part + ROWS]
+                code = np.frombuffer("".join([segments[k] for k in where]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(where), length)
+                for rows, got in self.by_matrix(self.of_char[code]):
+                    odd, raw, wide = (got >= self.n).any(1), got.astype(self.type).tobytes(), got.shape[1] * self.type.itemsize
+                    for j, k in enumerate(rows.tolist()):
+                        out[where[k]] = raw[j * wide : (j + 1) * wide]
+                    for k, sym in zip(rows[odd].tolist(), got[odd].tolist()):
+                        out[where[k]] = self.serial(self.ids([self.piece[s] if s < self.n else chr(s - self.n) for s in sym]))
         return out
 
+    def serial(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.type).tobytes()
+
     def by_matrix(self, sym: np.ndarray):
         """Rows of symbols of one length: in every step each row merges its best pair; yields (rows, their symbols) as they end."""
         row = np.arange(len(sym))
@@ -176,17 +181,17 @@ class Pieces:
         made = self.merge([self.whole(s) for s in new])
         for at in range(0, len(new), 2000):
             part = new[at : at + 2000]
-            want = self.lead + list(chain.from_iterable(i + self.between for i in made[at : at + 2000]))
-            if self.sp.encode(self.sep.join(["", *map(self.whole, part), ""]).replace("▁", " "), num_threads=1) != want:
+            want = b"".join([self.lead, *(i + self.between for i in made[at : at + 2000])])
+            if self.serial(self.sp.encode(self.sep.join(["", *map(self.whole, part), ""]).replace("▁", " "), num_threads=1)) != want:
                 raise ValueError(f"agenda and library differ in one of {part}")
-        self.young.update(zip(new, map(tuple, made), strict=True))
+        self.young.update(zip(new, made, strict=True))
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """The ids of each text, and these in decimal with commas."""
         cut = [self.segments(t or "") for t in texts]
         self.learn(set(chain.from_iterable(cut)))
         of, name = self.young.__getitem__, self.names.__getitem__
-        ids = [list(chain.from_iterable(map(of, c))) for c in cut]
+        ids = [np.frombuffer(b"".join(map(of, c)), self.type).tolist() for c in cut]
         return [(i, ",".join(map(name, i))) for i in ids]
 
 
@@ -210,22 +215,18 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", digests: bo
 
     def run(batches):
         pc = pieces(key, sent.value)
-        gc.disable()  # the many tuples that a worker remembers are in no cycles
-        try:
-            for b in batches:
-                for at, to in pages(b[held].str.len().to_numpy()):
-                    p = b.iloc[at:to]
-                    got = pc.encode(p[held].tolist())
-                    cols = {c: p[c] for c in others}
-                    cols["n_tokens"] = [len(i) for i, _ in got]
-                    if keep_ids:
-                        cols["ids"] = [i for i, _ in got]
-                    if digests:
-                        cols["ids_sha256"] = [hashlib.sha256(s.encode()).hexdigest() for _, s in got]
-                        cols["decoded_sha256"] = [hashlib.sha256((pc.sp.decode(i) if i else "").encode("utf-8")).hexdigest() for i, _ in got]
-                    yield pd.DataFrame(cols)
-        finally:
-            gc.enable()
+        for b in batches:
+            for at, to in pages(b[held].str.len().to_numpy(), 1 << 20):
+                p = b.iloc[at:to]
+                got = pc.encode(p[held].tolist())
+                cols = {c: p[c] for c in others}
+                cols["n_tokens"] = [len(i) for i, _ in got]
+                if keep_ids:
+                    cols["ids"] = [i for i, _ in got]
+                if digests:
+                    cols["ids_sha256"] = [hashlib.sha256(s.encode()).hexdigest() for _, s in got]
+                    cols["decoded_sha256"] = [hashlib.sha256((pc.sp.decode(i) if i else "").encode("utf-8")).hexdigest() for i, _ in got]
+                yield pd.DataFrame(cols)
 
     given = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(held))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + [f"{k} {v}" for k, v in made.items()])
