@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import tempfile
 import uuid
@@ -12,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SMALL = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,19 +31,25 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/docpipe-{tag}-{uuid.uuid4().hex}"
 
 
-#: Removes a query's shuffle files when it ends (they would stay until the driver collects garbage); lost ones are made anew.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Set while a table is staged. Shuffle files go when the query ends (they would stay until the driver collects garbage; lost ones
+#: are made anew), and an Arrow batch holds no more text than this, for a worker and its JVM hold it several times.
+WHILE_STAGED = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
+}
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and outlives executors."""
     spark = df.sparkSession
-    path, before = new_dir(spark, tag), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    path, before = new_dir(spark, tag), {k: spark.conf.get(k) for k in WHILE_STAGED}
     try:
+        for k, v in WHILE_STAGED.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,25 +63,6 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(f):
-    """f(docs, ...) runs with Arrow batches of SMALL rows: a batch may hold whole texts, some of them very long, and its worker holds it all.
-
-    Holds for what f runs itself (tables it stages), not for what runs after it returned.
-    """
-
-    @functools.wraps(f)
-    def run(docs: DataFrame, *args, **kwargs):
-        conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(key)
-        conf.set(key, str(SMALL))
-        try:
-            return f(docs, *args, **kwargs)
-        finally:
-            conf.set(key, before)
-
-    return run
-
-
 def pages(lengths: np.ndarray, most: int = 1 << 22):
     """(from, to) of runs of texts of about ``most`` characters, one text at least."""
     at, ends = 0, np.cumsum(lengths)

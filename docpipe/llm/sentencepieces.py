@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import pages
 
-REMEMBER, SHORT, ROWS = 500_000, 48, 1 << 14
+REMEMBER, SHORT, ROWS = 300_000, 48, 1 << 14
 _MODELS: dict[str, "Pieces"] = {}
 
 
