@@ -35,7 +35,7 @@ def new_dir(spark: SparkSession, tag: str) -> str:
 #: are made anew), and an Arrow batch holds no more text than this, for a worker and its JVM hold it several times.
 WHILE_STAGED = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "1m",
 }
 
 

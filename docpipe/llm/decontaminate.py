@@ -71,7 +71,7 @@ def term_counts(docs: DataFrame, ids: dict[bytes, int]) -> np.ndarray:
         yield pd.DataFrame({"term": at, "n": total[1:][at]})
 
     out = np.zeros(len(ids), np.int64)
-    for r in docs.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in staged(docs.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "counts").collect():
         out[r.term] = r.n  # one row per benchmark term of the block
     return out
 

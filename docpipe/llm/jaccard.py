@@ -420,10 +420,8 @@ def _set_components(docs: DataFrame, n: int, pct: int) -> tuple[DataFrame, DataF
     """(rows, heads, links): rows (doc_id, th, n, rid) of all documents with an id, rid the number of their set (null: empty
     set); heads, one row per set; links (a, b) between sets that connect all that any link connects."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    often = (
-        _leading_counts(docs, n, pct).where(F.col("c") >= FREQUENT)
-        .orderBy(F.desc("c"), "t").limit(MOST_FREQUENT).select("t").toPandas()["t"].to_numpy(np.int64)
-    )
+    often = staged(_leading_counts(docs, n, pct).where(F.col("c") >= FREQUENT), "counts")
+    often = often.orderBy(F.desc("c"), "t").limit(MOST_FREQUENT).select("t").toPandas()["t"].to_numpy(np.int64)
     sets, ids = staged(_sets(docs, n, pct, np.sort(often)), "sets"), ["n", "f1", "f2"]
     heads = sets.where("n > 0").groupBy(*ids).agg(F.min_by(F.struct("doc_id", "th", "pre", "bits"), F.struct("doc_id", "th")).alias("h"))
     heads = staged(heads.select(F.monotonically_increasing_id().alias("rid"), *ids, "h.*"), "heads")

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 BITS, MAX_FIT, EPOCHS = 20, 5_000, 10
 #: L1 exceeds EPOCHS, so no feature of a single document can gather a weight.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
@@ -92,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[flo
         .mapInPandas(features, "at long, toxic int, f array<int>")
         .withColumn("one", F.lit(1)).groupBy("one").applyInPandas(train, "idx long, w double")  # max_fit rows at most
     )
-    got = made.toPandas()
+    got = staged(made, "weights").toPandas()  # at most 2**BITS rows, a few thousand as a rule
     if got.empty:
         return -35.0, np.zeros(0, np.int64), np.zeros(0)
     bias = float(got.loc[got.idx < 0, "w"].iloc[0])
