@@ -4,7 +4,7 @@ A text is normalised by the model, cut where no piece can reach across, and ever
 a score-ordered agenda of adjacent symbol pairs: the best-scored, then leftmost, pair whose join is a piece is merged, and
 what is left is looked up, unknown symbols as UTF-8 bytes. Short segments of one length are the rows of a matrix and take
 a step of their agendas together; long ones have a heap each, where stale pairs are skipped. New segments are checked
-against the sentencepiece library in the Arrow batch where they first occur; a difference is an error. A worker remembers
+against the sentencepiece library in the Arrow batch where they first occur; a difference is an error. A task remembers
 about ``REMEMBER`` segments, those of late use. Decoding is the library's own, over all ids of a text.
 
 Cases: null and empty texts have no tokens and decode to the empty text; repeated rows are each encoded; an empty table
@@ -215,18 +215,21 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", digests: bo
 
     def run(batches):
         pc = pieces(key, sent.value)
-        for b in batches:
-            for at, to in pages(b[held].str.len().to_numpy(), 1 << 20):
-                p = b.iloc[at:to]
-                got = pc.encode(p[held].tolist())
-                cols = {c: p[c] for c in others}
-                cols["n_tokens"] = [len(i) for i, _ in got]
-                if keep_ids:
-                    cols["ids"] = [i for i, _ in got]
-                if digests:
-                    cols["ids_sha256"] = [hashlib.sha256(s.encode()).hexdigest() for _, s in got]
-                    cols["decoded_sha256"] = [hashlib.sha256((pc.sp.decode(i) if i else "").encode("utf-8")).hexdigest() for i, _ in got]
-                yield pd.DataFrame(cols)
+        try:
+            for b in batches:
+                for at, to in pages(b[held].str.len().to_numpy(), 1 << 20):
+                    p = b.iloc[at:to]
+                    got = pc.encode(p[held].tolist())
+                    cols = {c: p[c] for c in others}
+                    cols["n_tokens"] = [len(i) for i, _ in got]
+                    if keep_ids:
+                        cols["ids"] = [i for i, _ in got]
+                    if digests:
+                        cols["ids_sha256"] = [hashlib.sha256(s.encode()).hexdigest() for _, s in got]
+                        cols["decoded_sha256"] = [hashlib.sha256((pc.sp.decode(i) if i else "").encode("utf-8")).hexdigest() for i, _ in got]
+                    yield pd.DataFrame(cols)
+        finally:
+            pc.young, pc.old = {}, {}  # the worker lives on, for tasks of other stages too
 
     given = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(held))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + [f"{k} {v}" for k, v in made.items()])
