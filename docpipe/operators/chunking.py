@@ -69,8 +69,8 @@ def token_cut(tokens: list[str], start: int, end: int, most: int) -> int:
         return end
     best, found = -1, 0
     text = "".join(tokens[start:end])
-    place = len(text)
-    for i in range(end, start + most * 4 // 5, -1):
+    place = len(text) - len(tokens[end - 1])
+    for i in range(end - 1, start + most * 4 // 5 - 1, -1):
         head = text[:place]
         for marks, priority in BOUNDARIES:
             mark = next((m for m in marks if head.endswith(m)), None)
@@ -80,14 +80,15 @@ def token_cut(tokens: list[str], start: int, end: int, most: int) -> int:
                 if priority > best:
                     best, found = priority, i
         place -= len(tokens[i - 1])
-    if best > 0 and found >= start + most // 3:
+    if best >= 0 and found >= start + most // 3:
         return found
     blank = next((i for i in range(end, start + most * 3 // 4, -1) if tokens[i - 1].isspace()), 0)
     return blank if blank > start + most // 2 else end
 
 
 def token_windows_of(text: str, tokenizer: Callable = regex_tokens, most: int = 8192, overlap: int | None = None) -> list[tuple]:
-    """(chunk_index, content, token_count, start_token, end_token) with priority boundaries."""
+    """(chunk_index, content, token_count, start_token, end_token, total_chunks) with priority boundaries; total_chunks is the
+    quotient of tokens and window size, rounded up, as it was planned and not as it came out."""
     overlap = min(most // 10, 256) if overlap is None else overlap
     if overlap * 3 >= most:
         raise ValueError("overlap must be less than a third of the window")
@@ -96,7 +97,7 @@ def token_windows_of(text: str, tokenizer: Callable = regex_tokens, most: int =
         end = min(start + most, len(tokens))
         if end < len(tokens):
             end = token_cut(tokens, start, end, most)
-        out.append((len(out), "".join(tokens[start:end]), end - start, start, end))
+        out.append((len(out), "".join(tokens[start:end]), end - start, start, end, -(-len(tokens) // most)))
         if end >= len(tokens):
             break
         start = end - overlap if end > overlap and end - overlap > start else end
@@ -125,7 +126,7 @@ WINDOW = "chunk_index int, content string, token_count int, start_token int, end
 
 
 def exploded(df: DataFrame, text: str, cut: Callable[[str], list[tuple]], schema: str) -> DataFrame:
-    """df without nothing, one row per piece that cut gives for its text; runs in Arrow batches."""
+    """df, one row per piece that cut gives for its text (null: empty); columns that bear a piece's name are replaced."""
     names = [x.split()[0] for x in schema.split(", ")]
     kept = [c for c in df.columns if c not in names]
 
@@ -140,10 +141,7 @@ def exploded(df: DataFrame, text: str, cut: Callable[[str], list[tuple]], schema
 
 
 def token_windows(df: DataFrame, text: str, tokenizer: Callable = regex_tokens, most: int = 8192, overlap: int | None = None) -> DataFrame:
-    """total_chunks is the quotient of tokens and window size, rounded up, as it was planned and not as it came out."""
-    out = exploded(df, text, lambda t: token_windows_of(t, tokenizer, most, overlap), WINDOW)
-    w = Window.partitionBy(*[c for c in df.columns if c != text][:1])
-    return out.withColumn("total_chunks", F.ceil(F.max("end_token").over(w) / most).cast("int"))
+    return exploded(df, text, lambda t: token_windows_of(t, tokenizer, most, overlap), WINDOW + ", total_chunks int")
 
 
 def plain_windows(df: DataFrame, text: str, tokenizer: Callable = regex_tokens, most: int = 512, overlap: int = 50) -> DataFrame:

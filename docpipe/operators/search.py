@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from docpipe.functions.text import keywords as extract_keywords
 
 BLOCK = 2048  # queries compared at once; more come in blocks, so what is broadcast is bounded
+KEYWORDS = 200_000  # keywords of one automaton; more come in blocks, each a pass over the texts
 
 
 def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -27,13 +29,23 @@ def ranked(scores: DataFrame, k: int, best_first: bool = True) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def sound(vectors: DataFrame, metric: str) -> DataFrame:
+    """Rows whose embedding can be scored."""
+    ok = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & (F.size("embedding") > 0)
+    if metric == "cosine":
+        ok = ok & F.exists("embedding", lambda v: v != 0)
+    return vectors.where(ok)
+
+
 def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | None = None) -> DataFrame:
     """Exact search. points (id, embedding), queries (query_id, embedding); the filter goes to the scan.
 
     Each Arrow batch keeps its own k best per query, so the shuffle carries k rows per query and batch. Queries go out in
-    blocks of ``BLOCK``.
+    blocks of ``BLOCK``. Vectors that are null or empty or hold null or non-finite components match nothing, vectors of
+    different lengths not each other, and a zero vector has no cosine.
     """
-    points = (points if where is None else points.where(where)).select("id", "embedding")
+    points = sound((points if where is None else points.where(where)).select("id", "embedding"), metric)
+    queries = sound(queries, metric)
     id_type = points.schema["id"].dataType.simpleString()
     n = queries.count()
     blocks = max(1, -(-n // BLOCK))
@@ -41,19 +53,20 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", w
     for b in range(blocks):
         some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         some = some.select("query_id", "embedding").toPandas()
-        q = np.stack(some["embedding"]).astype(np.float64) if len(some) else np.zeros((0, 1))
-        sent = points.sparkSession.sparkContext.broadcast((some["query_id"].to_numpy(), q))
+        by_length = {w: (p["query_id"].to_numpy(), np.stack(p["embedding"]).astype(np.float64)) for w, p in some.groupby(some["embedding"].map(len))}
+        sent = points.sparkSession.sparkContext.broadcast(by_length)
 
         def score(batches, sent=sent):
-            ids, q = sent.value
-            for p in batches:
-                if not len(p) or not len(ids):
-                    continue
-                s = _scores(q, np.stack(p["embedding"]).astype(np.float64), metric)
-                keep = min(k, s.shape[1])
-                last = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
-                r, c = np.nonzero(s >= last[:, None])  # ties at the edge stay, the rank below settles them
-                yield pd.DataFrame({"query_id": ids[r], "id": p["id"].to_numpy()[c], "score": s[r, c] if metric != "euclid" else -s[r, c]})
+            for b in batches:
+                for w, p in b.groupby(b["embedding"].map(len)):
+                    if w not in sent.value:
+                        continue
+                    ids, q = sent.value[w]
+                    s = _scores(q, np.stack(p["embedding"]).astype(np.float64), metric)
+                    keep = min(k, s.shape[1])
+                    last = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
+                    r, c = np.nonzero(s >= last[:, None])  # ties at the edge stay, the rank below settles them
+                    yield pd.DataFrame({"query_id": ids[r], "id": p["id"].to_numpy()[c], "score": s[r, c] if metric != "euclid" else -s[r, c]})
 
         part = points.mapInPandas(score, f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_type}, score double")
         out = part if out is None else out.unionByName(part)
@@ -64,13 +77,39 @@ def keyword_rows(queries: DataFrame, text: str = "text") -> DataFrame:
     return queries.select("query_id", F.explode(extract_keywords(F.col(text))).alias("kw"))
 
 
+def keyword_hits(points: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, kw): which of the distinct words (kw) each point's text holds as a substring. One automaton of all words of a block
+    reads every text once, however many words there are."""
+    id_type, n = points.schema["id"].dataType.simpleString(), words.count()
+    blocks, out = max(1, -(-n // KEYWORDS)), None
+    for b in range(blocks):
+        some = words if blocks == 1 else words.where(F.pmod(F.xxhash64("kw"), F.lit(blocks)) == b)
+        sent = points.sparkSession.sparkContext.broadcast([r.kw for r in some.select("kw").collect()])  # about KEYWORDS at most
+
+        def find(batches, sent=sent):
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for w in sent.value:
+                machine.add_word(w, w)
+            machine.make_automaton()
+            for b in batches:
+                got = [{w for _, w in machine.iter(t)} if len(machine) and t else set() for t in b.column(1).to_pylist()]
+                at = np.repeat(np.arange(len(got)), [len(g) for g in got])
+                yield pa.record_batch({"id": b.column(0).take(pa.array(at)), "kw": pa.array([w for g in got for w in g], pa.string())})
+
+        part = points.select("id", "text").mapInArrow(find, f"id {id_type}, kw string")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def keyword_search(points: DataFrame, queries: DataFrame, k: int, where: Column | None = None, any_of: bool = False) -> DataFrame:
     """Points whose text holds a keyword of the query; the score is the share of its keywords. where is AND (any_of: OR)."""
     kws = keyword_rows(queries)
     total = kws.groupBy("query_id").agg(F.count("*").alias("n"))
     base = points.select("id", "text", (F.lit(True) if where is None else where).alias("ok"))
     base = base if any_of else base.where("ok")
-    hit = base.join(kws, F.expr("contains(text, kw)")).groupBy("query_id", "id").agg(F.count("*").alias("m"))
+    hit = keyword_hits(base, kws.select("kw").distinct()).join(kws, "kw").groupBy("query_id", "id").agg(F.count("*").alias("m"))
     return ranked(hit.join(total, "query_id").select("query_id", "id", (F.col("m") / F.col("n")).alias("score")), k)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -54,3 +54,19 @@ def masked_mean(tokens: DataFrame, group: str, vec: str = "embedding", mask: str
 def encode_long(df: DataFrame, key: str, text: str, encoder=None, size: int = 512, overlap: int = 50) -> DataFrame:
     """(key, embedding): the average over a text's word windows; texts without words have no row."""
     return average_vectors(encode(word_windows(df.select(key, text), text, size, overlap), "content", encoder), key)
+
+
+def first_token(tokens: DataFrame, group: str, order: str, vec: str = "embedding") -> DataFrame:
+    """(group, embedding): each text's vector is that of its first token."""
+    return tokens.groupBy(group).agg(F.min_by(vec, order).alias("embedding"))
+
+
+def truncated(tokens: Column, most: int) -> Column:
+    """The first tokens of an array, as many as an encoder takes."""
+    return F.slice(tokens, 1, most)
+
+
+def checked_size(points: DataFrame, dim: int, vec: str = "embedding") -> DataFrame:
+    """points; the job fails at a vector that is null or of another size."""
+    told = F.concat(F.lit(f"a vector of {dim} components is wanted, not "), F.coalesce(F.size(vec).cast("string"), F.lit("none")))
+    return points.where(F.assert_true(F.coalesce(F.size(vec) == dim, F.lit(False)), told).isNull())

@@ -14,6 +14,7 @@ from docpipe.operators import outline as ol
 from docpipe.operators import records as rc
 from docpipe.operators import search as se
 from docpipe.operators import vectors as ve
+from docpipe.plans import jobs
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -175,7 +176,7 @@ def h7(spark, d):
 
 @query("h9_metadata")
 def h9(spark, d):
-    return hr.doc_metadata(hr.html_rows(table(spark, d, "pages"), "page_id", "html")).select("doc", F.size("meta").alias("n_fields"))
+    return hr.doc_metadata(hr.html_rows(table(spark, d, "pages"), "page_id", "html")).select("doc", F.to_json("meta").alias("meta"))
 
 
 @query("h10_plain_text")
@@ -312,12 +313,12 @@ def c6(spark, d):
 @query("c7_overlap_packing")
 def c7(spark, d):
     out = ch.chunk_sections(_sections(spark, d), size=512, overlap=50, separator="\n")
-    return out.select("uri", "chunk_index", "total_chunks", "char_count", "is_overlap")
+    return out.select("uri", "chunk_index", "total_chunks", "char_count", "is_overlap", F.md5("content").alias("content_md5"))
 
 
 @query("c8_c9_char_windows")
 def c9(spark, d):
-    return ch.chunk_sections(_sections(spark, d), by_paragraphs=False).select("uri", "chunk_index", "total_chunks", "char_count", "is_overlap")
+    return ch.chunk_sections(_sections(spark, d), by_paragraphs=False).select("uri", "chunk_index", "total_chunks", "char_count", "is_overlap", F.md5("content").alias("content_md5"))
 
 
 @query("c10_numbering", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk_index, count(*) OVER (PARTITION BY conv_id) AS total_chunks FROM conversations")
@@ -340,9 +341,11 @@ def c11(spark, d):
    FROM line l JOIN down ON down.doc = l.doc AND down.idx = l.idx JOIN documents ON doc_id = l.doc WHERE len(w) > 0)""")
 def c14(spark, d):
     docs, n = table(spark, d, "documents"), nodes_of(spark, d)
-    lines = docs.where("text is not null").select(F.col("doc_id").alias("doc"), "source", F.posexplode(F.split("text", "\n")).alias("st", "line"))
-    rows = n.where("lvl = 2").select("doc", "idx", "st").join(lines, ["doc", "st"]).join(ol.paths(n), ["doc", "idx"])
-    return ch.word_windows(rows.select("doc", "idx", "path", "source", "line"), "line", 20, 2).select("doc", "idx", "path", "source", "chunk_index", F.md5("content").alias("content_md5"))
+    lines = docs.where("text is not null").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("st", "line"))
+    nodes = n.join(lines.select("doc", "st", F.col("line").alias("text")).withColumn("lvl", F.lit(2)), ["doc", "st", "lvl"], "left")
+    headers = docs.select(F.col("doc_id").alias("doc"), "source")
+    out = jobs.assemble_chunks(nodes, headers, lambda rows: ch.word_windows(rows, "text", 20, 2))
+    return out.select("doc", "idx", "path", "source", "chunk_index", F.md5("content").alias("content_md5"))
 
 
 @query("c15_embedding_text", """SELECT doc_id, md5((CASE WHEN doc_id % 3 = 0 THEN 'Документ: ' || lang || ' ' || source || chr(10) ELSE '' END) ||
@@ -364,7 +367,7 @@ def c16(spark, d):
 
 @query("e1_encode")
 def e1(spark, d):
-    return ve.encode(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.round(vm.norm(F.col("embedding")), 4).alias("norm"))
+    return ve.encode(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.round("v", 4))
 
 
 @query("e2_masked_mean", """WITH f AS (SELECT label, vec_id % 4 <> 0 AS m, unnest(range(1, 65)) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings),
@@ -389,7 +392,7 @@ def e4(spark, d):
 
 @query("e5_encode_long")
 def e5(spark, d):
-    return ve.encode_long(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.size("embedding").alias("dim"))
+    return ve.encode_long(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.round("v", 4))
 
 
 @query("e6_instruction", """SELECT conv_id, turn, md5((CASE WHEN contains(text, '?') OR contains(text, 'как') OR contains(text, 'почему') THEN 'Represent this question for searching relevant passages: '
@@ -406,13 +409,13 @@ def e7(spark, d):
 
 @query("e8_first_token", "SELECT label, round(arg_min(embedding[1], vec_id)::DOUBLE, 5) AS first FROM embeddings GROUP BY label")
 def e8(spark, d):
-    g = table(spark, d, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("token"))
-    return g.select("label", F.round(F.col("token")[0].cast("double"), 5).alias("first"))
+    g = ve.first_token(table(spark, d, "embeddings"), "label", "vec_id")
+    return g.select("label", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
 
 
 @query("e9_truncate", f"WITH {_WORDS} SELECT doc_id, md5(array_to_string(w[1:128], ' ')) AS h FROM w")
 def e9(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(F.slice(tx.words(F.col("text")), 1, 128), " ")).alias("h"))
+    return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(ve.truncated(tx.words(F.col("text")), 128), " ")).alias("h"))
 
 
 @query("e10_similar_pairs", """SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))
@@ -483,7 +486,15 @@ def v4(spark, d):
     return se.keyword_search(_pages(spark, d), _asked(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
-@query("v5_hybrid")
+@query("v5_hybrid", f"""WITH {_KW}, q AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS e FROM benchmark JOIN embeddings ON vec_id = item_id),
+  p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, coalesce(text, '') AS text FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+  a AS (SELECT query_id, id, s AS a FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM
+    (SELECT query_id, id, list_dot_product(q.e, p.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(p.e, p.e)) AS s FROM q, p)) WHERE r <= 20),
+  k AS (SELECT kw.query_id, kw FROM kw JOIN q USING (query_id)), t AS (SELECT query_id, count(*) AS n FROM k GROUP BY ALL),
+  h AS (SELECT query_id, id, count(*) AS m FROM p JOIN k ON contains(text, kw) GROUP BY ALL),
+  b AS (SELECT query_id, id, m / n AS b FROM h JOIN t USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY m / n DESC, id) <= 20),
+  c AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(a, 0) * 0.7 + coalesce(b, 0) * 0.3 AS s FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id)
+  SELECT query_id, rank::INT AS rank, id, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM c) WHERE rank <= 10""")
 def v5(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"), "text").join(table(spark, d, "embeddings"), "vec_id").select(F.col("vec_id").alias("query_id"), "text", "embedding")
     return se.hybrid(points(spark, d), q, 10).withColumn("score", F.round("score", 4))
@@ -539,6 +550,33 @@ def s9(spark, d):
     return table(spark, d, "documents").select(one.alias("j")).select(back.alias("r")).select("r.*")
 
 
+@query("job_section_chunks")
+def job_sections(spark, d):
+    """Pages to sections to semantic chunks with what the page says of itself."""
+    out = jobs.page_section_chunks(table(spark, d, "pages").select(F.col("page_id").alias("doc"), "html"), most=256, overlap=16)
+    return out.select("doc", "chunk_index", "total_chunks", "token_count", F.md5("content").alias("content_md5"), F.to_json("meta").alias("meta"))
+
+
+@query("job_outline_chunks")
+def job_outline(spark, d):
+    """Documents' lines as pages with contents, through the whole outline job."""
+    docs, n = table(spark, d, "documents").where("text is not null"), nodes_of(spark, d).where("lvl < 2")
+    line = lambda x, i: F.concat(F.lit('<p id="p'), i.cast("string"), F.lit('">'), F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p>"))
+    pages = docs.select(F.col("doc_id").alias("doc"), F.array_join(F.transform(F.split("text", "\n"), line), "").alias("html"))
+    at = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    contents = n.select("doc", F.col("lvl").alias("pos"), at("st").alias("np"), at("en").alias("npe"), "caption", F.lit("u").alias("unit"), "lvl")
+    out = jobs.page_outline_chunks(pages, contents, docs.select(F.col("doc_id").alias("doc"), "source"), most=64, overlap=6)
+    return out.select("doc", "idx", "path", "source", "chunk_index", "total_chunks", F.md5("content").alias("content_md5"))
+
+
+@query("job_section_points")
+def job_points(spark, d):
+    """Documents as sections, packed, led by title and article, encoded and numbered."""
+    s = _sections(spark, d).withColumn("title", F.array("article"))
+    out = jobs.section_points(s, separator="\n")
+    return out.select("id", "document_uri", "chunk_index", F.md5("embedding_text").alias("text_md5"), F.size("embedding").alias("dim"))
+
+
 @query("flagship_chunk_search")
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents to word windows, numbered, encoded, searched by a batch of questions within one language."""

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from docpipe.functions.text import null_if_empty
+from docpipe.operators.records import with_caption_source
+from docpipe.operators.search import to_points
+from docpipe.operators.vectors import checked_size, encode
 
 # The layouts of the landed answers.
 CARDS = "docs array<struct<docid: bigint, docstampname: string, docnames: string, docdescription: string, docpassing: string, docstate: string, docimagepath: string, publications: array<string>, dockind: string, kindrank: string, docpass0date: string, docpass0numberint: bigint, docpass0number: string, dochash: string>>, docscount bigint, error string"
@@ -24,12 +27,18 @@ def _checked(df: DataFrame) -> DataFrame:
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
     d = _checked(spark.read.schema(CARDS).json(path)).select(F.explode("docs").alias("d")).select("d.*")
     e = lambda c: null_if_empty(F.col(c))
-    return d.select(F.col("docid").alias("doc_id"), e("docstampname").alias("stamp_name"), e("docnames").alias("name"), e("docdescription").alias("description"), F.col("docstate").alias("doc_state"), "publications", e("dockind").alias("kind"), e("kindrank").alias("kind_rank"), F.try_to_date("docpass0date", F.lit("yyyyMMdd")).alias("sign_date"), F.col("docpass0numberint").alias("number_int"), F.col("docpass0number").alias("number"), F.col("dochash").alias("hash"))
+    return d.select(F.col("docid").alias("doc_id"), e("docstampname").alias("stamp_name"), e("docnames").alias("name"), e("docdescription").alias("description"), F.col("docstate").alias("doc_state"), "publications", e("dockind").alias("kind"), e("kindrank").alias("kind_rank"), F.try_to_date("docpass0date", "yyyyMMdd").alias("sign_date"), F.col("docpass0numberint").alias("number_int"), F.col("docpass0number").alias("number"), F.col("dochash").alias("hash"))
 
 
 def read_redactions(spark: SparkSession, path: str) -> DataFrame:
+    """Redactions in order, with the number and date of the law that a caption names; an answer without any is an error."""
     d = _checked(spark.read.schema(REDACTIONS).json(path))
-    return d.select(F.col("dochash").alias("doc_hash"), F.posexplode("redactions").alias("pos", "r")).select("doc_hash", "pos", "r.*").withColumn("redreason", null_if_empty(F.col("redreason")))
+    empty = F.coalesce(F.size("redactions"), F.lit(0)) <= 0
+    d = d.where(F.assert_true(~empty, F.concat(F.lit("no redactions of "), F.coalesce("dochash", F.lit("?")))).isNull())
+    rows = d.select(F.col("dochash").alias("doc_hash"), F.posexplode("redactions").alias("pos", "r")).select("doc_hash", "pos", "r.*")
+    for c in ("redreason", "redstatus", "statename", "reddate", "reddatetimed"):
+        rows = rows.withColumn(c, null_if_empty(F.col(c)))
+    return with_caption_source(rows, "redcaption")
 
 
 def contents_rows(df: DataFrame, json_col: str, doc: str) -> DataFrame:
@@ -85,3 +94,11 @@ def vector_spec(table: DataFrame) -> dict:
 def write_points(points: DataFrame, path: str) -> None:
     """A new snapshot folder; the table being read is never written over."""
     points.write.mode("errorifexists").parquet(path)
+
+
+def store_chunks(chunks: DataFrame, path: str, dim: int, encoder=None, batch_size: int = 32) -> DataFrame:
+    """Chunks (document_uri, chunk_index, embedding_text, ...) encoded batch_size at a time, checked to have dim components and
+    written as a new snapshot; returns the ids as (id, document_uri, chunk_index)."""
+    points = checked_size(encode(to_points(chunks), "embedding_text", encoder, batch_size), dim)
+    write_points(points, path)
+    return chunks.sparkSession.read.parquet(path).select("id", "document_uri", "chunk_index")

@@ -1,4 +1,9 @@
-"""Incremental ingest: a file stream of new documents through the same chunk and encode jobs into snapshots of the points table."""
+"""Incremental ingest: a file stream of new documents through the same chunk and encode jobs into the points table.
+
+The table is dealt into ``BUCKETS`` by document. A batch rewrites only the buckets that its documents fall into, each as a new
+version below ``b=<bucket>/e=<epoch>``; the newest version of each bucket is the table. A batch that is run again writes the
+same versions again.
+"""
 
 from __future__ import annotations
 
@@ -9,19 +14,40 @@ from docpipe.operators.chunking import word_windows
 from docpipe.operators.search import to_points, upsert
 from docpipe.operators.vectors import encode
 
+BUCKETS = 256
+
 
 def points_of(docs: DataFrame, encoder=None, size: int = 512, overlap: int = 50) -> DataFrame:
     chunks = word_windows(docs.select(F.col("doc_id").cast("string").alias("document_uri"), "text"), "text", size, overlap).drop("text")
     return to_points(encode(chunks.withColumn("embedding_text", F.col("content")), "embedding_text", encoder))
 
 
-def ingest(spark: SparkSession, source: str, schema, snapshots: str, checkpoint: str, encoder=None):
-    """Start a query that takes the files now below source; each batch writes the next snapshot folder. Returns the query."""
+def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """The newest version of every bucket (before: of earlier epochs). Versions are told from folder names alone."""
+    every = spark.read.parquet(table)
+    every = every if before is None else every.where(F.col("e") < before)
+    newest = every.groupBy("b").agg(F.max("e").alias("e"))
+    return every.join(F.broadcast(newest), ["b", "e"])  # BUCKETS rows at most
+
+
+def ingest(spark: SparkSession, source: str, schema, table: str, checkpoint: str, encoder=None):
+    """Start a query that takes the files now below source and merges their points into the table. Returns the query."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        new = points_of(batch, encoder).dropDuplicates(["id"])
-        old = spark.read.parquet(f"{snapshots}/v={epoch - 1}") if epoch else None
-        (new if old is None else upsert(old, new)).write.mode("overwrite").parquet(f"{snapshots}/v={epoch}")
+        bucket = F.pmod(F.xxhash64("document_uri"), F.lit(BUCKETS)).cast("int")
+        new = points_of(batch, encoder).dropDuplicates(["id"]).withColumn("b", bucket)
+        new.persist()
+        try:
+            if epoch:
+                touched = new.select("b").distinct()
+                old = current(batch.sparkSession, table, epoch).drop("e").join(F.broadcast(touched), "b", "left_semi")  # BUCKETS rows at most
+                merged = upsert(old.select(*new.columns), new)
+            else:
+                merged = new
+            out = merged.withColumn("e", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            out.partitionBy("b", "e").parquet(table)
+        finally:
+            new.unpersist()
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
