@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -63,6 +64,20 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidied(run):
+    """run over batches; when its task ends, what the worker has freed goes back to the machine, for workers outlive tasks and stages."""
+
+    def to_the_end(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+                trim(0)
+
+    return to_the_end
+
+
 def pages(lengths: np.ndarray, most: int = 1 << 22):
     """(from, to) of runs of texts of about ``most`` characters, one text at least."""
     at, ends = 0, np.cumsum(lengths)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, tidied
 from .toxicity import TABLE
 
 WINDOW, ANCHORS, BLOCK = 10, 3, 200_000
@@ -71,7 +71,7 @@ def term_counts(docs: DataFrame, ids: dict[bytes, int]) -> np.ndarray:
         yield pd.DataFrame({"term": at, "n": total[1:][at]})
 
     out = np.zeros(len(ids), np.int64)
-    for r in staged(docs.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "counts").collect():
+    for r in staged(docs.select("text").mapInPandas(tidied(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "counts").collect():
         out[r.term] = r.n  # one row per benchmark term of the block
     return out
 
@@ -102,7 +102,7 @@ def postings(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "n_words": n, "terms": terms, "places": places})
 
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").mapInPandas(
-        index, "doc_id long, th long, n_words long, terms array<int>, places array<int>"
+        tidied(index), "doc_id long, th long, n_words long, terms array<int>, places array<int>"
     )
 
 
@@ -130,7 +130,7 @@ def _hits(docs: DataFrame, index: DataFrame, block, need, ids, size: int) -> Dat
         for b in batches:
             yield b[[any(a <= set(o) for a in need[k]) for k, o in zip(b["item"], b["offs"], strict=True)]][["doc_id", "th", "item", "diag"]]
 
-    kept = votes.where(F.size("offs") >= min(min(map(len, e)) for e in need)).mapInPandas(agree, "doc_id long, th long, item int, diag int")
+    kept = votes.where(F.size("offs") >= min(min(map(len, e)) for e in need)).mapInPandas(tidied(agree), "doc_id long, th long, item int, diag int")
     per_doc = kept.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item", "diag")).alias("cand"))
     per_doc = per_doc.select(F.col("doc_id").alias("cd"), F.col("th").alias("ct"), "cand")
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
@@ -153,7 +153,7 @@ def _hits(docs: DataFrame, index: DataFrame, block, need, ids, size: int) -> Dat
             yield pd.DataFrame(out, columns=["doc_id", "th", "hits", "items"])
 
     joined = texts.join(per_doc, F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("th") == F.col("ct")))
-    found = joined.select("doc_id", "th", "text", "cand").mapInPandas(compare, "doc_id long, th long, hits array<int>, items array<long>")
+    found = joined.select("doc_id", "th", "text", "cand").mapInPandas(tidied(compare), "doc_id long, th long, hits array<int>, items array<long>")
     return found.dropDuplicates(["doc_id", "th"])
 
 

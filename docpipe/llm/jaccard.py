@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, staged
+from .common import components, discard, staged, tidied
 
 FREQUENT, MOST_FREQUENT, BLOCK = 12, 1 << 18, 1024
 #: Bytes of text that are hashed at once.
@@ -223,7 +223,7 @@ def _leading_counts(docs: DataFrame, n: int, pct: int) -> DataFrame:
             t, c = np.unique(t, return_counts=True)
             yield pa.record_batch({"t": t, "c": c})
 
-    return docs.select("text").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidied(run), "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
 
 
 def _sets(docs: DataFrame, n: int, pct: int, frequent: np.ndarray) -> DataFrame:
@@ -249,7 +249,7 @@ def _sets(docs: DataFrame, n: int, pct: int, frequent: np.ndarray) -> DataFrame:
                 "pre": pa.array(pre, pa.list_(pa.int64())), "bits": pa.array(bits, pa.binary()),
             })
 
-    return docs.select("doc_id", text_hash(), "text").mapInArrow(run, "doc_id long, th long, n long, f1 long, f2 long, pre array<long>, bits binary")
+    return docs.select("doc_id", text_hash(), "text").mapInArrow(tidied(run), "doc_id long, th long, n long, f1 long, f2 long, pre array<long>, bits binary")
 
 
 def _index(heads: DataFrame, pct: int) -> DataFrame:
@@ -267,7 +267,7 @@ def _index(heads: DataFrame, pct: int) -> DataFrame:
                 "n": np.repeat(size.astype(np.int32), many), "need": np.repeat(need, many),
             })
 
-    return heads.where("size(pre) > 0").select("rid", "n", "pre").mapInArrow(run, "key long, rid long, n int, need int")
+    return heads.where("size(pre) > 0").select("rid", "n", "pre").mapInArrow(tidied(run), "key long, rid long, n int, need int")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def _bounded(pairs: DataFrame, heads: DataFrame, pct: int) -> DataFrame:
             ok = may_link(na, nb, d, pct)
             yield pa.record_batch({"a": _column(t, "a").to_numpy()[ok], "b": _column(t, "b").to_numpy()[ok], "d": d[ok]})
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, d long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(tidied(run), "a long, b long, d long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, pct: int) -> DataFrame:
@@ -326,7 +326,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, pct:
             ok = np.array(ok, bool)
             yield pa.record_batch({"a": _column(t, "a").to_numpy()[ok], "b": _column(t, "b").to_numpy()[ok]})
 
-    return staged(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    return staged(both.select("a", "b", "ta", "tb").mapInArrow(tidied(run), "a long, b long"), "links")
 
 
 def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pages
+from .common import pages, tidied
 
 REMEMBER, SHORT, ROWS = 300_000, 48, 1 << 14
 _MODELS: dict[str, "Pieces"] = {}
@@ -233,7 +233,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", digests: bo
 
     given = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(held))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + [f"{k} {v}" for k, v in made.items()])
-    return given.mapInPandas(run, schema)
+    return given.mapInPandas(tidied(run), schema)
 
 
 def decode(ids: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:

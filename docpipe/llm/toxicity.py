@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, tidied
 
 BITS, MAX_FIT, EPOCHS = 20, 5_000, 10
 #: L1 exceeds EPOCHS, so no feature of a single document can gather a weight.
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[flo
 
     made = (
         texts.select(F.xxhash64("doc_id").alias("at"), F.col("toxic").cast("int").alias("toxic"), "text")
-        .mapInPandas(features, "at long, toxic int, f array<int>")
+        .mapInPandas(tidied(features), "at long, toxic int, f array<int>")
         .withColumn("one", F.lit(1)).groupBy("one").applyInPandas(train, "idx long, w double")  # max_fit rows at most
     )
     got = staged(made, "weights").toPandas()  # at most 2**BITS rows, a few thousand as a rule
