@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import pages, tidied
 
-REMEMBER, SHORT, ROWS = 300_000, 48, 1 << 14
+REMEMBER, SHORT, ROWS = 160_000, 48, 1 << 13
 _MODELS: dict[str, "Pieces"] = {}
 
 
@@ -217,7 +217,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", digests: bo
         pc = pieces(key, sent.value)
         try:
             for b in batches:
-                for at, to in pages(b[held].str.len().to_numpy(), 1 << 20):
+                for at, to in pages(b[held].str.len().to_numpy(), 1 << 19):
                     p = b.iloc[at:to]
                     got = pc.encode(p[held].tolist())
                     cols = {c: p[c] for c in others}
