@@ -91,6 +91,27 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+#: Bits of the bitmap by which rows are parted; it is broadcast as a row for each 64 of them, so in some 10 MB at most.
+BITS = 1 << 24
+
+
+def parted(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may stand in wanted, rows whose key does not), by a bitmap of key hashes; nulls count as a key.
+
+    A join with wanted then moves the first part only. Where wanted outgrows the bitmap, the first part holds more rows that
+    the join has to look up, and no row is told wrongly."""
+
+    def bit(col):
+        at = F.pmod(F.xxhash64(col), F.lit(BITS))
+        return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+
+    word, mask = bit(wanted[wanted_key])
+    words = F.broadcast(wanted.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")))
+    word, mask = bit(rows[key])
+    there = (word == words["word"]) & (mask.bitwiseAND(words["mask"]) != 0)
+    return rows.join(words, there, "left_semi"), rows.join(words, there, "left_anti")
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """(u, v) edges where each task has replaced its own by stars around their smallest nodes; of the same components."""
 

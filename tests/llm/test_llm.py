@@ -36,6 +36,20 @@ def groups(pairs, ids):
     return {i: find(i) for i in ids}
 
 
+def test_parted(spark, monkeypatch):
+    """The second part holds no key that is wanted, whatever the bitmap's size; together the parts are all rows."""
+    rows = spark.createDataFrame([(i if i % 50 else None, i, i) for i in range(2000)], "k long, word long, mask long")
+    for some in ([3, 700, 1999], [None, 5], [], range(1, 2000, 2)):
+        wanted = spark.createDataFrame([(x,) for x in some], "w long")
+        for bits in (64, 1 << 16):
+            monkeypatch.setattr(common, "BITS", bits)
+            maybe, never = common.parted(rows, "k", wanted, "w")
+            assert maybe.columns == never.columns == rows.columns
+            a, b = [(r.k, r.word) for r in maybe.collect()], [(r.k, r.word) for r in never.collect()]
+            assert sorted(w for _, w in a + b) == list(range(2000)) and not {k for k, _ in b} & set(some)
+            assert bits == 64 or len(a) <= sum(k in set(some) for k, _ in a) + 60
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
