@@ -15,16 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpipe.llm import decontaminate, jaccard, sentencepieces, toxicity
-from docpipe.llm.common import staged
+from docpipe.llm.common import parted, staged
 
 ORACLE_SQL = None
 
 
 def _matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """Semi- or anti-join of docs with staged (doc_id, th) rows; Spark sends them to all tasks only while their table is small."""
+    """Semi- or anti-join of docs with staged (doc_id, th) rows. Only documents whose doc_id may be among them are moved."""
     rows = rows.select(F.col("doc_id").alias("_other_id"), F.col("th").alias("_other_text"))
-    same = docs["doc_id"].eqNullSafe(rows["_other_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == rows["_other_text"])
-    return docs.join(rows, same, how)
+    maybe, never = parted(docs, "doc_id", rows, "_other_id")
+    same = maybe["doc_id"].eqNullSafe(rows["_other_id"]) & (F.xxhash64(F.coalesce(maybe["text"], F.lit(""))) == rows["_other_text"])
+    found = maybe.join(rows, same, how)
+    return never.union(found) if how == "left_anti" else found
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
