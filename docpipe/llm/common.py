@@ -147,21 +147,30 @@ def _with_least(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
     return both.where("hm is not null").select("u", "v", F.col("hm").alias("m")).unionByName(rest)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Contracted edges that one task may end alone (4 MB; some 60 MB as its dictionary): rounds over so few cost only their tasks.
+FEW = 1 << 18
+
+
+def components(edges: DataFrame, max_rounds: int = 60, few: int = FEW) -> DataFrame:
     """Connected components of (a, b) rows by alternating large-star and small-star steps.
 
     Returns (node, component), component the smallest node reachable; nodes without an edge have no row. Each task first
-    contracts the edges it holds, so few rounds are needed. A step needs only a minimum per node, which is combined before
-    its shuffle, so a hub with a third of all edges is no single task. Only a count and a checksum reach the driver.
+    contracts the edges it holds, so few rounds are needed; where no more than ``few`` edges are left, contracting these once
+    more is the last round. A step needs only a minimum per node, which is combined before its shuffle, so a hub with a third
+    of all edges is no single task. Only a count and a checksum reach the driver.
     """
     e = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v")
 
     def told(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    e = staged(contracted(e.distinct()), "edges")
+    e = staged(contracted(e), "edges")
     seen = told(e)
-    for _ in range(max_rounds if seen[0] else 0):
+    at_once = seen[0] <= few
+    if at_once and seen[0]:
+        was, e = e, staged(contracted(e.coalesce(1)), "edges")
+        discard(was)
+    for _ in range(0 if at_once else max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
         large = _with_least(both.where("v > u"), low, seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -178,7 +187,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         seen = now
     else:
-        if seen[0]:
+        if not at_once:
             raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -50,10 +50,11 @@ def test_parted(spark, monkeypatch):
             assert bits == 64 or len(a) <= sum(k in set(some) for k, _ in a) + 60
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, common.FEW])
+def test_components(spark, few):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
-    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
     want = groups(edges, {x for e in edges for x in e})
     assert got == {k: v for k, v in want.items() if k in got} and all(want[k] == k for k in want if k not in got)
 
