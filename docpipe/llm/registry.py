@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, jaccard, license_scan, resample, sentencepieces, sharding, token_counts, token_files, toxicity, url_filter, warc
+from . import conversation_repair, decontaminate, embedding_dedup, jaccard, license_scan, resample, sentencepieces, sharding, token_counts, token_files, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_sentencepiece": sentencepieces.op10_sentencepiece,
         "op11_token_counts": token_counts.op11_token_counts,
         "op12_resample": resample.op12_resample,
+        "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op2_url_filter": url_filter.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op8_jaccard": jaccard.OP8_SQL, "op12_resample": resample.OP12_SQL}
+    return {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op2_url_filter": url_filter.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op8_jaccard": jaccard.OP8_SQL, "op12_resample": resample.OP12_SQL, "op13_conversation_repair": conversation_repair.OP13_SQL}
