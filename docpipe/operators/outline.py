@@ -1,12 +1,16 @@
-"""Outlines as interval rows: node(doc, idx, st, en, lvl, caption). Every join has an equality on doc and level."""
+"""Outlines as interval rows: node(doc, idx, st, en, lvl, caption). Parents and overlaps are sorted sweeps within a document and level."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_LEVELS = 10  # fixed value
+PAIR = ("a_idx", "a_st", "a_en", "b_idx", "b_st", "b_en")
 
 
 def toc_intervals(contents: DataFrame) -> DataFrame:
@@ -41,13 +45,51 @@ def deepest(nodes: DataFrame) -> int:
 
 
 def parents_of(ranges: DataFrame, nodes: DataFrame, key: list[str], inserted_before: bool = False) -> DataFrame:
-    """Each range's parent: of the nodes one level up that contain it, that with the smallest start, then the last inserted. parent null: none."""
-    p = nodes.select("doc", (F.col("lvl") + 1).alias("lvl"), F.col("st").alias("pst"), F.col("en").alias("pen"), F.col("idx").alias("pidx"))
-    c = ranges.alias("c")
-    on = (F.col("c.doc") == F.col("p.doc")) & (F.col("c.lvl") == F.col("p.lvl")) & (F.col("pst") <= F.col("c.st")) & (F.col("pen") >= F.col("c.en"))
-    on = on & (F.col("pidx") < F.col("c.idx")) if inserted_before else on
-    best = c.join(p.alias("p"), on).groupBy(*[F.col(f"c.{k}").alias(k) for k in key]).agg(F.min(F.struct("pst", (-F.col("pidx")).alias("n"))).alias("b"))
-    return ranges.join(best, key, "left").withColumn("parent", -F.col("b.n")).drop("b")
+    """Each range's parent: of the nodes one level up that contain it, that with the smallest start, then the last inserted. parent null: none.
+
+    Of the nodes by start (of equal starts, the last inserted first) only those count that end behind all before them, so
+    their ends rise with their starts, and the first that ends no earlier than a range is its parent if it starts in time.
+    Where all nodes count, that is one running maximum and one carry along the ends, both windows of Spark. Where only nodes
+    inserted earlier do, rows are swept in order of insertion, and a task holds the nodes that still count of one document and
+    level. No pair of nodes is formed either way. Ranges or nodes without a start or end have no parent and are none.
+    """
+    up = nodes.where("st is not null and en is not null").select("doc", (F.col("lvl") + 1).alias("lvl"), "st", "en", "idx")
+    row = F.struct(*[F.col(c) for c in ranges.columns if c != "parent"]).alias("r")  # a parent that is there is replaced
+    if inserted_before:
+        return _inserted_parents(ranges.select("doc", "lvl", "st", "en", F.col("idx"), row), up, ranges)
+    before = Window.partitionBy("doc", "lvl").orderBy("st", F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    stairs = up.withColumn("hi", F.max("en").over(before)).where("hi is null or en > hi").select("doc", "lvl", "en", F.lit(0).alias("side"), F.struct("st", "idx").alias("stair"))
+    asks = ranges.select("doc", "lvl", "en", F.lit(1).alias("side"), row)
+    along = Window.partitionBy("doc", "lvl").orderBy(F.desc("en"), "side").rowsBetween(Window.unboundedPreceding, 0)
+    met = stairs.unionByName(asks, True).withColumn("stair", F.last("stair", True).over(along)).where("side = 1")
+    return met.select("r.*", F.when((F.col("stair.st") <= F.col("r.st")) & F.col("r.en").isNotNull(), F.col("stair.idx")).alias("parent"))
+
+
+def _inserted_parents(asks: DataFrame, up: DataFrame, ranges: DataFrame) -> DataFrame:
+    def sweep(batches):
+        now, keys, ends = None, [], []  # (start, -idx) and end of the nodes that count, both rising
+        for b in batches:
+            at, parent = [], []
+            cols = [b.column(c).to_pylist() for c in ("doc", "lvl", "st", "en", "idx", "side")]
+            for i, (doc, lvl, st, en, idx, side) in enumerate(zip(*cols, strict=True)):
+                if (doc, lvl) != now:
+                    now, keys, ends = (doc, lvl), [], []
+                if not side:
+                    k = len(ends) if st is None or en is None else bisect_left(ends, en)
+                    at.append(i)
+                    parent.append(-keys[k][1] if k < len(ends) and keys[k][0] <= st else None)
+                    continue
+                k = bisect_left(keys, (st, -idx))
+                if k and ends[k - 1] >= en:
+                    continue
+                to = bisect_right(ends, en, k)
+                keys[k:to], ends[k:to] = [(st, -idx)], [en]
+            yield pa.record_batch([b.column("r").take(pa.array(at, pa.int64())), pa.array(parent, b.schema.field("idx").type)], names=["r", "parent"])
+
+    kind = ranges.schema["idx"].dataType.simpleString()
+    both = asks.withColumn("side", F.lit(0)).unionByName(up.withColumn("side", F.lit(1)), True)
+    both = both.withColumn("idx", F.col("idx").cast(kind)).repartition("doc", "lvl").sortWithinPartitions("doc", "lvl", "idx", "side")
+    return both.mapInArrow(sweep, f"r {asks.schema['r'].dataType.simpleString()}, parent {kind}").select("r.*", "parent")
 
 
 def parents(nodes: DataFrame) -> DataFrame:
@@ -86,23 +128,40 @@ def children(nodes: DataFrame) -> DataFrame:
 
 
 def overlaps(nodes: DataFrame, symmetric: bool = True) -> DataFrame:
-    """(doc, lvl, a_idx, b_idx): pairs of one level that overlap. Only nodes that overlap an earlier or later one enter the join."""
-    before = Window.partitionBy("doc", "lvl").orderBy("st", "idx").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("doc", "lvl").orderBy("st", "idx").rowsBetween(1, 1)
-    some = nodes.withColumn("hi", F.max("en").over(before)).withColumn("nx", F.min("st").over(after)).where("hi >= st or nx <= en")
-    a, b = some.alias("a"), some.alias("b")
-    on = (F.col("a.doc") == F.col("b.doc")) & (F.col("a.lvl") == F.col("b.lvl")) & (F.col("a.idx") < F.col("b.idx"))
+    """(doc, lvl, a_idx, b_idx): pairs of one level that overlap, a inserted before b. Swept by start: a task holds the nodes of one
+    document and level that are still open, and does no work but for pairs that it gives."""
+
+    def sweep(batches):
+        now, open_ = None, []
+        for b in batches:
+            out = []
+            for doc, lvl, lo, hi, idx, st, en in zip(*(b.column(c).to_pylist() for c in ("doc", "lvl", "lo", "hi", "idx", "st", "en")), strict=True):
+                if (doc, lvl) != now:
+                    now, open_ = (doc, lvl), []
+                open_ = [o for o in open_ if o[0] >= lo]
+                out += [{"doc": doc, "lvl": lvl} | dict(zip(PAIR, (*o[1:], idx, st, en) if o[1] < idx else (idx, st, en, *o[1:]), strict=True)) for o in open_]
+                open_.append((hi, idx, st, en))
+            yield pa.RecordBatch.from_pylist(out, pa.schema([b.schema.field("doc"), b.schema.field("lvl"), *(pa.field(c, b.schema.field(c[2:]).type) for c in PAIR)]))
+
+    rows = nodes.where("st is not null and en is not null").select("doc", "lvl", F.least("st", "en").alias("lo"), F.greatest("st", "en").alias("hi"), "idx", "st", "en")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    dealt = rows.repartition("doc", "lvl").sortWithinPartitions("doc", "lvl", "lo", "idx")
+    pairs = dealt.mapInArrow(sweep, f"doc {kind['doc']}, lvl {kind['lvl']}, " + ", ".join(f"{c} {kind[c[2:]]}" for c in PAIR))
     if symmetric:
-        on = on & (F.col("a.st") <= F.col("b.en")) & (F.col("b.st") <= F.col("a.en"))
+        pairs = pairs.where("a_st <= b_en and b_st <= a_en")
     else:  # an end of a lies in b; a strict container is not seen
-        on = on & (F.col("a.st").between(F.col("b.st"), F.col("b.en")) | F.col("a.en").between(F.col("b.st"), F.col("b.en")))
-    return a.join(b, on).select("a.doc", "a.lvl", F.col("a.idx").alias("a_idx"), F.col("b.idx").alias("b_idx"))
+        pairs = pairs.where("a_st between b_st and b_en or a_en between b_st and b_en")
+    return pairs.where("a_idx <> b_idx").select("doc", "lvl", "a_idx", "b_idx")
 
 
 def sibling_conflicts(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidates (doc, parent, st, en, ...) that overlap a child of their parent."""
-    kids = child_links(nodes).select(F.col("doc").alias("d"), F.col("parent").alias("p"), F.col("st").alias("kst"), F.col("en").alias("ken"))
-    return candidates.join(kids, (F.col("doc") == F.col("d")) & (F.col("parent") == F.col("p")) & (F.col("st") <= F.col("ken")) & (F.col("kst") <= F.col("en")), "left_semi")
+    """Candidates (doc, parent, st, en, ...) that overlap a child of their parent: of the children that start by the candidate's end,
+    the last end lies no earlier than its start."""
+    kids = child_links(nodes).select("doc", "parent", F.col("st").alias("at"), F.lit(0).alias("side"), F.col("en").alias("until"))
+    asks = candidates.select("doc", "parent", F.col("en").alias("at"), F.lit(1).alias("side"), F.struct(*[F.col(c) for c in candidates.columns]).alias("r"))
+    along = Window.partitionBy("doc", "parent").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    met = kids.where("at is not null").unionByName(asks.where("at is not null and parent is not null"), True).withColumn("until", F.max("until").over(along))
+    return met.where("side = 1 and until >= r.st").select("r.*")
 
 
 def stats(nodes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from docpipe.functions import text as tx
 from docpipe.functions import vector_math as vm
 from docpipe.operators import chunking as ch
+from docpipe.operators import headings as hd
 from docpipe.operators import html_rows as hr
 from docpipe.operators import outline as ol
 from docpipe.operators import records as rc
@@ -277,6 +278,34 @@ def t13(spark, d):
     return ol.with_header(nodes_of(spark, d).select("doc", "idx"), h)
 
 
+_LEVELS = """c AS (SELECT conv_id AS doc, turn AS idx, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 + length(text) % 4 END AS lvl, '$' || role || turn AS caption FROM conversations),
+par AS (SELECT doc, idx, lvl, caption, (SELECT max(p.idx) FROM c p WHERE p.doc = c.doc AND p.idx < c.idx AND p.lvl < c.lvl) AS parent,
+  coalesce((SELECT min(p.idx) - 1 FROM c p WHERE p.doc = c.doc AND p.idx > c.idx AND p.lvl <= c.lvl), (SELECT max(p.idx) FROM c p WHERE p.doc = c.doc)) AS en FROM c)"""
+
+
+def levels(spark, d):
+    """Conversations as headings: the level from role and length, in order of turns."""
+    c = table(spark, d, "conversations")
+    lvl = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3 + F.length("text") % 4)
+    return c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("idx"), lvl.alias("lvl"), F.concat(F.lit("$"), "role", F.col("turn").cast("string")).alias("caption"))
+
+
+@query("x2_heading_outline", f"""WITH RECURSIVE {_LEVELS}, down AS (SELECT doc, idx, 0 AS lvl, replace(caption, '$', '') AS path FROM par WHERE parent IS NULL
+  UNION ALL SELECT p.doc, p.idx, down.lvl + 1, down.path || '->' || replace(p.caption, '$', '') FROM down JOIN par p ON p.doc = down.doc AND p.parent = down.idx)
+  SELECT par.doc, par.idx::INT AS idx, par.en::INT AS en, down.lvl, par.lvl::INT AS level, parent::INT AS parent, path FROM par JOIN down ON down.doc = par.doc AND down.idx = par.idx""")
+def x2(spark, d):
+    return hd.heading_outline(levels(spark, d)).select("doc", "idx", "en", "lvl", "level", "parent", "path")
+
+
+@query("x2_heading_ancestors", f"""WITH RECURSIVE {_LEVELS}, up AS (SELECT doc, idx, parent AS anc_idx FROM par WHERE parent IS NOT NULL
+  UNION ALL SELECT up.doc, up.idx, par.parent FROM up JOIN par ON par.doc = up.doc AND par.idx = up.anc_idx WHERE par.parent IS NOT NULL),
+  depth AS (SELECT doc, idx, count(*) AS n FROM up GROUP BY ALL) SELECT up.doc, up.idx::INT AS idx, anc_idx::INT AS anc_idx, coalesce(n, 0)::INT AS anc_lvl
+  FROM up LEFT JOIN depth ON depth.doc = up.doc AND depth.idx = up.anc_idx""")
+def x2_t4(spark, d):
+    """The outline's own operator on outlines from headings."""
+    return ol.ancestors(hd.heading_outline(levels(spark, d)).select("doc", "idx", "st", "en", "lvl", "caption"))
+
+
 # --- chunks --------------------------------------------------------------------------------------------------------
 
 _WORDS = "w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents)"
