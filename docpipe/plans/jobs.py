@@ -12,6 +12,7 @@ from docpipe.functions.text import embedding_text
 from docpipe.operators import chunking as ch
 from docpipe.operators import html_rows as hr
 from docpipe.operators import outline as ol
+from docpipe.operators import page_structure as ps
 from docpipe.operators.search import to_points
 from docpipe.operators.vectors import checked_size, encode
 
@@ -56,3 +57,11 @@ def section_points(sections: DataFrame, dim: int = 64, encoder=None, by_paragrap
     chunks = ch.chunk_sections(sections, by_paragraphs, size, overlap, separator)
     led = chunks.withColumn("embedding_text", embedding_text(F.col("title"), F.col("article"), F.col("content"))).withColumnRenamed("uri", "document_uri")
     return checked_size(encode(to_points(led), "embedding_text", encoder, batch_size), dim)
+
+
+def structure_chunks(pages: DataFrame, tokens: int = ps.SECTION_TOKENS) -> DataFrame:
+    """Pages (doc, html) to chunks of their sections with the path of headings, and the page's title and language."""
+    rows = ps.structure_rows(pages, "doc", "html")
+    chunks = ps.section_chunks(ps.sections(rows), tokens)
+    heads = ps.page_titles(rows).join(ps.page_metadata(rows).select("doc", "language", "tags", "reading_minutes"), "doc")
+    return chunks.join(heads, "doc", "left")

@@ -12,6 +12,7 @@ from docpipe.operators import chunking as ch
 from docpipe.operators import headings as hd
 from docpipe.operators import html_rows as hr
 from docpipe.operators import outline as ol
+from docpipe.operators import page_structure as ps
 from docpipe.operators import records as rc
 from docpipe.operators import search as se
 from docpipe.operators import vectors as ve
@@ -185,6 +186,41 @@ def h10(spark, d):
     return hr.plain_text(hr.html_rows(table(spark, d, "pages"), "page_id", "html")).select("doc", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+_PLAIN = "replace(regexp_replace(regexp_replace({0}, '&quot;', '\"', 'g'), '&amp;?', '&', 'g'), chr(160), ' ')"  # the entities that pages hold in titles and articles
+_INNER = "regexp_replace(regexp_extract(html, '(?s){0}', 1), '<[^>]*>', {1}, 'g')"
+_TITLE, _H1 = (f"trim(regexp_replace({_PLAIN.format(_INNER.format(f'<{t}[^>]*>(.*?)</{t}>', chr(39) * 2))}, '\\s+', ' ', 'g'))" for t in ("title", "h1"))
+_ARTICLE = _PLAIN.format(_INNER.format("</h1>(.*?)</article>", "' '"))
+
+
+def _structure(spark, d):
+    return ps.structure_rows(table(spark, d, "pages"), "page_id", "html")
+
+
+@query("x1_heading_sections", f"""SELECT page_id AS doc, 0 AS section_index, {_H1} AS heading, 1 AS level, 'h1' AS tag, md5(regexp_replace({_ARTICLE}, '\\s+', '', 'g')) AS content_md5 FROM pages
+  WHERE regexp_replace({_ARTICLE}, '\\s+', '', 'g') <> ''""")
+def x1(spark, d):
+    """The blanks of contents are left out of the digest."""
+    return ps.sections(_structure(spark, d)).select("doc", "section_index", "heading", "level", "tag", F.md5(F.regexp_replace("content", r"\s+", "")).alias("content_md5"))
+
+
+@query("x3_titles", f"SELECT page_id AS doc, coalesce(nullif({_TITLE}, ''), nullif({_H1}, '')) AS title FROM pages")
+def x3(spark, d):
+    return ps.page_titles(_structure(spark, d))
+
+
+@query("x4_x5_metadata", """SELECT page_id AS doc, NULL::VARCHAR AS author, len(t)::BIGINT AS word_count, ceil(len(t) / 200.0)::BIGINT AS reading_minutes FROM (SELECT page_id, list_filter(string_split_regex(
+  regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)', 1), '(?s)<!--.*?-->', '', 'g'), '</?[ab]( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g'), '\\s+'), lambda x: x <> '') AS t FROM pages)""")
+def x4(spark, d):
+    return ps.page_metadata(_structure(spark, d)).select("doc", "author", "word_count", "reading_minutes")
+
+
+@query("job_structure_chunks")
+def job_structure(spark, d):
+    """Pages to sections to chunks with path, title and reading time."""
+    out = jobs.structure_chunks(table(spark, d, "pages").select(F.col("page_id").alias("doc"), "html"), tokens=250)
+    return out.select("id", "doc", "chunk_index", "total_chunks", "path", "hierarchy_level", "title", "reading_minutes", F.md5("content").alias("content_md5"))
+
+
 # --- outline -------------------------------------------------------------------------------------------------------
 
 
