@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docpipe.functions.text import keywords as extract_keywords
 
-BLOCK = 2048  # queries compared at once; more come in blocks, so what is broadcast is bounded
+BLOCK = 2048  # queries compared at once; up to so many are broadcast, more are dealt into blocks of about so many
+POINTS = 8192  # points that a task compares with a block of queries at once
 KEYWORDS = 200_000  # keywords of one automaton; more come in blocks, each a pass over the texts
+_MACHINES: dict[str, object] = {}
 
 
 def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -23,54 +28,86 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T))
 
 
+def _matrices(vectors: pa.Array, metric: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length: (rows, their vectors) of those that can be scored. For cosines, a vector is scaled by a power of two, so that no square
+    is too large or small."""
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == n)
+        x = pc.list_flatten(vectors.take(pa.array(rows))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), n)  # nulls become NaN
+        ok = np.isfinite(x).all(1)
+        if metric == "cosine":
+            ok &= (x != 0).any(1)
+            x = np.ldexp(x[ok], -np.frexp(np.abs(x[ok]).max(1, initial=0))[1][:, None])
+        else:
+            x = x[ok]
+        if len(x):
+            out[n] = rows[ok], x
+    return out
+
+
+def _best(queries: pa.RecordBatch, held: dict, points, k: int, metric: str):
+    """Record batches (query_id, id, score): the k best points of each query, and all that tie with the last of them."""
+    for at in range(0, points.num_rows, POINTS):
+        p = points.slice(at, POINTS)
+        column = p.column("embedding")
+        for n, (rows, x) in _matrices(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, metric).items():
+            if n not in held:
+                continue
+            ids, q = held[n]
+            s = _scores(q, x, metric)
+            keep = min(k, s.shape[1])
+            last = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
+            r, c = np.nonzero(s >= last[:, None])  # ties at the edge stay, the rank settles them
+            score = s[r, c] if metric != "euclid" else -s[r, c]
+            cols = queries.column("query_id").take(pa.array(ids[r])), p.column("id").take(pa.array(rows[c])), pa.array(score)
+            yield pa.record_batch([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cols], names=["query_id", "id", "score"])
+
+
 def ranked(scores: DataFrame, k: int, best_first: bool = True) -> DataFrame:
     """(query_id, rank, id, score): the k best of each query, ties by id."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score") if best_first else F.asc("score"), "id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def sound(vectors: DataFrame, metric: str) -> DataFrame:
-    """Rows whose embedding can be scored."""
-    ok = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & (F.size("embedding") > 0)
-    if metric == "cosine":
-        ok = ok & F.exists("embedding", lambda v: v != 0)
-    return vectors.where(ok)
-
-
 def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | None = None) -> DataFrame:
     """Exact search. points (id, embedding), queries (query_id, embedding); the filter goes to the scan.
 
-    Each Arrow batch keeps its own k best per query, so the shuffle carries k rows per query and batch. Queries go out in
-    blocks of ``BLOCK``. Vectors that are null or empty or hold null or non-finite components match nothing, vectors of
-    different lengths not each other, and a zero vector has no cosine.
+    Each task keeps its own k best per query and ``POINTS`` points, so the shuffle carries k rows of these. Up to ``BLOCK`` queries
+    are broadcast. More are dealt, as points are, and each block of queries meets each block of points in a task; a point then
+    travels once for a block of queries, far less than comparing them costs, and points are scanned once. Vectors that are null or
+    empty or hold null or non-finite components match nothing, vectors of different lengths not each other, and a zero vector has
+    no cosine. Rows that share an id are told apart by nothing but their scores.
     """
-    points = sound((points if where is None else points.where(where)).select("id", "embedding"), metric)
-    queries = sound(queries, metric)
-    id_type = points.schema["id"].dataType.simpleString()
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    out = None
-    for b in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        some = some.select("query_id", "embedding").toPandas()
-        by_length = {w: (p["query_id"].to_numpy(), np.stack(p["embedding"]).astype(np.float64)) for w, p in some.groupby(some["embedding"].map(len))}
-        sent = points.sparkSession.sparkContext.broadcast(by_length)
-
-        def score(batches, sent=sent):
+    points = (points if where is None else points.where(where)).select("id", "embedding")
+    queries = queries.select("query_id", "embedding")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, score double"
+    some = queries.limit(BLOCK + 1).toArrow()
+    if some.num_rows <= BLOCK:
+        some = some.combine_chunks()
+        held = _matrices(some.column("embedding").combine_chunks(), metric)
+        sent = points.sparkSession.sparkContext.broadcast((some.select(["query_id"]), held))
+
+        def score(batches):
+            names, held = sent.value
             for b in batches:
-                for w, p in b.groupby(b["embedding"].map(len)):
-                    if w not in sent.value:
-                        continue
-                    ids, q = sent.value[w]
-                    s = _scores(q, np.stack(p["embedding"]).astype(np.float64), metric)
-                    keep = min(k, s.shape[1])
-                    last = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
-                    r, c = np.nonzero(s >= last[:, None])  # ties at the edge stay, the rank below settles them
-                    yield pd.DataFrame({"query_id": ids[r], "id": p["id"].to_numpy()[c], "score": s[r, c] if metric != "euclid" else -s[r, c]})
-
-        part = points.mapInPandas(score, f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_type}, score double")
-        out = part if out is None else out.unionByName(part)
-    return ranked(out, k, metric != "euclid")
+                yield from _best(names, held, b, k, metric)
+
+        found = points.mapInArrow(score, schema)
+    else:
+        n_q, n_p = (max(1, -(-df.count() // most)) for df, most in ((queries, BLOCK), (points, POINTS)))
+        dealt = lambda df, n, m, mine, other: df.withColumn(mine, F.monotonically_increasing_id() % n).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+        def meet(q: pa.Table, p: pa.Table) -> pa.Table:
+            out = list(_best(q, _matrices(q.column("embedding").combine_chunks(), metric), p, k, metric)) if q.num_rows and p.num_rows else []
+            none = pa.table({"query_id": q.column("query_id").slice(0, 0), "id": p.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+            return pa.Table.from_batches(out) if out else none
+
+        left = dealt(queries, n_q, n_p, "bq", "bp").withColumn("bp", F.col("bp").cast("long")).groupBy("bq", "bp")
+        right = dealt(points, n_p, n_q, "bp", "bq").withColumn("bq", F.col("bq").cast("long")).groupBy("bq", "bp")
+        found = left.cogroup(right).applyInArrow(meet, schema)
+    return ranked(found, k, metric != "euclid")
 
 
 def keyword_rows(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -84,15 +121,19 @@ def keyword_hits(points: DataFrame, words: DataFrame) -> DataFrame:
     blocks, out = max(1, -(-n // KEYWORDS)), None
     for b in range(blocks):
         some = words if blocks == 1 else words.where(F.pmod(F.xxhash64("kw"), F.lit(blocks)) == b)
-        sent = points.sparkSession.sparkContext.broadcast([r.kw for r in some.select("kw").collect()])  # about KEYWORDS at most
+        sent = points.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [r.kw for r in some.select("kw").collect()]))  # about KEYWORDS at most
 
         def find(batches, sent=sent):
             import ahocorasick
 
-            machine = ahocorasick.Automaton()
-            for w in sent.value:
-                machine.add_word(w, w)
-            machine.make_automaton()
+            key, kws = sent.value
+            if key not in _MACHINES:  # made once a worker
+                _MACHINES.clear()
+                _MACHINES[key] = machine = ahocorasick.Automaton()
+                for w in kws:
+                    machine.add_word(w, w)
+                machine.make_automaton()
+            machine = _MACHINES[key]
             for b in batches:
                 got = [{w for _, w in machine.iter(t)} if len(machine) and t else set() for t in b.column(1).to_pylist()]
                 at = np.repeat(np.arange(len(got)), [len(g) for g in got])
@@ -149,19 +190,124 @@ def delete_documents(points: DataFrame, uris: DataFrame) -> tuple[DataFrame, Dat
     return points.join(uris, "document_uri", "left_anti"), gone
 
 
-def similar_pairs(points: DataFrame, top: int = 5, side: int = 512) -> DataFrame:
-    """(i, j, score): the top pairs by cosine, i < j. Blocks meet blocks, and each keeps only its own top."""
-    n = max(1, -(-points.count() // side))
-    dealt = points.select("id", "embedding").withColumn("mine", F.pmod(F.xxhash64("id"), F.lit(n)))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
-    dealt = dealt.select("id", "embedding", "mine", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
-
-    def best(p: pd.DataFrame) -> pd.DataFrame:
-        ids, x = p["id"].to_numpy(), np.stack(p["embedding"]).astype(np.float64)
-        s = _scores(x, x, "cosine")
-        i, j = np.nonzero(np.triu(np.ones_like(s, bool), 1) & ((p["mine"].to_numpy()[:, None] != p["mine"].to_numpy()[None, :]) | (p["a"].iloc[0] == p["b"].iloc[0])))
-        v = s[i, j]
-        at = np.flatnonzero(v >= np.partition(v, -top)[-top]) if len(v) > top else np.arange(len(v))
-        return pd.DataFrame({"i": np.minimum(ids[i[at]], ids[j[at]]), "j": np.maximum(ids[i[at]], ids[j[at]]), "score": v[at]})
+RINGS = 16  # at most, of the distances 0 to 2 from a pivot
+SLACK = 1e-6  # what rounding may take from a distance
+
+
+def _cells(points: DataFrame, pivots: int, side: int) -> tuple[DataFrame, pd.DataFrame, dict[int, np.ndarray]]:
+    """(rows with cell and distance to the pivot, a row for each cell, pivots by length). A cell is what lies nearest to one pivot, at
+    a distance of one ring; vectors of a length that no pivot has are one cell."""
+    rows = points.select("id", "embedding").distinct()
+    blocks = -(-points.count() // side)  # fewer cells than that would be larger than a block, more would be many small tasks
+    pivots, rings = max(1, min(pivots, blocks)), max(1, min(RINGS, blocks // max(1, pivots)))
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow().column("embedding").combine_chunks()
+    unit = {n: x / np.sqrt((x * x).sum(1))[:, None] for n, (_, x) in _matrices(some, "cosine").items()}
+    sent = rows.sparkSession.sparkContext.broadcast(unit)
+
+    def assign(batches):
+        for b in batches:
+            for n, (at, x) in _matrices(b.column("embedding"), "cosine").items():
+                near, dist = np.full(len(at), -1), np.zeros(len(at))
+                if n in sent.value:
+                    d = np.sqrt(np.maximum(0, 2 - 2 * (x / np.sqrt((x * x).sum(1))[:, None]) @ sent.value[n].T))
+                    near = d.argmin(1)
+                    dist = d[np.arange(len(at)), near]
+                kept = b.take(pa.array(at))
+                yield pa.record_batch([*kept.columns, pa.array(np.full(len(at), n)), pa.array(near.astype(np.int64)), pa.array((dist * rings / 2).astype(np.int64) if rings > 1 else np.zeros(len(at), np.int64)), pa.array(dist)], names=["id", "embedding", "width", "pivot", "ring", "dist"])
+
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("id", "embedding")}
+    placed = rows.mapInArrow(assign, f"id {kind['id']}, embedding {kind['embedding']}, width long, pivot long, ring long, dist double")
+    cells = placed.groupBy("width", "pivot", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
+    return placed, cells.toPandas().sort_values(["width", "pivot", "ring"], ignore_index=True), unit  # pivots times rings, and one a length
+
+
+def _near_cells(cells: pd.DataFrame, unit: dict[int, np.ndarray], farthest: float) -> pd.DataFrame:
+    """(a, b) of cells, a <= b, that may hold a pair no farther apart than that."""
+    out = []
+    for n, c in cells.groupby("width"):
+        lo, hi, pivot = c["lo"].to_numpy(), c["hi"].to_numpy(), c["pivot"].to_numpy()
+        if n in unit:
+            u = unit[n][pivot]
+            between = np.sqrt(np.maximum(0, 2 - 2 * u @ u.T))
+            least = between - hi[:, None] - hi[None, :]
+            same = pivot[:, None] == pivot[None, :]
+            least = np.maximum(least, np.where(same, np.maximum(lo[:, None] - hi[None, :], lo[None, :] - hi[:, None]), 0))
+        else:
+            least = np.zeros((len(c), len(c)))
+        a, b = np.nonzero(np.triu(least <= farthest + SLACK))
+        out.append(pd.DataFrame({"a": c.index.to_numpy()[a], "b": c.index.to_numpy()[b]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+
+def _top_pairs(ids: tuple[pa.Array, pa.Array], x: tuple[np.ndarray, np.ndarray], top: int, within: bool) -> pa.Table:
+    """The first pairs by score, then ids, of two sides, or (within) of one with itself."""
+    s = np.round(_scores(*x, "cosine"), 12)
+    usable = np.triu(np.ones_like(s, bool), 1) if within else np.ones_like(s, bool)
+    v = s[usable]
+    least = np.partition(v, -top)[-top] if len(v) > top else -2.0
+    r, c = np.nonzero(usable & (s >= least))
+    a, b = ids[0].take(pa.array(r)), ids[1].take(pa.array(c))
+    t = pa.table({"i": pc.if_else(pc.less(a, b), a, b), "j": pc.if_else(pc.less(a, b), b, a), "score": s[r, c]})
+    return t.filter(pc.not_equal(t["i"], t["j"])).sort_by([("score", "descending"), ("i", "ascending"), ("j", "ascending")]).slice(0, top)
+
+
+def _paired(points: DataFrame, top: int, side: int, pivots: int):
+    placed, cells, unit = _cells(points, pivots, side)
+    spark = points.sparkSession
+    cells["cell"], cells["parts"] = cells.index.astype("int64"), -(-cells["n"] // side)
+    known = F.broadcast(spark.createDataFrame(cells[["width", "pivot", "ring", "cell", "parts"]], "width long, pivot long, ring long, cell long, parts long"))
+    rows = placed.join(known, ["width", "pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("id", "embedding"), F.col("parts")))
+    rows = rows.select("id", "embedding", "cell", "part", "parts")
+    id_type = points.schema["id"].dataType.simpleString()
 
-    return dealt.groupBy("a", "b").applyInPandas(best, "i long, j long, score double").orderBy(F.desc("score"), "i", "j").limit(top)
+    def within(t: pa.Table) -> pa.Table:
+        ((at, x),) = _matrices(t.column("embedding").combine_chunks(), "cosine").values()  # a cell has one length, sound vectors only
+        ids = t.column("id").combine_chunks().take(pa.array(at))
+        return _top_pairs((ids, ids), (x, x), top, True)
+
+    first = rows.groupBy("cell", "part").applyInArrow(within, f"i {id_type}, j {id_type}, score double")
+    first = first.orderBy(F.desc("score"), "i", "j").limit(top).toArrow()  # top rows
+    scores = first.column("score").to_pylist()
+    farthest = float(np.sqrt(max(0.0, 2 - 2 * scores[-1]))) if len(scores) == top else 2.0
+    near = _near_cells(cells, unit, farthest).merge(cells[["parts"]], left_on="a", right_index=True).merge(cells[["parts"]], left_on="b", right_index=True, suffixes=("_a", "_b"))
+    near = near[(near["a"] != near["b"]) | (near["parts_a"] > 1)]
+    return rows, cells, near, first, id_type
+
+
+def similar_pairs(points: DataFrame, top: int = 5, side: int = 512, pivots: int = 256) -> DataFrame:
+    """(i, j, score): the top pairs by cosine, i < j, ties by ids. Exact, without comparing all pairs where vectors lie in clusters.
+
+    Each vector goes to the cell of its nearest of ``pivots`` sampled vectors and its distance ring. A cell's parts of about ``side``
+    rows are compared with themselves first, which bounds the distance of the last pair wanted; then only those cells meet that the
+    triangle inequality lets lie so near, part by part. Rows equal in id and vector count once, rows of one id make no pair. Vectors
+    that are null, zero, empty or hold null or non-finite components are in no pair, nor are vectors of different lengths."""
+    spark = points.sparkSession
+    rows, _, near, first, id_type = _paired(points, top, side, pivots)
+    pairs = F.broadcast(spark.createDataFrame(near, "a long, b long, parts_a long, parts_b long"))  # cells squared at most
+    met = rows.drop("parts").join(pairs, F.col("cell") == F.col("a"))
+    low = F.when(F.col("a") == F.col("b"), F.col("part") + 1).otherwise(F.lit(0))
+    left = met.where(low < F.col("parts_b")).select("id", "embedding", "a", "b", F.col("part").alias("pa"), F.explode(F.sequence(low, F.col("parts_b") - 1)).alias("pb"), F.lit(0).alias("side"))
+    met = rows.drop("parts").join(pairs, F.col("cell") == F.col("b"))
+    high = F.when(F.col("a") == F.col("b"), F.col("part") - 1).otherwise(F.col("parts_a") - 1)
+    right = met.where(high >= 0).select("id", "embedding", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), high)).alias("pa"), F.col("part").alias("pb"), F.lit(1).alias("side"))
+
+    def between(t: pa.Table) -> pa.Table:
+        sides = [t.filter(pc.equal(t["side"], k)) for k in (0, 1)]
+        if not all(x.num_rows for x in sides):
+            return pa.table({"i": t["id"].slice(0, 0), "j": t["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        held = [next(iter(_matrices(x["embedding"].combine_chunks(), "cosine").values())) for x in sides]
+        ids = tuple(x["id"].combine_chunks().take(pa.array(at)) for x, (at, _) in zip(sides, held, strict=True))
+        return _top_pairs(ids, tuple(x for _, x in held), top, False)
+
+    more = left.unionByName(right).groupBy("a", "b", "pa", "pb").applyInArrow(between, f"i {id_type}, j {id_type}, score double")
+    found = spark.createDataFrame(first, more.schema).unionByName(more) if first.num_rows else more
+    return found.distinct().orderBy(F.desc("score"), "i", "j").limit(top)
+
+
+def compared_pairs(points: DataFrame, top: int = 5, side: int = 512, pivots: int = 256) -> tuple[int, int]:
+    """How many pairs similar_pairs compares, and how many there are of equal length."""
+    _, cells, near, _, _ = _paired(points, top, side, pivots)
+    n = cells["n"].to_numpy()
+    own = int((n * n / cells["parts"].to_numpy()).sum() / 2)
+    met = sum(int(n[a] * n[b]) if a != b else int(n[a] ** 2 * (1 - 1 / p) / 2) for a, b, p in zip(near["a"], near["b"], near["parts_a"], strict=True))
+    return own + met, sum(int(w) * (int(w) - 1) // 2 for w in cells.groupby("width")["n"].sum())

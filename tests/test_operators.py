@@ -122,7 +122,8 @@ def test_token_cut():
     cut = lambda text, most=30: [c[1] for c in ch.token_windows_of(text, most=most, overlap=3)]
     assert cut("a b c")[0] == "a b c" and len(cut("a b c")) == 1
     assert cut("w " * 13 + "x, " + "y " * 20)[0] == "w " * 13 + "x, "
-    assert cut("w " * 13 + "etc. " + "y " * 20)[0] == "w " * 13 + "etc. "[:5] or not cut("w " * 13 + "etc. " + "y " * 20)[0].endswith("etc. ")
+    assert cut("w " * 11 + "etc. " + "y " * 20)[0] == "w " * 11 + "etc. y y "
+    assert cut("w " * 11 + "end. " + "y " * 20)[0] == "w " * 11 + "end. "
     assert cut("w" + "-" * 80)[0] == "w" + "-" * 29
     assert cut("one two " * 40)[0].endswith(" ")
     assert {c[5] for c in ch.token_windows_of("w " * 50, most=30, overlap=3)} == {4}
@@ -143,7 +144,7 @@ def test_packing_cases():
     got = ch.pack_paragraphs_of(ten, 512, 50)
     assert all(c for c, _ in got) and any(o for _, o in got) and [c for c, o in got if o] == ["p" * 200] * sum(o for _, o in got)
     assert [c for c, _ in ch.char_windows_of("One. Two two. Three", 6, 0, emit_tail=False)] == ["One. Two two.", "Three"]
-    assert ch.char_windows_of("ab. cd. ef", 4, 2)[1][1] and ch.overlap_end is not None
+    assert ch.char_windows_of("ab. cd. ef", 4, 2)[1][1]
 
 
 def test_sections(spark):
@@ -239,7 +240,7 @@ def test_jobs(spark):
     got = jobs.page_outline_chunks(pages, contents, head, most=30, overlap=3).orderBy("idx").collect()
     assert [(r.idx, r.path, r.content, r.kind, r.links) for r in got] == [
         (0, "Whole", "Chapter one.", "law", None), (1, "Whole->Part", "A b cL", "law", ["abc"]), (2, "", "Last words.", "law", None)
-    ] or [(r.path, r.content) for r in got][:2] == [("Whole", "Chapter one."), ("Whole->Part", "A b cL")]
+    ]
     got = jobs.page_section_chunks(pages, most=50, overlap=0).collect()
     assert got and all(r.total_chunks == len(got) and r.tags[0] == "legal_document" for r in got)
     assert "".join(r.content for r in jobs.page_section_chunks(pages, semantic=False).collect()).startswith("Chapter one.")
