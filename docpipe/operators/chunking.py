@@ -170,22 +170,26 @@ def pack_paragraphs_of(text: str, size: int = 512, overlap: int = 0, separator:
     """(content, is_overlap): paragraphs packed up to size characters; with overlap, trailing paragraphs seed the next chunk."""
     out: list[tuple] = []
     held: list[str] = []
-    length = lambda: sum(map(len, held)) + len(separator) * max(0, len(held) - 1)
+    length = 0  # of held, joined
     for p in filter(None, (x.strip() for x in text.split(separator))):
-        if held and length() + len(separator) + len(p) > size:
+        if held and length + len(separator) + len(p) > size:
             out.append((separator.join(held), False))
             seed: list[str] = []
-            while overlap > 0 and held and (not seed or sum(map(len, seed)) < overlap):
-                seed.insert(0, held.pop())
-            if seed:
-                out.append((separator.join(seed), True))
-            held = seed
+            taken = 0
+            while overlap > 0 and held and (not seed or taken < overlap):
+                seed.append(held.pop())
+                taken += len(seed[-1])
+            held = seed[::-1]
+            length = taken + len(separator) * max(0, len(held) - 1)
+            if held:
+                out.append((separator.join(held), True))
         if len(p) > size:
             if held:
                 out.append((separator.join(held) + separator, False))
             out += char_windows_of(p, size, overlap, blank_line=False)
-            held = []
+            held, length = [], 0
         else:
+            length += len(p) + len(separator) * bool(held)
             held.append(p)
     if held:
         out.append((separator.join(held), False))

@@ -24,6 +24,20 @@ def toc_intervals(contents: DataFrame) -> DataFrame:
     return last.select("doc", "st", "r.*")
 
 
+def failed_documents(contents: DataFrame) -> DataFrame:
+    """(doc, reason, detail): documents whose contents have a row without a readable start or end, with the first such row."""
+    from .records import paragraph_number
+
+    bad = contents.where(paragraph_number(F.col("np")).isNull() | paragraph_number(F.col("npe")).isNull())
+    first = bad.groupBy("doc").agg(F.min_by(F.concat(F.coalesce("np", F.lit("")), F.lit(":"), F.coalesce("npe", F.lit(""))), "pos").alias("detail"))
+    return first.select("doc", F.lit("unreadable contents row").alias("reason"), "detail")
+
+
+def too_deep(nodes: DataFrame, most: int = MAX_LEVELS) -> DataFrame:
+    """(doc, reason, detail): a row for each node that cap_levels leaves out."""
+    return nodes.where(F.col("lvl") >= most).select("doc", F.lit("level too deep").alias("reason"), F.concat_ws(":", F.col("st").cast("string"), F.col("en").cast("string"), F.col("lvl").cast("string")).alias("detail"))
+
+
 def attach_outline(blocks: DataFrame, toc: DataFrame) -> DataFrame:
     """Paragraphs (doc, seq, pid, text) with interval and level: of the contents row that starts there, else [pid, pid] one level below the last match."""
     t = toc.select("doc", F.col("st").alias("pid"), "en", "caption", "unit", "lvl")
@@ -39,11 +53,6 @@ def cap_levels(nodes: DataFrame, most: int = MAX_LEVELS) -> DataFrame:
     return nodes.where(F.col("lvl") < most)
 
 
-def deepest(nodes: DataFrame) -> int:
-    """The largest level, at most MAX_LEVELS - 1: how many steps walks up or down need."""
-    return min(MAX_LEVELS - 1, nodes.agg(F.coalesce(F.max("lvl"), F.lit(0))).first()[0])
-
-
 def parents_of(ranges: DataFrame, nodes: DataFrame, key: list[str], inserted_before: bool = False) -> DataFrame:
     """Each range's parent: of the nodes one level up that contain it, that with the smallest start, then the last inserted. parent null: none.
 
@@ -51,9 +60,10 @@ def parents_of(ranges: DataFrame, nodes: DataFrame, key: list[str], inserted_bef
     their ends rise with their starts, and the first that ends no earlier than a range is its parent if it starts in time.
     Where all nodes count, that is one running maximum and one carry along the ends, both windows of Spark. Where only nodes
     inserted earlier do, rows are swept in order of insertion, and a task holds the nodes that still count of one document and
-    level. No pair of nodes is formed either way. Ranges or nodes without a start or end have no parent and are none.
+    level. No pair of nodes is formed either way. Ranges or nodes without a start, end or level have no parent
+    and are none; rows without a doc are one document.
     """
-    up = nodes.where("st is not null and en is not null").select("doc", (F.col("lvl") + 1).alias("lvl"), "st", "en", "idx")
+    up = nodes.where("st is not null and en is not null and lvl is not null").select("doc", (F.col("lvl") + 1).alias("lvl"), "st", "en", "idx")
     row = F.struct(*[F.col(c) for c in ranges.columns if c != "parent"]).alias("r")  # a parent that is there is replaced
     if inserted_before:
         return _inserted_parents(ranges.select("doc", "lvl", "st", "en", F.col("idx"), row), up, ranges)
@@ -96,26 +106,52 @@ def parents(nodes: DataFrame) -> DataFrame:
     return parents_of(nodes, nodes, ["doc", "idx"])
 
 
+def with_chains(nodes: DataFrame) -> DataFrame:
+    """nodes plus parent, ancestors (idx from the root down) and path: captions from the root to the node, ``->`` between, ``$`` removed.
+
+    One sweep by level and start: a task holds, of one document, what counts of the level above (rising starts and ends, so a
+    parent is a binary search) and of the level it is in. Levels need not begin at 0; where one is missing, chains begin anew.
+    """
+    made = ("parent", "ancestors", "path")
+    kept = [c for c in nodes.columns if c not in made]
+    cap = F.replace(F.coalesce(F.col("caption").cast("string"), F.lit("")), F.lit("$"), F.lit(""))
+    rows = nodes.select("doc", "lvl", "st", "en", "idx", cap.alias("cap"), F.struct(*[F.col(c) for c in kept]).alias("r"))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def sweep(batches):
+        now = level = None
+        above, own = ([], [], []), ([], [], [])  # ends, starts, (ancestors and self, path)
+        for b in batches:
+            out = []
+            for doc, lvl, st, en, idx, cap in zip(*(b.column(c).to_pylist() for c in ("doc", "lvl", "st", "en", "idx", "cap")), strict=True):
+                if doc != now or lvl != level:
+                    next_level = doc == now and None not in (lvl, level) and lvl == level + 1
+                    above, own, now, level = own if next_level else ([], [], []), ([], [], []), doc, lvl
+                chain, path = (), cap
+                if st is not None and en is not None:
+                    k = bisect_left(above[0], en)
+                    if k < len(above[0]) and above[1][k] <= st:
+                        chain, path = above[2][k][0], f"{above[2][k][1]}->{cap}"
+                    if not own[0] or en > own[0][-1]:
+                        for held, x in zip(own, (en, st, ((*chain, idx), path)), strict=True):
+                            held.append(x)
+                out.append((chain, path))
+            i = b.schema.field("idx").type
+            yield pa.record_batch([b.column("r"), pa.array([c[-1] if c else None for c, _ in out], i), pa.array([c for c, _ in out], pa.list_(i)), pa.array([p for _, p in out], pa.string())], names=["r", *made])
+
+    dealt = rows.repartition("doc").sortWithinPartitions("doc", "lvl", "st", F.desc("idx"))
+    return dealt.mapInArrow(sweep, f"r {kind['r']}, parent {kind['idx']}, ancestors array<{kind['idx']}>, path string").select("r.*", *made)
+
+
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """(doc, idx, anc_idx, anc_lvl): all ancestors; one equality join per level, and no more than there are levels."""
-    up = parents(nodes).select("doc", "idx", "parent")
-    step = up.where("parent is not null").select("doc", "idx", F.col("parent").alias("anc_idx"))
-    out, hop = step, up.select("doc", F.col("idx").alias("anc_idx"), F.col("parent").alias("next"))
-    for _ in range(deepest(nodes) - 1):
-        step = step.join(hop, ["doc", "anc_idx"]).where("next is not null").select("doc", "idx", F.col("next").alias("anc_idx"))
-        out = out.unionByName(step)
-    return out.join(nodes.select("doc", F.col("idx").alias("anc_idx"), F.col("lvl").alias("anc_lvl")), ["doc", "anc_idx"])
+    """(doc, idx, anc_idx, anc_lvl): all ancestors, each a level above the next."""
+    up = with_chains(nodes).select("doc", "idx", "lvl", F.size("ancestors").alias("n"), F.posexplode("ancestors").alias("pos", "anc_idx"))
+    return up.select("doc", "idx", "anc_idx", (F.col("lvl") - F.col("n") + F.col("pos")).alias("anc_lvl"))
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(doc, idx, path): captions from the root to the node, ``->`` between, ``$`` removed. Walks down level by level."""
-    own = parents(nodes).select("doc", "idx", "lvl", "parent", F.replace(F.coalesce("caption", F.lit("")), F.lit("$"), F.lit("")).alias("cap"))
-    done = own.where("parent is null").select("doc", "idx", F.col("cap").alias("path"))
-    out, left = done, own.where("parent is not null")
-    for _ in range(deepest(nodes)):
-        done = left.join(done.select("doc", F.col("idx").alias("parent"), F.col("path").alias("above")), ["doc", "parent"]).select("doc", "idx", F.concat("above", F.lit("->"), "cap").alias("path"))
-        out = out.unionByName(done)
-    return out
+    """(doc, idx, path) of every node."""
+    return with_chains(nodes).select("doc", "idx", "path")
 
 
 def child_links(nodes: DataFrame) -> DataFrame:
@@ -193,11 +229,9 @@ def validate(nodes: DataFrame) -> DataFrame:
 
 def listing(nodes: DataFrame) -> DataFrame:
     """(doc, ord, line): depth first, children in order of insertion, two blanks a level."""
-    up = ancestors(nodes).groupBy("doc", "idx").agg(F.array_sort(F.collect_list("anc_idx")).alias("above"))
-    keyed = nodes.join(up, ["doc", "idx"], "left").withColumn("above", F.coalesce("above", F.array().cast("array<int>")))
-    keyed = keyed.withColumn("k", F.concat("above", F.array(F.col("idx").cast("int"))))
+    keyed = with_chains(nodes).withColumn("k", F.array_append("ancestors", F.col("idx")))
     w = Window.partitionBy("doc").orderBy("k")
-    return keyed.select("doc", (F.row_number().over(w) - 1).alias("ord"), F.concat(F.expr("repeat('  ', size(above))"), F.coalesce("caption", F.lit(""))).alias("line"))
+    return keyed.select("doc", (F.row_number().over(w) - 1).alias("ord"), F.concat(F.expr("repeat('  ', size(ancestors))"), F.coalesce("caption", F.lit(""))).alias("line"))
 
 
 def with_header(rows: DataFrame, headers: DataFrame, key: str = "doc") -> DataFrame:

@@ -17,22 +17,39 @@ from docpipe.operators.search import to_points
 from docpipe.operators.vectors import checked_size, encode
 
 
-def outline_nodes(blocks: DataFrame, contents: DataFrame) -> DataFrame:
-    """(doc, idx, st, en, lvl, caption, unit, text, links): numbered paragraphs in order, placed in the outline that the contents give."""
-    paragraphs = hr.numbered_paragraphs(blocks)
-    placed = ol.cap_levels(ol.attach_outline(paragraphs, ol.toc_intervals(contents)).join(paragraphs.select("doc", "seq", "links"), ["doc", "seq"]))
+def placed_paragraphs(blocks: DataFrame, contents: DataFrame) -> DataFrame:
+    """(doc, seq, st, en, lvl, caption, unit, text, links): numbered paragraphs of documents whose contents can be read, in their outline."""
+    failed = ol.failed_documents(contents).select("doc")
+    paragraphs = hr.numbered_paragraphs(blocks).join(failed, "doc", "left_anti")
+    return ol.attach_outline(paragraphs, ol.toc_intervals(contents)).join(paragraphs.select("doc", "seq", "links"), ["doc", "seq"])
+
+
+def outline_nodes(blocks: DataFrame, contents: DataFrame, levels: int = ol.MAX_LEVELS) -> DataFrame:
+    """(doc, idx, st, en, lvl, caption, unit, text, links): what is placed, numbered in order. What is left out is in outline_rejects."""
+    placed = ol.cap_levels(placed_paragraphs(blocks, contents), levels)
     return placed.withColumn("idx", F.row_number().over(Window.partitionBy("doc").orderBy("seq")) - 1).drop("seq")
 
 
+def outline_rejects(blocks: DataFrame, contents: DataFrame, levels: int = ol.MAX_LEVELS) -> DataFrame:
+    """(doc, reason, detail): what the outline job leaves out. A contents row that can't be read fails its document, a node that lies
+    too deep goes alone, a page without the asked root has no paragraphs."""
+    rootless = blocks.where("not found_root").select("doc", F.lit("no root element").alias("reason"), F.lit("").alias("detail"))
+    return ol.failed_documents(contents).unionByName(ol.too_deep(placed_paragraphs(blocks, contents), levels)).unionByName(rootless)
+
+
 def assemble_chunks(nodes: DataFrame, headers: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A row per node and chunk of its text: cut's columns, the path of captions, and the document's header columns."""
-    rows = nodes.where("text is not null").join(ol.paths(nodes), ["doc", "idx"])
+    rows = ol.with_chains(nodes).where("text is not null").drop("parent", "ancestors")
     return ol.with_header(cut(rows), headers)
 
 
-def page_outline_chunks(pages: DataFrame, contents: DataFrame, headers: DataFrame, most: int = 8192, overlap: int | None = None, root_id: str | None = None, tokenizer: Callable = ch.regex_tokens) -> DataFrame:
-    """Pages (doc, html) and their contents rows to token chunks with path, links and header."""
-    nodes = outline_nodes(hr.html_rows(pages, "doc", "html", root_id=root_id), contents)
+def page_outline_chunks(
+    pages: DataFrame, contents: DataFrame, headers: DataFrame, most: int = 8192, overlap: int | None = None, root_id: str | None = None, tokenizer: Callable = ch.regex_tokens,
+    drop: bool = True, converter: Callable[[str], str] | None = None,
+) -> DataFrame:
+    """Pages (doc, html) and their contents rows to token chunks with path, links and header. drop: noise goes with all it holds;
+    converter: what a paragraph's clean text becomes. See outline_rejects for what is left out."""
+    nodes = outline_nodes(hr.html_rows(pages, "doc", "html", root_id=root_id, drop=drop, converter=converter), contents)
     return assemble_chunks(nodes, headers, lambda rows: ch.token_windows(rows, "text", tokenizer, most, overlap))
 
 

@@ -117,7 +117,7 @@ def p6(spark, d):
     return rc.find_first(e, e.where("value > 50").select("d", "event_type").distinct(), ["d", "event_type"], "event_id", "event_id").withColumn("d", F.col("d").cast("string"))
 
 
-@query("p7_paragraph_classes")
+@query("p7_paragraph_classes", "SELECT page_id AS doc, len(regexp_extract_all(html, '<p[ >]'))::BIGINT AS n_paragraphs FROM pages WHERE len(regexp_extract_all(html, '<p[ >]')) > 0")
 def p7(spark, d):
     blocks = hr.html_rows(table(spark, d, "pages"), "page_id", "html")
     return rc.text_paragraphs(blocks).groupBy("doc").agg(F.count("*").alias("n_paragraphs"))
@@ -181,7 +181,9 @@ def h9(spark, d):
     return hr.doc_metadata(hr.html_rows(table(spark, d, "pages"), "page_id", "html")).select("doc", F.to_json("meta").alias("meta"))
 
 
-@query("h10_plain_text")
+@query("h10_plain_text", r"""WITH p AS (SELECT page_id AS doc, i, trim(replace(regexp_replace(regexp_replace(regexp_extract(x[i], '(?s)^[^>]*>(.*?)(</p>|<footer|<div|<h1|<ul|<nav|<article|$)', 1), '<[^>]*>', '', 'g'), '&quot;', '"', 'g'), '&amp;', '&')) AS t
+  FROM (SELECT page_id, x, unnest(range(2, len(x) + 1)) AS i FROM (SELECT page_id, string_split_regex(html, '<p\b') AS x FROM pages)))
+  SELECT doc, length(t)::INT AS n_chars, md5(t) AS text_md5 FROM (SELECT doc, string_agg(t, chr(10) || chr(10) ORDER BY i) AS t FROM p WHERE t <> '' GROUP BY doc)""")
 def h10(spark, d):
     return hr.plain_text(hr.html_rows(table(spark, d, "pages"), "page_id", "html")).select("doc", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
@@ -369,7 +371,20 @@ def _sections(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("uri"), F.lit(0).alias("section_index"), F.col("source").alias("article"), F.col("text").alias("content"))
 
 
-@query("c6_c10_paragraph_packing")
+_STRIP = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_PACKED = f"""WITH RECURSIVE p AS (SELECT uri, row_number() OVER (PARTITION BY uri ORDER BY j) AS i, p FROM (SELECT doc_id AS uri, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS j,
+  {_STRIP.format("unnest(string_split(text, chr(10)))")} AS p FROM documents) WHERE p <> ''),
+g AS (SELECT uri, i, length(p) AS held, 1 AS g, length(p) > 512 AS long FROM p WHERE i = 1
+  UNION ALL SELECT p.uri, p.i, CASE WHEN g.long OR length(p) > 512 OR g.held + 1 + length(p) > 512 THEN length(p) ELSE g.held + 1 + length(p) END,
+  g.g + CASE WHEN g.long OR length(p) > 512 OR g.held + 1 + length(p) > 512 THEN 1 ELSE 0 END, length(p) > 512 FROM g JOIN p ON p.uri = g.uri AND p.i = g.i + 1),
+w AS (SELECT uri, g, p, 0 AS a, 0 AS b, 0 AS n FROM g JOIN p USING (uri, i) WHERE long
+  UNION ALL SELECT uri, g, p, b, CASE WHEN b + 512 >= length(p) THEN length(p) ELSE b + 512 + coalesce(nullif(length(regexp_extract(substr(p, b + 513), '(?s)^[^.!?]*[.!?]')), 0), 0) END, n + 1 FROM w WHERE b < length(p)),
+c AS (SELECT uri, g, 0 AS n, string_agg(p, chr(10) ORDER BY i) AS content, false AS is_overlap FROM g JOIN p USING (uri, i) WHERE NOT long GROUP BY uri, g
+  UNION ALL SELECT uri, g, n, {_STRIP.format("substr(p, a + 1, b - a)")}, a > 0 FROM w WHERE n > 0)
+SELECT uri, (row_number() OVER (PARTITION BY uri ORDER BY g, n) - 1)::INT AS chunk_index, count(*) OVER (PARTITION BY uri) AS total_chunks, length(content)::INT AS char_count, is_overlap, md5(content) AS content_md5 FROM c WHERE content <> ''"""
+
+
+@query("c6_c10_paragraph_packing", _PACKED)
 def c6(spark, d):
     out = ch.chunk_sections(_sections(spark, d), size=512, overlap=0, separator="\n")
     return out.select("uri", "chunk_index", "total_chunks", "char_count", "is_overlap", F.md5("content").alias("content_md5"))
@@ -622,18 +637,37 @@ def job_sections(spark, d):
     return out.select("doc", "chunk_index", "total_chunks", "token_count", F.md5("content").alias("content_md5"), F.to_json("meta").alias("meta"))
 
 
-@query("job_outline_chunks")
-def job_outline(spark, d):
-    """Documents' lines as pages with contents, through the whole outline job."""
+def _line_pages(spark, d):
+    """Documents' lines as pages with numbered paragraphs, the contents of these, and their headers."""
     docs, n = table(spark, d, "documents").where("text is not null"), nodes_of(spark, d).where("lvl < 2")
     line = lambda x, i: F.concat(F.lit('<p id="p'), i.cast("string"), F.lit('">'), F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p>"))
     pages = docs.select(F.col("doc_id").alias("doc"), F.array_join(F.transform(F.split("text", "\n"), line), "").alias("html"))
     at = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
     contents = n.select("doc", F.col("lvl").alias("pos"), at("st").alias("np"), at("en").alias("npe"), "caption", F.lit("u").alias("unit"), "lvl")
-    out = jobs.page_outline_chunks(pages, contents, docs.select(F.col("doc_id").alias("doc"), "source"), most=64, overlap=6)
+    return pages, contents, docs.select(F.col("doc_id").alias("doc"), "source")
+
+
+@query("job_outline_chunks")
+def job_outline(spark, d):
+    """Documents' lines as pages with contents, through the whole outline job."""
+    pages, contents, headers = _line_pages(spark, d)
+    out = jobs.page_outline_chunks(pages, contents, headers, most=64, overlap=6)
     return out.select("doc", "idx", "path", "source", "chunk_index", "total_chunks", F.md5("content").alias("content_md5"))
 
 
+@query("job_outline_rejects", f"""WITH {OUTLINE}, bad AS (SELECT doc, arg_min(st, lvl * 1000000 + st) AS st FROM node WHERE lvl < 2 AND doc % 7 = 3 AND lvl = 1 AND st % 20 = 0 GROUP BY doc),
+  toc AS (SELECT doc, st, arg_max(en, lvl) AS en, max(lvl) AS lvl FROM node WHERE lvl < 2 AND doc NOT IN (SELECT doc FROM bad) GROUP BY doc, st),
+  line AS (SELECT b.doc, b.st, coalesce(t.en, b.st) AS en, coalesce(t.lvl, coalesce(last_value(t.lvl IGNORE NULLS) OVER (PARTITION BY b.doc ORDER BY b.st ROWS UNBOUNDED PRECEDING), 0) + 1) AS lvl
+    FROM node b LEFT JOIN toc t ON t.doc = b.doc AND t.st = b.st WHERE b.lvl = 2 AND b.doc NOT IN (SELECT doc FROM bad))
+  SELECT doc, 'unreadable contents row' AS reason, 'p' || st || ':' AS detail FROM bad UNION ALL SELECT doc, 'level too deep', st || ':' || en || ':' || lvl FROM line WHERE lvl >= 2""")
+def job_rejects(spark, d):
+    """What the outline job leaves out, where some contents rows have no end and no more than two levels are wanted."""
+    pages, contents, _ = _line_pages(spark, d)
+    broken = (F.col("doc") % 7 == 3) & (F.col("lvl") == 1) & (F.regexp_replace("np", "p", "").cast("int") % 20 == 0)
+    contents = contents.withColumn("npe", F.when(~broken, F.col("npe"))).withColumn("pos", F.col("lvl") * 1000000 + F.regexp_replace("np", "p", "").cast("int"))
+    return jobs.outline_rejects(hr.html_rows(pages, "doc", "html"), contents, 2)
+
+
 @query("job_section_points")
 def job_points(spark, d):
     """Documents as sections, packed, led by title and article, encoded and numbered."""

@@ -111,3 +111,26 @@ def test_heading_outline(spark, block):
     assert {k: sorted(v) for k, v in up.items()} == {(r.doc, r.idx): r.ancestors for r in out if r.doc}
     assert {(r.doc, r.idx): r.path for r in ol.paths(n).collect()} == {(r.doc, r.idx): r.path for r in out if r.doc}
     assert hd.heading_outline(df.limit(0)).count() == 0
+
+
+def test_chains(spark):
+    """Parents of the sweep are those of parents_of; ancestors and paths are what following them gives."""
+    rows = nodes_of(random.Random(9), 10, 40) + [(3, 900, 1, 2, None, "odd"), (3, 901, 0, 99, 7, "$alone")]
+    df = spark.createDataFrame(rows, NODE)
+    up = {(r.doc, r.idx): r.parent for r in ol.parents(df).collect()}
+    name = {(r[0], r[1]): r[5].replace("$", "") for r in rows}
+
+    def chain(doc, idx):
+        p = up[doc, idx]
+        return [] if p is None else [*chain(doc, p), p]
+
+    got = ol.with_chains(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = chain(r.doc, r.idx)
+        assert (r.parent, r.ancestors) == (up[r.doc, r.idx], want)
+        assert r.path == "->".join(name[r.doc, i] for i in [*want, r.idx])
+    level = {(r[0], r[1]): r[4] for r in rows}
+    every = ol.ancestors(df).collect()
+    assert len(every) == sum(len(r.ancestors) for r in got) and all(level[r.doc, r.anc_idx] == r.anc_lvl for r in every)
+    assert ol.with_chains(df.limit(0)).count() == 0
