@@ -13,8 +13,8 @@ by doc_id; tasks close a file after ``FILE_BYTES``; files are named by content,
 
 Ids come from the tokenizers library. A byte-level vocabulary never joins across a blank that follows or precedes
 something else, so texts are cut there and each worker keeps the ids of pieces it has met (about ``REMEMBER``, those of
-late use); new ones go to the library, many at a time. Texts with a special string of the vocabulary or with runs of white
-space around a blank, and all texts for other kinds of vocabulary, go to the library whole.
+late use); new ones go to the library, many at a time. Texts with a special string of the vocabulary or with white space beside
+a blank, and all texts for other kinds of vocabulary, go to the library whole.
 
 Cases: null and empty texts hold just the end id; repeated rows are each written, in order of doc_id and a hash of the
 text; null doc_ids come first; an empty table gives no files and no rows; extra columns are dropped.
@@ -26,22 +26,24 @@ import hashlib
 import os
 import re
 import struct
-from itertools import chain, filterfalse
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import get_file, new_dir, pages, put_file, staged
+from .common import get_file, new_dir, pages, put_file, staged, tidied
 
 MAGIC, HEAD, ROW = b"DPTOK1\0\0", "<8sII32sQ", "<qQIQ"
 HEAD_BYTES, ROW_BYTES = struct.calcsize(HEAD), struct.calcsize(ROW)
 TRAIN_DOCS, TRAIN_IDS, DICT_BYTES, FILE_BYTES, REMEMBER, LEVEL = 1000, 1024, 65_536, 32 << 20, 700_000, 1
 NO_ID = -(1 << 63)
-#: Where a cut before a blank would part a run of white space.
-BLANKS = re.compile(r"\s \s")
+MANIFEST = pa.schema([("uri", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("dict_sha256", pa.string()), ("part", pa.int32())])
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -85,21 +87,30 @@ class Encoder:
         return True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if not self.plain or self.added and self.added.search(t) or BLANKS.search(t) else t.split(" ") for t in texts]
+        cut = [None if not self.plain or self.added and self.added.search(t) else t.split(" ") for t in texts]
+        first = [t if c is None else c.pop(0) for t, c in zip(texts, cut, strict=True)]
         if len(self.young) > REMEMBER // 2:
             self.young, self.old = {}, self.young
-        new = []
-        for w in filterfalse(self.young.__contains__, set(chain.from_iterable(c[1:] for c in cut if c))):
-            if w in self.old:
-                self.young[w] = self.old[w]
-            else:
-                new.append(w)
+        get, parts, gaps, missing = self.young.get, [], [], set()
+        for c in cut:
+            p = list(map(get, c or ()))
+            at = list(compress(range(len(p)), map(is_, p, repeat(None))))
+            missing.update([c[i] for i in at])
+            parts.append(p)
+            gaps.append(at)
+        known = {w: self.old[w] for w in missing if w in self.old}
+        # a piece with white space at an end may be part of a longer run: it is not remembered, and its text is looked at
+        new = [w for w in missing if w not in known and w and not w[0].isspace() and not w[-1].isspace()]
+        self.young |= known
         if not self._learn(new):
             self.plain, self.young, self.old = False, {}, {}
             return self.encode(texts)
-        first = iter(self._library([t if c is None else c[0] for t, c in zip(texts, cut, strict=True)]))
-        get = self.young.__getitem__
-        return [next(first) + (b"".join(map(get, c[1:])) if c else b"") for c in cut]
+        for k, (c, p, at) in enumerate(zip(cut, parts, gaps, strict=True)):
+            for i in at:
+                p[i] = get(c[i])
+            if at and None in p:
+                first[k], parts[k] = texts[k], ()
+        return [a + b"".join(p) for a, p in zip(self._library(first), parts, strict=True)]
 
 
 def encoder(vocabulary: str) -> Encoder:
@@ -150,6 +161,9 @@ def write(docs: DataFrame, vocabulary_path: str, out_uri: str, end_id: int = 0)
     def files(batches):
         import zstandard
 
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([close() | {"part": n_file}], MANIFEST)
+
         enc = encoder(vocabulary.value)
         z = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True)
         end = np.array([end_id], enc.type).tobytes()
@@ -159,28 +173,27 @@ def write(docs: DataFrame, vocabulary_path: str, out_uri: str, end_id: int = 0)
             body = b"".join([struct.pack(HEAD, MAGIC, enc.type.itemsize, len(rows), digest, at), *blobs, *(struct.pack(ROW, *r) for r in rows)])
             uri = f"{out_uri}/{hashlib.sha256(body).hexdigest()}.tok"
             put_file(uri, body)
-            return pd.DataFrame({"uri": [uri], "first_id": [rows[0][0]], "n_docs": [len(rows)], "n_tokens": [sum(r[3] for r in rows)], "n_bytes": [len(body)], "dict_sha256": [digest.hex()]})
+            return {"uri": uri, "first_id": rows[0][0], "n_docs": len(rows), "n_tokens": sum(r[3] for r in rows), "n_bytes": len(body), "dict_sha256": digest.hex()}
 
         n_file = 0
         for b in batches:
-            ids = [NO_ID if pd.isna(i) else int(i) for i in b["doc_id"]]
-            texts = b["text"].tolist()
-            for k, to in pages(np.array([len(t) for t in texts])):
-                for i, raw in zip(ids[k:to], enc.encode(texts[k:to]), strict=True):
+            for k, to in pages(pc.utf8_length(b.column("text")).to_numpy(zero_copy_only=False)):
+                p = b.slice(k, to - k)
+                for i, raw in zip(p.column("doc_id").fill_null(NO_ID).to_pylist(), enc.encode(p.column("text").to_pylist()), strict=True):
                     raw += end
                     c = z.compress(raw)
                     blobs.append(c)
                     rows.append((i, at, len(c), len(raw) // enc.type.itemsize))
                     at += len(c)
                     if at > FILE_BYTES:
-                        yield close().assign(part=n_file)
+                        yield told()
                         blobs, rows, at, n_file = [], [], HEAD_BYTES, n_file + 1
         if rows:
-            yield close().assign(part=n_file)
+            yield told()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    made = ordered.mapInPandas(files, "uri string, first_id long, n_docs long, n_tokens long, n_bytes long, dict_sha256 string, part int")
+    made = ordered.mapInArrow(tidied(files), "uri string, first_id long, n_docs long, n_tokens long, n_bytes long, dict_sha256 string, part int")
     return staged(made.withColumn("pid", F.spark_partition_id()), "manifest")
 
 
@@ -202,7 +215,7 @@ def read(manifest: DataFrame, out_uri: str) -> DataFrame:
 
         known: dict[str, zstandard.ZstdDecompressor] = {}
         for b in batches:
-            for uri, name, before in zip(b["uri"], b["dict_sha256"], b["before"], strict=True):
+            for uri, name, before in zip(*(b.column(c).to_pylist() for c in ("uri", "dict_sha256", "before")), strict=True):
                 body = get_file(uri)
                 width, digest, rows = _rows(body)
                 if digest.hex() != name:
@@ -213,13 +226,15 @@ def read(manifest: DataFrame, out_uri: str) -> DataFrame:
                         raise ValueError(f"dictionary {name} is damaged")
                     known[name] = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d) if d else None)
                 for k in range(0, len(rows), 256):
-                    part, out = rows[k : k + 256], []
-                    for i, at, size, n in part:
-                        out.append((None if i == NO_ID else i, before, known[name].decompress(body[at : at + size]), width))
+                    part, start, ids = rows[k : k + 256], [], []
+                    for _, at, size, n in part:
+                        start.append(before)
+                        ids.append(known[name].decompress(body[at : at + size]))
                         before += n
-                    yield pd.DataFrame(out, columns=["doc_id", "start", "ids", "width"]).astype({"doc_id": "Int64"})
+                    doc = pa.array([None if r[0] == NO_ID else r[0] for r in part], pa.int64())
+                    yield pa.record_batch([doc, pa.array(start, pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * len(part), pa.int32())], names=["doc_id", "start", "ids", "width"])
 
-    return spread.mapInPandas(load, "doc_id long, start long, ids binary, width int")
+    return spread.mapInArrow(load, "doc_id long, start long, ids binary, width int")
 
 
 def read_one(uri: str, dict_uri: str, doc_id: int) -> np.ndarray | None:
