@@ -194,11 +194,16 @@ RINGS = 16  # at most, of the distances 0 to 2 from a pivot
 SLACK = 1e-6  # what rounding may take from a distance
 
 
-def _cells(points: DataFrame, pivots: int, side: int) -> tuple[DataFrame, pd.DataFrame, dict[int, np.ndarray]]:
+def _told_apart(points: DataFrame, top: int) -> DataFrame:
+    """Distinct rows, and of equal vectors those of the top + 1 smallest ids: others only make pairs that come behind the first top."""
+    first = Window.partitionBy("embedding").orderBy("id")
+    return points.select("id", "embedding").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= top + 1).drop("n")
+
+
+def _cells(rows: DataFrame, pivots: int, side: int) -> tuple[DataFrame, pd.DataFrame, dict[int, np.ndarray]]:
     """(rows with cell and distance to the pivot, a row for each cell, pivots by length). A cell is what lies nearest to one pivot, at
     a distance of one ring; vectors of a length that no pivot has are one cell."""
-    rows = points.select("id", "embedding").distinct()
-    blocks = -(-points.count() // side)  # fewer cells than that would be larger than a block, more would be many small tasks
+    blocks = -(-rows.count() // side)  # fewer cells than that would be larger than a block, more would be many small tasks
     pivots, rings = max(1, min(pivots, blocks)), max(1, min(RINGS, blocks // max(1, pivots)))
     some = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow().column("embedding").combine_chunks()
     unit = {n: x / np.sqrt((x * x).sum(1))[:, None] for n, (_, x) in _matrices(some, "cosine").items()}
@@ -252,8 +257,9 @@ def _top_pairs(ids: tuple[pa.Array, pa.Array], x: tuple[np.ndarray, np.ndarray],
 
 
 def _paired(points: DataFrame, top: int, side: int, pivots: int):
-    placed, cells, unit = _cells(points, pivots, side)
     spark = points.sparkSession
+    apart = _told_apart(points, top)
+    placed, cells, unit = _cells(apart, pivots, side)
     cells["cell"], cells["parts"] = cells.index.astype("int64"), -(-cells["n"] // side)
     known = F.broadcast(spark.createDataFrame(cells[["width", "pivot", "ring", "cell", "parts"]], "width long, pivot long, ring long, cell long, parts long"))
     rows = placed.join(known, ["width", "pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("id", "embedding"), F.col("parts")))
@@ -271,18 +277,84 @@ def _paired(points: DataFrame, top: int, side: int, pivots: int):
     farthest = float(np.sqrt(max(0.0, 2 - 2 * scores[-1]))) if len(scores) == top else 2.0
     near = _near_cells(cells, unit, farthest).merge(cells[["parts"]], left_on="a", right_index=True).merge(cells[["parts"]], left_on="b", right_index=True, suffixes=("_a", "_b"))
     near = near[(near["a"] != near["b"]) | (near["parts_a"] > 1)]
-    return rows, cells, near, first, id_type
+    return rows, cells, near, first, id_type, _grid(apart, cells, unit, farthest + SLACK, side)
+
+
+def _grid(rows: DataFrame, cells: pd.DataFrame, unit: dict[int, np.ndarray], reach: float, side: int) -> DataFrame | None:
+    """(id, embedding, grid): vectors by their distances to a few pivots in steps of at least four times reach, and once more in the
+    step below if they lie within reach of it, so two vectors no farther apart than reach share a grid cell. None: the steps would
+    be too wide to part anything."""
+    used: dict[int, tuple[np.ndarray, float]] = {}
+    for n, count in cells.groupby("width")["n"].sum().items():
+        if count <= side:
+            continue
+        u = unit.get(n)
+        if u is None or len(u) < 3:
+            return None
+        d = np.sqrt(np.maximum(0, 2 - 2 * u @ u.T))[np.triu_indices(len(u), 1)]
+        spread = float(np.subtract(*np.percentile(d, [95, 5])))
+        step = max(4 * reach, spread / 8)
+        if spread < 2 * step:
+            return None
+        used[n] = u[: max(1, min(8, len(u), round(np.log(count / side) / np.log(spread / step)) + 1))], step
+    sent = rows.sparkSession.sparkContext.broadcast(used)
+
+    def deal(batches):
+        for b in batches:
+            for n, (at, x) in _matrices(b.column("embedding"), "cosine").items():
+                who, key = np.arange(len(at)), np.full(len(at), n, np.uint64)
+                if n in sent.value:
+                    u, step = sent.value[n]
+                    d = np.sqrt(np.maximum(0, 2 - 2 * (x / np.sqrt((x * x).sum(1))[:, None]) @ u.T))
+                    home = np.floor(d / step).astype(np.int64)
+                    low = d - home * step < reach
+                    for i in range(len(u)):
+                        also = low[who, i]
+                        key = key * np.uint64(1_000_003)  # cells that clash are one cell
+                        key = np.concatenate([key + (home[who, i] + 1).astype(np.uint64), key[also] + home[who[also], i].astype(np.uint64)])
+                        who = np.concatenate([who, who[also]])
+                kept = b.take(pa.array(at[who]))
+                yield pa.record_batch([*kept.columns, pa.array(key.view(np.int64))], names=["id", "embedding", "grid"])
+
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("id", "embedding")}
+    return rows.mapInArrow(deal, f"id {kind['id']}, embedding {kind['embedding']}, grid long")
+
+
+def _in_grid(grid: DataFrame, top: int, side: int, id_type: str) -> DataFrame:
+    """The top pairs of each grid cell; a large cell is dealt into parts that meet in pairs."""
+    sizes = grid.groupBy("grid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("grid").alias("_g"), F.ceil(F.col("n") / (4 * side)).alias("parts"))
+    rows = grid.join(sizes, F.col("grid") == F.col("_g")).withColumn("part", F.pmod(F.xxhash64("id", "embedding"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    rows = rows.select("id", "embedding", "grid", "part", other.alias("other")).select("id", "embedding", "grid", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part")
+
+    def meet(t: pa.Table) -> pa.Table:
+        (a,), (b,) = pc.unique(t["a"]).to_pylist(), pc.unique(t["b"]).to_pylist()
+        sides = [t] if a == b else [t.filter(pc.equal(t["part"], k)) for k in (a, b)]
+        held = [_matrices(x["embedding"].combine_chunks(), "cosine") for x in sides]
+        out = [pa.table({"i": t["id"].slice(0, 0), "j": t["id"].slice(0, 0), "score": pa.array([], pa.float64())})]
+        for n in set(held[0]) & set(held[-1]):
+            ids = [s["id"].combine_chunks().take(pa.array(h[n][0])) for s, h in zip(sides, held, strict=True)]
+            out.append(_top_pairs((ids[0], ids[-1]), (held[0][n][1], held[-1][n][1]), top, a == b))
+        return pa.concat_tables(out)
+
+    return rows.groupBy("grid", "a", "b").applyInArrow(meet, f"i {id_type}, j {id_type}, score double")
 
 
 def similar_pairs(points: DataFrame, top: int = 5, side: int = 512, pivots: int = 256) -> DataFrame:
     """(i, j, score): the top pairs by cosine, i < j, ties by ids. Exact, without comparing all pairs where vectors lie in clusters.
 
     Each vector goes to the cell of its nearest of ``pivots`` sampled vectors and its distance ring. A cell's parts of about ``side``
-    rows are compared with themselves first, which bounds the distance of the last pair wanted; then only those cells meet that the
-    triangle inequality lets lie so near, part by part. Rows equal in id and vector count once, rows of one id make no pair. Vectors
-    that are null, zero, empty or hold null or non-finite components are in no pair, nor are vectors of different lengths."""
+    rows are compared with themselves first, which bounds the distance of the last pair wanted. Two vectors so near have distances to
+    any pivot that differ no more than that (the triangle inequality): where the bound is small, vectors meet in a grid of such
+    distances; where it is not, those cells meet that may hold a pair so near, part by part. Rows equal in id and vector count once,
+    rows of one id make no pair. Vectors that are null, zero, empty or hold null or non-finite components are in no pair, nor are
+    vectors of different lengths."""
     spark = points.sparkSession
-    rows, _, near, first, id_type = _paired(points, top, side, pivots)
+    rows, _, near, first, id_type, grid = _paired(points, top, side, pivots)
+    if grid is not None:
+        more = _in_grid(grid, top, side, id_type)
+        found = spark.createDataFrame(first, more.schema).unionByName(more) if first.num_rows else more
+        return found.distinct().orderBy(F.desc("score"), "i", "j").limit(top)
     pairs = F.broadcast(spark.createDataFrame(near, "a long, b long, parts_a long, parts_b long"))  # cells squared at most
     met = rows.drop("parts").join(pairs, F.col("cell") == F.col("a"))
     low = F.when(F.col("a") == F.col("b"), F.col("part") + 1).otherwise(F.lit(0))
@@ -306,8 +378,11 @@ def similar_pairs(points: DataFrame, top: int = 5, side: int = 512, pivots: int
 
 def compared_pairs(points: DataFrame, top: int = 5, side: int = 512, pivots: int = 256) -> tuple[int, int]:
     """How many pairs similar_pairs compares, and how many there are of equal length."""
-    _, cells, near, _, _ = _paired(points, top, side, pivots)
+    _, cells, near, _, _, grid = _paired(points, top, side, pivots)
     n = cells["n"].to_numpy()
     own = int((n * n / cells["parts"].to_numpy()).sum() / 2)
+    every = sum(int(w) * (int(w) - 1) // 2 for w in cells.groupby("width")["n"].sum())
+    if grid is not None:
+        return own + (grid.groupBy("grid").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0), every
     met = sum(int(n[a] * n[b]) if a != b else int(n[a] ** 2 * (1 - 1 / p) / 2) for a, b, p in zip(near["a"], near["b"], near["parts_a"], strict=True))
-    return own + met, sum(int(w) * (int(w) - 1) // 2 for w in cells.groupby("width")["n"].sum())
+    return own + met, every

@@ -69,15 +69,24 @@ def test_pairs_are_pruned(spark):
     rng = np.random.default_rng(6)
     centers = rng.normal(size=(40, 16))
     vectors = [(i, (centers[0 if i % 3 == 0 else i % 40] + rng.normal(size=16) * 0.05).tolist()) for i in range(6000)]
-    df = spark.createDataFrame(vectors, POINT).repartition(4)
-    compared, every = se.compared_pairs(df, 5, side=100)
-    assert every == 6000 * 5999 // 2 and compared * 3 < every
-    x = np.array([v for _, v in vectors])
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    s = x @ x.T
-    i, j = np.triu_indices(6000, 1)
-    at = np.argsort(-s[i, j], kind="stable")[:5]
-    assert [(r.i, r.j) for r in se.similar_pairs(df, 5, side=100).collect()] == [(int(i[a]), int(j[a])) for a in at]
+    copies = [(6000 + i, (np.array(vectors[i * 7][1]) * 1.001 + 1e-4).tolist()) for i in range(6)]  # so near that a grid is of use
+    for some, share in ((vectors, 3), (vectors + copies, 4)):
+        compared, every = se.compared_pairs(spark.createDataFrame(some, POINT), 5, side=100)
+        assert every == len(some) * (len(some) - 1) // 2 and compared * share < every
+        x = np.array([v for _, v in some])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        s = x @ x.T
+        i, j = np.triu_indices(len(some), 1)
+        at = np.argsort(-s[i, j], kind="stable")[:5]
+        assert [(r.i, r.j) for r in se.similar_pairs(spark.createDataFrame(some, POINT).repartition(4), 5, side=100).collect()] == [(int(i[a]), int(j[a])) for a in at]
+
+
+def test_equal_vectors(spark):
+    """A third of all rows are one vector: of them only the smallest ids can be in a first pair."""
+    rows = [(i * 37 % 1000, [1.0, 2.0] if i % 3 else [float(i % 50), 3.0 + i]) for i in range(1000)]
+    got = se.similar_pairs(spark.createDataFrame(rows, POINT), 5, 50).collect()
+    ids = sorted(i for i, v in rows if v == [1.0, 2.0])
+    assert [(r.i, r.j, r.score) for r in got] == [(ids[0], ids[k], 1.0) for k in range(1, 6)]
 
 
 def run(spark, tmp_path, rows, **kw):
