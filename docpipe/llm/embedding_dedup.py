@@ -104,6 +104,7 @@ def route(x: np.ndarray, nodes: list) -> tuple[np.ndarray, np.ndarray]:
 
 def _unit(col) -> np.ndarray:
     x = np.stack(col.to_numpy()).astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])  # exact, and no square is too large or small
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 

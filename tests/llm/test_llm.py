@@ -167,6 +167,16 @@ def test_embeddings(spark):
 
 
 
+def test_embeddings_of_any_size(spark):
+    """Parallel vectors link whatever their sizes, up to those whose squares are no doubles."""
+    v = np.random.default_rng(9).standard_normal((3, 8))
+    rows = [(10 * k + i, (x * size).tolist()) for k, x in enumerate(v) for i, size in enumerate((1.0, 1e-170, 1e200, -1.0))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    assert np.abs(np.triu(u @ u.T, 1)).max() < 0.9
+    assert got == {10 * k + i: ((2, 10 * k) if i < 3 else (0, 10 * k + 3)) for k in range(3) for i in range(4)}
+
+
 def test_embeddings_lengths(spark, monkeypatch):
     """Vectors of several lengths: each links with those of its own length, in one leaf or in trees of their own."""
     monkeypatch.setattr(embedding_dedup, "LEAF", 30)
