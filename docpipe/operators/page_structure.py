@@ -251,9 +251,8 @@ def structure_rows(pages: DataFrame, doc: str, html: str) -> DataFrame:
     return pages.select(F.col(doc).alias("doc"), F.col(html).alias("html")).mapInArrow(run, f"doc {pages.schema[doc].dataType.simpleString()}, {ROW}")
 
 
-def table_texts(rows: DataFrame, repeat: bool = False) -> DataFrame:
-    """(doc, tab, outer, text): a line for each row with text, its cells parted by bars, cells without text left out. repeat: a cell
-    stands in every row and column that it spans."""
+def _bodies(rows: DataFrame, repeat: bool = False) -> DataFrame:
+    """(_d, _t, body): the lines of each table with text."""
     cells = rows.where("kind = 'cell' and text <> ''")
     if repeat:
         over = lambda c, n: F.explode(F.sequence(F.col(c), F.col(c) + F.col(n) - 1))
@@ -261,10 +260,21 @@ def table_texts(rows: DataFrame, repeat: bool = False) -> DataFrame:
         cells = rows.where("kind = 'cell'").withColumn("rowspan", F.least("rowspan", F.max("row").over(height) - F.col("row") + 1)).where("text <> ''")  # no row but the table's own
         cells = cells.withColumn("row", over("row", "rowspan")).withColumn("col", over("col", "colspan"))
     line = cells.groupBy("doc", "tab", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("x")).select("doc", "tab", "row", F.array_join("x.text", " | ").alias("line"))
-    text = line.groupBy("doc", "tab").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("x")).select(F.col("doc").alias("_d"), F.col("tab").alias("_t"), F.array_join("x.line", "\n").alias("body"))
+    held = line.groupBy("doc", "tab").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("x"))
+    return held.select(F.col("doc").alias("_d"), F.col("tab").alias("_t"), F.array_join("x.line", "\n").alias("body"))
+
+
+def _marked(body: Column) -> Column:
+    return F.concat(F.lit(TABLE[0]), F.coalesce(body, F.lit("")), F.lit(TABLE[1]))
+
+
+def table_texts(rows: DataFrame, repeat: bool = False) -> DataFrame:
+    """(doc, tab, outer, text): a line for each row with text, its cells parted by bars, cells without text left out. repeat: a cell
+    stands in every row and column that it spans."""
+    text = _bodies(rows, repeat)
     heads = rows.where("kind = 'table'").select("doc", "tab", "outer")
     met = heads.join(text, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tab") == F.col("_t")), "left")
-    return met.select("doc", "tab", "outer", F.concat(F.lit(TABLE[0]), F.coalesce("body", F.lit("")), F.lit(TABLE[1])).alias("text"))
+    return met.select("doc", "tab", "outer", _marked(F.col("body")).alias("text"))
 
 
 def code_text(lang: Column, text: Column) -> Column:
@@ -277,9 +287,8 @@ def flow(rows: DataFrame) -> DataFrame:
     at = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     now = F.last(F.when(F.col("kind").isin("start", "resume"), F.struct("section", F.col("text").alias("heading"), "level", "tag")), True).over(at)
     shown = rows.withColumn("now", now).where("kind in ('text', 'code', 'table')")
-    tables = table_texts(rows).select(F.col("doc").alias("_d"), F.col("tab").alias("_t"), F.col("text").alias("_table"))
-    met = shown.join(tables, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tab") == F.col("_t")), "left")
-    text = F.when(F.col("kind") == "code", code_text(F.col("name"), F.col("text"))).when(F.col("kind") == "table", F.col("_table")).otherwise(F.col("text"))
+    met = shown.join(_bodies(rows), F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tab") == F.col("_t")), "left")
+    text = F.when(F.col("kind") == "code", code_text(F.col("name"), F.col("text"))).when(F.col("kind") == "table", _marked(F.col("body"))).otherwise(F.col("text"))
     return met.select("doc", "seq", "kind", "now.section", "now.heading", "now.level", "now.tag", text.alias("text"))
 
 
