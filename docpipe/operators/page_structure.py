@@ -5,7 +5,8 @@ One parser pass in Arrow batches gives rows in page order; everything after it i
 * ``start`` a heading h1 to h6 (text, level) or a section, article, div.section or div.chapter (level 0, no text); ``resume`` where
   the text of an outer one goes on behind an inner one, or of none. Both carry ``section``, the number of the one that now holds.
 * ``text`` a run of text between block boundaries, blanks collapsed; ``code`` a pre element (name: its language);
-* ``table`` where a table begins, ``cell`` a cell of it, placed by row and column under the row and column spans around it;
+* ``table`` where a table begins, with the lines of its cells that have text, ``cell`` a cell of it, placed by row and column under the
+  row and column spans around it;
 * ``title`` and ``meta`` (name in lower case, prop, text: content) of the head.
 
 A heading holds up to the next one or to the end of the element it stands in, the others to their own end. Script, style and
@@ -46,6 +47,8 @@ class _Table:
         self.number, self.outer, self.row, self.col = number, outer, -1, 0
         self.taken: dict[int, int] = {}  # column: rows, this one included, that a cell above reaches
         self.cell: dict | None = None
+        self.head: dict = {}  # its row of kind table
+        self.lines: dict[int, list[str]] = {}  # row: texts of its cells
 
     def next_row(self):
         self.row, self.col = self.row + 1, 0
@@ -98,7 +101,10 @@ class _Page(HTMLParser):
         t = self.tables[-1]
         if t.cell is not None:
             cell, t.cell = t.cell, None
-            self.add("cell", tab=t.number, outer=t.outer, **cell | {"text": " ".join("".join(cell["text"]).split())})
+            text = " ".join("".join(cell["text"]).split())
+            self.add("cell", tab=t.number, outer=t.outer, **cell | {"text": text})
+            if text:
+                t.lines.setdefault(cell["row"], []).append(text)
 
     def closed(self, tag: str):
         """What the end of an element, whose depth is now gone, means."""
@@ -113,10 +119,11 @@ class _Page(HTMLParser):
         if self.pre is not None and self.pre["depth"] == depth:
             p, self.pre = self.pre, None
             self.add("code", name=p["lang"] or "text", text="".join(p["text"]).strip())
-        if tag == "table" and self.tables:
+        if tag == "table" and self.tables and not self.silent:
             self.end_cell()
-            self.tables.pop()
-        if tag in ("td", "th", "tr") and self.tables:
+            t = self.tables.pop()
+            t.head["text"] = "\n".join(" | ".join(x) for x in t.lines.values())
+        if tag in ("td", "th", "tr") and self.tables and not self.silent:
             self.end_cell()
         if tag == "title" and self.title is not None:
             self.add("title", text=" ".join("".join(self.title).split()))
@@ -168,6 +175,7 @@ class _Page(HTMLParser):
             self.n_tables += 1
             self.tables.append(_Table(self.n_tables - 1, self.tables[-1].number if self.tables else None))
             self.add("table", tab=self.n_tables - 1, outer=self.tables[-1].outer)
+            self.tables[-1].head = self.rows[-1]
         elif tag == "tr" and self.tables:
             self.end_cell()
             self.tables[-1].next_row()
@@ -251,14 +259,12 @@ def structure_rows(pages: DataFrame, doc: str, html: str) -> DataFrame:
     return pages.select(F.col(doc).alias("doc"), F.col(html).alias("html")).mapInArrow(run, f"doc {pages.schema[doc].dataType.simpleString()}, {ROW}")
 
 
-def _bodies(rows: DataFrame, repeat: bool = False) -> DataFrame:
-    """(_d, _t, body): the lines of each table with text."""
-    cells = rows.where("kind = 'cell' and text <> ''")
-    if repeat:
-        over = lambda c, n: F.explode(F.sequence(F.col(c), F.col(c) + F.col(n) - 1))
-        height = Window.partitionBy("doc", "tab")
-        cells = rows.where("kind = 'cell'").withColumn("rowspan", F.least("rowspan", F.max("row").over(height) - F.col("row") + 1)).where("text <> ''")  # no row but the table's own
-        cells = cells.withColumn("row", over("row", "rowspan")).withColumn("col", over("col", "colspan"))
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(_d, _t, body): the lines of each table with text, where a cell stands in every row and column that it spans."""
+    over = lambda c, n: F.explode(F.sequence(F.col(c), F.col(c) + F.col(n) - 1))
+    height = Window.partitionBy("doc", "tab")
+    cells = rows.where("kind = 'cell'").withColumn("rowspan", F.least("rowspan", F.max("row").over(height) - F.col("row") + 1)).where("text <> ''")  # no row but the table's own
+    cells = cells.withColumn("row", over("row", "rowspan")).withColumn("col", over("col", "colspan"))
     line = cells.groupBy("doc", "tab", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("x")).select("doc", "tab", "row", F.array_join("x.text", " | ").alias("line"))
     held = line.groupBy("doc", "tab").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("x"))
     return held.select(F.col("doc").alias("_d"), F.col("tab").alias("_t"), F.array_join("x.line", "\n").alias("body"))
@@ -271,9 +277,10 @@ def _marked(body: Column) -> Column:
 def table_texts(rows: DataFrame, repeat: bool = False) -> DataFrame:
     """(doc, tab, outer, text): a line for each row with text, its cells parted by bars, cells without text left out. repeat: a cell
     stands in every row and column that it spans."""
-    text = _bodies(rows, repeat)
-    heads = rows.where("kind = 'table'").select("doc", "tab", "outer")
-    met = heads.join(text, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tab") == F.col("_t")), "left")
+    heads = rows.where("kind = 'table'")
+    if not repeat:
+        return heads.select("doc", "tab", "outer", _marked(F.col("text")).alias("text"))
+    met = heads.select("doc", "tab", "outer").join(_repeated(rows), F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tab") == F.col("_t")), "left")
     return met.select("doc", "tab", "outer", _marked(F.col("body")).alias("text"))
 
 
@@ -286,10 +293,9 @@ def flow(rows: DataFrame) -> DataFrame:
     section that holds there (null: none)."""
     at = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     now = F.last(F.when(F.col("kind").isin("start", "resume"), F.struct("section", F.col("text").alias("heading"), "level", "tag")), True).over(at)
-    shown = rows.withColumn("now", now).where("kind in ('text', 'code', 'table')")
-    met = shown.join(_bodies(rows), F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tab") == F.col("_t")), "left")
-    text = F.when(F.col("kind") == "code", code_text(F.col("name"), F.col("text"))).when(F.col("kind") == "table", _marked(F.col("body"))).otherwise(F.col("text"))
-    return met.select("doc", "seq", "kind", "now.section", "now.heading", "now.level", "now.tag", text.alias("text"))
+    shown = rows.where("kind in ('start', 'resume', 'text', 'code', 'table')").withColumn("now", now).where("kind in ('text', 'code', 'table')")
+    text = F.when(F.col("kind") == "code", code_text(F.col("name"), F.col("text"))).when(F.col("kind") == "table", _marked(F.col("text"))).otherwise(F.col("text"))
+    return shown.select("doc", "seq", "kind", "now.section", "now.heading", "now.level", "now.tag", text.alias("text"))
 
 
 def sections(rows: DataFrame) -> DataFrame:

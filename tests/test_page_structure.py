@@ -30,6 +30,7 @@ def test_tables(spark):
     assert cells == {(0, 0): "r", (0, 1): "c", (1, 1): "1", (1, 2): "2", (2, 1): "3"}
     assert tables(spark, "<table><tr><td rowspan=x colspan=-3>a</td><td colspan=99999999>b") == ["a | b"]
     assert tables(spark, "<table></table><td>no table</td>") == [""]
+    assert tables(spark, "<table><tr><td>a<template><table><tr><td>x</table></template></table><table><tr><td>b</table>") == ["a", "b"]
     deep = "".join(f"<table><tr><td>{i}" for i in range(30))
     assert tables(spark, deep) == [str(i) for i in range(30)]
     outer = {r.tab: r.outer for r in ps.table_texts(rows_of(spark, deep)).collect()}
