@@ -283,7 +283,7 @@ def test_decontaminate(spark):
 
 def licenses():
     made = license_scan.templates_of(license_scan.TEMPLATES)
-    return made, {w for t in made for w in t.bits}
+    return made, {w for t in made for w in t.left}
 
 
 def test_license():
@@ -319,12 +319,43 @@ def test_license_windows():
         assert [g[1] for g in license_scan.scan_text(f"{text} {text}", made, vocabulary)[2] if g[0] == name] == [1, 1]
     mixed = license_scan.TEMPLATES["CC-BY-NC-4.0 notice"] + " " + noise(200) + " " + license_scan.TEMPLATES["Apache-2.0 notice"]
     assert {"CC-BY-NC-4.0 notice", "Apache-2.0 notice"} <= {g[0] for g in license_scan.scan_text(mixed, made, vocabulary)[2]}
+    hit = all_ = 0
     for _ in range(400):
         a, t = [rng.randrange(5) for _ in range(rng.randrange(1, 16))], [rng.randrange(4) for _ in range(5)]
         lcs = lambda x: max((sum(1 for _ in c) for c in [[]] + [c for n in range(1, 6) for c in combinations(t, n) if subsequence(c, x)]), default=0)
         want = any(lcs(a[i : i + 10]) >= 4 for i in range(len(a)))
         got = license_scan.windows([x for x in a if x in t], [i for i, x in enumerate(a) if x in t], license_scan.Template("t", t))
-        assert bool(got) == want and all(n <= lcs(a[f : e + 1]) and e - f < 10 and n >= 4 for n, f, e in got)
+        assert want or not got
+        assert all(n <= lcs(a[f : e + 1]) and e - f < 10 and n >= 4 for n, f, e in got)
+        hit, all_ = hit + bool(got), all_ + want
+    assert hit >= 0.8 * all_ > 0, (hit, all_)  # no template, but the worst case of an alignment by unique words: chance runs of words that repeat
+
+
+def test_license_threshold():
+    """Short templates with changed and lost words between words of their own: found where the longest common subsequence reaches the
+    threshold, up to a few in a hundred where words repeat, and nowhere else."""
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    for distinct, least in ((True, 0.98), (False, 0.93)):
+        for m in (5, 8, 13):
+            rng, hit, all_ = random.Random(5), 0, 0
+            for _ in range(500):
+                t = rng.sample(range(m + 2), m) if distinct else [rng.randrange(m - 1) for _ in range(m)]
+                some = lambda: [rng.randrange(m + 2) for _ in range(rng.randrange(m))]  # noqa: B023, E731
+                a = some() + [x if rng.random() < 0.85 else rng.randrange(m + 2) for x in t if rng.random() < 0.95] + some()
+                made = license_scan.Template("t", t)
+                want = any(lcs(a[i : i + 2 * m], t) >= made.need for i in range(len(a)))
+                got = license_scan.windows([x for x in a if x in t], [i for i, x in enumerate(a) if x in t], made)
+                assert (want or not got) and all(lcs(a[f : e + 1], t) >= n >= made.need and e - f < 2 * m for n, f, e in got)
+                hit, all_ = hit + bool(got), all_ + want
+            assert hit >= least * all_ > 0, (distinct, m, hit, all_)
 
 
 def test_license_recall():
