@@ -3,14 +3,15 @@
 Writing: every page becomes a request, a response or revisit, and a metadata record; the first and last name the second
 in WARC-Concurrent-To. Of payloads of at least ``LEAST`` bytes that are equal, that of the smallest page_id is stored and
 the others revisit it (WARC-Refers-To). Records are gzip members; a task closes a file after ``FILE_BYTES``. Files are named
-by content, so a repeated task writes the same name, and only listed files are read.
+by content, so a repeated task writes the same name, and only listed files are read. The ``HEAVY`` most repeated digests, rows of fixed
+size, are broadcast; any other one is a smaller part of all rows than 1 / ``HEAVY`` and met in a join.
 
 Reading: each file is parsed where it is read, response payloads are hashed and checked against the stored digest, and
 records are grouped by the capture's identifier (one shuffle of headers; payloads stay in the files, at uri and offset).
 A revisit takes the payload's length and page from the record it refers to.
 
-Cases: null html is an empty payload; null url is written as empty; null page_ids never are the smallest and are read back
-as null; repeated rows are written and returned as often; short payloads are all responses; an empty table gives no files
+Cases: null html is an empty payload; null url is written as empty, and a url without ``://`` asks for ``/`` of no host; null page_ids never are the smallest and are read back
+as null; repeated rows are written and returned as often, under one record id; short payloads are all responses; an empty table gives no files
 and no rows; extra columns are dropped.
 """
 
@@ -20,6 +21,7 @@ import gzip
 import hashlib
 import re
 import zlib
+from urllib.parse import quote
 from uuid import NAMESPACE_URL, uuid5
 
 import pandas as pd
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import get_file, new_dir, put_file, staged
 
 LEAST, FILE_BYTES, DATE = 100, 32 << 20, "1970-01-01T00:00:00Z"
+HEAVY = 10_000
 RECORD = "uri string, offset long, record_id string, type string, capture string, refers_to string, target string, digest string, payload_bytes long, page_id long"
 
 
@@ -42,20 +45,26 @@ def record(kind: str, rid: str, headers: dict[str, str], block: bytes) -> bytes:
     return gzip.compress(text.encode("utf-8") + block + b"\r\n\r\n", 1, mtime=0)
 
 
+def request(url: str) -> bytes:
+    """What a client sends for a url: path and query, characters that may not stand there escaped, and the host."""
+    host, target = re.match(r"([^/?#]*)([^#]*)", url.partition("://")[2], re.S).groups()
+    path = quote(target if target.startswith("/") else f"/{target}", safe="/?%:@!$&'()*+,;=~[]")
+    return f"GET {path} HTTP/1.1\r\nHost: {quote(host, safe='%:@[]')}\r\n\r\n".encode()
+
+
 def capture_records(page_id: int | None, url: str, payload: bytes, digest: str, first: tuple | None) -> list[bytes]:
-    """first: (page_id, url) of the page whose payload this one repeats, or None."""
+    """first: (page_id, SHA-256 of the url) of the page whose payload this one repeats, or None."""
     line = re.sub(r"[\r\n]+", " ", url)
-    rid = record_id("revisit" if first else "response", page_id, url, digest)
+    rid = record_id("revisit" if first else "response", page_id, hashlib.sha256(url.encode()).hexdigest(), digest)
     about = {"WARC-Target-URI": line}
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     kept = {**about, "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha256:{digest}"}
     if first:
         kept |= {"WARC-Refers-To": record_id("response", *first, digest), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
     beside = {**about, "WARC-Concurrent-To": rid}
-    ask = "GET / HTTP/1.1\r\n\r\n".encode()
     note = b"" if page_id is None else f"page-id: {page_id}\r\n".encode()
     return [
-        record("request", record_id("request", rid), {**beside, "Content-Type": "application/http; msgtype=request"}, ask),
+        record("request", record_id("request", rid), {**beside, "Content-Type": "application/http; msgtype=request"}, request(url)),
         record("revisit" if first else "response", rid, kept, http if first else http + payload),
         record("metadata", record_id("metadata", rid), {**beside, "Content-Type": "application/warc-fields"}, note),
     ]
@@ -65,10 +74,19 @@ def write(pages: DataFrame, out_uri: str) -> DataFrame:
     """Write archives below out_uri; returns the staged list of files (uri, n_captures, n_bytes)."""
     html = F.coalesce("html", F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("payload"), F.sha2(html, 256).alias("digest"))
-    groups = base.where((F.octet_length("payload") >= LEAST) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last"))
-    nobody = base.where((F.octet_length("payload") >= LEAST) & F.col("page_id").isNull()).select("digest").distinct().withColumn("lost", F.lit(True))
-    groups = groups.join(nobody, "digest", "left").where((F.col("last") > F.col("first.page_id")) | F.col("lost")).select("digest", F.col("first.page_id").alias("fid"), F.col("first.url").alias("furl"))
-    given = base.join(groups, "digest", "left")  # payload hot spots: only repeated digests stand on the right side
+    long = base.where(F.octet_length("payload") >= LEAST)
+    first = F.min(F.struct("page_id", F.sha2("url", 256).alias("url"))).alias("first")
+    groups = long.where("page_id is not null").groupBy("digest").agg(first, F.max("page_id").alias("last"), F.count("*").alias("n"))
+    nobody = long.where("page_id is null").groupBy("digest").agg(F.count("*").alias("lost"))
+    repeats = groups.join(nobody, "digest", "left").where("last > first.page_id or lost is not null")
+    repeats = staged(repeats.select("digest", F.col("first.page_id").alias("fid"), F.col("first.url").alias("furl"), (F.col("n") + F.coalesce("lost", F.lit(0))).alias("n")), "repeats")
+    heavy = repeats.orderBy(F.desc("n"), "digest").limit(HEAVY)
+    rest = repeats.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    near = base.join(F.broadcast(heavy.select("digest", F.col("fid").alias("hid"), F.col("furl").alias("hurl"))), "digest", "left")
+    # a row that has met its digest goes anywhere
+    key = F.when(F.col("hid").isNull(), F.col("digest")).otherwise(F.concat(F.lit("+"), F.monotonically_increasing_id().cast("string")))
+    met = near.withColumn("key", key).join(rest.select(F.col("digest").alias("key"), "fid", "furl"), "key", "left")
+    given = met.withColumn("fid", F.coalesce("hid", "fid")).withColumn("furl", F.coalesce("hurl", "furl"))
 
     def files(batches):
         body, n, size = [], 0, 0

@@ -245,6 +245,22 @@ def test_warc(spark):
     assert [g[3] for g in got] == [hashlib.sha256((h or "").encode()).hexdigest() for h in html] and got[0][4] == 2
 
 
+def test_warc_repeats(spark, monkeypatch):
+    """Digests met by broadcast and by join give the same; null page_ids, an empty table, request lines."""
+    pages = spark.createDataFrame([(i if i % 7 else None, f"http://h/{i}", f"{i % 5}" * 150) for i in range(60)], "page_id long, url string, html string")
+    want = None
+    for heavy in (2, 10_000):
+        monkeypatch.setattr(warc, "HEAVY", heavy)
+        rows = warc.captures(warc.write(pages, common.new_dir(spark, "w"))).collect()
+        got = sorted((r.metadata.page_id or -1, r.response.type, r.aim_page or -1, r.response.target) for r in rows)
+        assert len(got) == 60 and sum(g[1] == "response" for g in got) == 5 and want in (None, got)
+        assert all(g[2] == min(i for i in range(60) if i % 7 and i % 5 == int(g[3][9:]) % 5) for g in got if g[1] == "revisit")
+        want = got
+    assert warc.captures(warc.write(pages.where("false"), common.new_dir(spark, "w"))).count() == 0
+    asks = {"http://Ex.org:80/a b/?q=1#f": "GET /a%20b/?q=1 HTTP/1.1\r\nHost: Ex.org:80", "https://h?x": "GET /?x HTTP/1.1\r\nHost: h", "none": "GET / HTTP/1.1\r\nHost: ", "http://h/\né": "GET /%0A%C3%A9 HTTP/1.1\r\nHost: h"}
+    assert {u: warc.request(u).decode().removesuffix("\r\n\r\n") for u in asks} == asks
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     bad = ["grunk", "vlott", "snarp"]
