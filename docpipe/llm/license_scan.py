@@ -111,11 +111,21 @@ class Template:
         self.need = next((m for m in range(1, self.size + 1) if m / self.size >= least), self.size + 1)
         self.begin, self.end = set(words[: self.size - self.need + 1]), set(words[self.need - 1 :])
         self.step = max(1, self.size // ENDS)
+        self.once = {w: j for j, w in enumerate(words) if self.left[w] == 1}
 
     def most(self, have: Counter) -> int:
         """Words that a text with these counts can hold at most."""
         return sum(min(c, have[w]) for w, c in self.left.items() if w in have)
 
+    def may_hold(self, a: list) -> bool:
+        """Whether enough of the template can stand in order: no more than all its repeated words and the longest run of the others."""
+        tops: list[int] = []
+        for w in a:
+            if (j := self.once.get(w)) is not None:
+                k = bisect_left(tops, j)
+                tops[k : k + 1] = [j]
+        return len(tops) + self.size - len(self.once) >= self.need
+
 
 def templates_of(texts: dict[str, str], least: float = LEAST) -> list[Template]:
     return [Template(k, w, least) for k, v in texts.items() if (w := words_of(v))]
@@ -148,7 +158,7 @@ def windows(some: list, at: list[int], t: Template, spread: float = SPREAD) -> l
             hold[a[j]] += 1
             held += hold[a[j]] <= t.left[a[j]]
             j += 1
-        if i >= after and held >= t.need and w in t.begin and (met := _closest(a, i, j, t)):
+        if i >= after and held >= t.need and w in t.begin and t.may_hold(a[i:j]) and (met := _closest(a, i, j, t)):
             (got, end), start, known = met, i, None
             while known != (start, end):
                 known = start, end
