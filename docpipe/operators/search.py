@@ -16,6 +16,7 @@ from docpipe.functions.text import keywords as extract_keywords
 
 BLOCK = 2048  # queries compared at once; up to so many are broadcast, more are dealt into blocks of about so many
 POINTS = 8192  # points that a task compares with a block of queries at once
+SCORES, TILE = 1 << 21, 2048  # scores that a task holds at once, and the sides of a square tile of them
 KEYWORDS = 200_000  # keywords of one automaton; more come in blocks, each a pass over the texts
 _MACHINES: dict[str, object] = {}
 
@@ -191,6 +192,7 @@ def delete_documents(points: DataFrame, uris: DataFrame) -> tuple[DataFrame, Dat
 
 
 RINGS = 16  # at most, of the distances 0 to 2 from a pivot
+MEET, MEET_BYTES, SPREAD = 32, 1 << 25, 8  # sides and bytes that a block of cells holds at most when blocks meet, and how many blocks there are at least
 SLACK = 1e-6  # what rounding may take from a distance
 
 
@@ -244,16 +246,42 @@ def _near_cells(cells: pd.DataFrame, unit: dict[int, np.ndarray], farthest: floa
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
-def _top_pairs(ids: tuple[pa.Array, pa.Array], x: tuple[np.ndarray, np.ndarray], top: int, within: bool) -> pa.Table:
-    """The first pairs by score, then ids, of two sides, or (within) of one with itself."""
-    s = np.round(_scores(*x, "cosine"), 12)
-    usable = np.triu(np.ones_like(s, bool), 1) if within else np.ones_like(s, bool)
-    v = s[usable]
-    least = np.partition(v, -top)[-top] if len(v) > top else -2.0
-    r, c = np.nonzero(usable & (s >= least))
-    a, b = ids[0].take(pa.array(r)), ids[1].take(pa.array(c))
-    t = pa.table({"i": pc.if_else(pc.less(a, b), a, b), "j": pc.if_else(pc.less(a, b), b, a), "score": s[r, c]})
-    return t.filter(pc.not_equal(t["i"], t["j"])).sort_by([("score", "descending"), ("i", "ascending"), ("j", "ascending")]).slice(0, top)
+def _pairs_scored(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of rows r of q with rows c of x, each pair summed by itself: equal vectors score the same wherever they stand."""
+    out, step = np.empty(len(r)), max(1, SCORES // q.shape[1])
+    for at in range(0, len(r), step):
+        a, b = q[r[at : at + step]], x[c[at : at + step]]
+        out[at : at + step] = np.sqrt(np.square(a - b).sum(1)) if metric == "euclid" else (a * b).sum(1)
+    return out / np.sqrt((q * q).sum(1))[r] / np.sqrt((x * x).sum(1))[c] if metric == "cosine" else out
+
+
+def _top_pairs(ids: tuple[pa.Array, pa.Array], x: tuple[np.ndarray, np.ndarray], top: int, within: bool, least: float = -2.0) -> pa.Table:
+    """The first pairs by score, then ids, of two sides, or (within) of one with itself; none below least is wanted. Tiles of scores
+    in single precision tell what is too low by more than their rounding, the rest is scored anew."""
+    best = pa.table({"i": ids[0].slice(0, 0), "j": ids[0].slice(0, 0), "score": pa.array([], pa.float64())})
+    u = [(v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32) for v in x]
+    code = pc.dictionary_encode(pa.concat_arrays([*ids])).indices.to_numpy(zero_copy_only=False)
+    code = code[: len(ids[0])], code[len(ids[0]) :]
+    repeats = any(len(np.unique(k)) < len(k) for k in code) or not within and bool(np.isin(*code).any())
+    rounding = 1.2e-7 * (u[0].shape[1] + 4)
+    for lo in range(0, len(u[0]), TILE):
+        for at in range(lo if within else 0, len(u[1]), TILE):
+            s = u[0][lo : lo + TILE] @ u[1][at : at + TILE].T
+            if within and lo == at:
+                s[np.tri(len(s), dtype=bool)] = -3
+            if repeats:
+                s[code[0][lo : lo + TILE, None] == code[1][None, at : at + TILE]] = -3
+            if s.max() < least - rounding:
+                continue
+            r, c = np.nonzero(s >= max(least, np.partition(s, s.size - top, None)[s.size - top] - rounding if s.size > top else -2.0) - rounding)
+            r, c = r + lo, c + at
+            score = np.round(_pairs_scored(*x, r, c, "cosine"), 12)
+            a, b = ids[0].take(pa.array(r)), ids[1].take(pa.array(c))
+            new = pa.table({"i": pc.if_else(pc.less(a, b), a, b), "j": pc.if_else(pc.less(a, b), b, a), "score": score})
+            best = pa.concat_tables([best, new]).sort_by([("score", "descending"), ("i", "ascending"), ("j", "ascending")]).slice(0, top).combine_chunks()
+            if best.num_rows == top:
+                least = max(least, best["score"][top - 1].as_py())
+    return best
 
 
 def _paired(points: DataFrame, top: int, side: int, pivots: int):
@@ -280,6 +308,32 @@ def _paired(points: DataFrame, top: int, side: int, pivots: int):
     return rows, cells, near, first, id_type, _grid(apart, cells, unit, farthest + SLACK, side)
 
 
+def _met_blocks(rows: DataFrame, cells: pd.DataFrame, near: pd.DataFrame, side: int) -> tuple[DataFrame, np.ndarray]:
+    """(id, embedding, cell, block, a, b) for each pair of blocks that meet, and which cells do. A block is many cells, or a part of
+    one, so a vector travels once for each other block of at most ``MEET`` sides and not for each cell that may be near."""
+    n = cells["n"].to_numpy()
+    most = max(side, min(MEET * side, MEET_BYTES // (8 * int(cells["width"].max() if len(cells) else 1)), -(-int(n.sum()) // SPREAD)))
+    parts = -(-n // most)
+    small = np.where(parts == 1, n, 0)
+    first = (np.cumsum(small) - small) // most
+    behind = np.where(parts > 1, parts, 0)
+    first = np.where(parts > 1, (first[parts == 1].max(initial=-1) + 1) + np.cumsum(behind) - behind, first)
+    meets = np.zeros((len(n), len(n)), bool)
+    meets[near["a"].to_numpy(int), near["b"].to_numpy(int)] = meets[near["b"].to_numpy(int), near["a"].to_numpy(int)] = True
+    of = np.repeat(np.arange(len(n)), parts)
+    block = np.repeat(first, parts) + np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    found = np.zeros((int(block.max(initial=-1)) + 1,) * 2, bool)
+    for k in range(len(of)):
+        found[block[k], block[meets[of[k]][of]]] = True
+    a, b = np.nonzero(np.triu(found))
+    spark, long = rows.sparkSession, lambda *x: pd.DataFrame(dict(zip(("k", "a", "b"), map(np.asarray, x)))).astype("int64")
+    dealt = F.broadcast(spark.createDataFrame(long(np.arange(len(n)), first, parts), "k long, a long, b long").select(F.col("k").alias("cell"), F.col("a").alias("first"), F.col("b").alias("n")))
+    apart = a != b
+    pairs = spark.createDataFrame(long(np.r_[a, b[apart]], np.r_[a, a[apart]], np.r_[b, b[apart]]), "k long, a long, b long").withColumnRenamed("k", "block")
+    placed = rows.join(dealt, "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("embedding", "id"), F.col("n")))
+    return placed.select("id", "embedding", "cell", "block").join(F.broadcast(pairs), "block"), meets
+
+
 def _grid(rows: DataFrame, cells: pd.DataFrame, unit: dict[int, np.ndarray], reach: float, side: int) -> DataFrame | None:
     """(id, embedding, grid): vectors by their distances to a few pivots in steps of at least four times reach, and once more in the
     step below if they lie within reach of it, so two vectors no farther apart than reach share a grid cell. None: the steps would
@@ -322,7 +376,7 @@ def _grid(rows: DataFrame, cells: pd.DataFrame, unit: dict[int, np.ndarray], rea
 
 def _in_grid(grid: DataFrame, top: int, side: int, id_type: str) -> DataFrame:
     """The top pairs of each grid cell; a large cell is dealt into parts that meet in pairs."""
-    sizes = grid.groupBy("grid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("grid").alias("_g"), F.ceil(F.col("n") / (4 * side)).alias("parts"))
+    sizes = grid.groupBy("grid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("grid").alias("_g"), F.ceil(F.col("n") / (MEET * side)).alias("parts"))
     rows = grid.join(sizes, F.col("grid") == F.col("_g")).withColumn("part", F.pmod(F.xxhash64("id", "embedding"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     rows = rows.select("id", "embedding", "grid", "part", other.alias("other")).select("id", "embedding", "grid", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part")
@@ -346,32 +400,43 @@ def similar_pairs(points: DataFrame, top: int = 5, side: int = 512, pivots: int
     Each vector goes to the cell of its nearest of ``pivots`` sampled vectors and its distance ring. A cell's parts of about ``side``
     rows are compared with themselves first, which bounds the distance of the last pair wanted. Two vectors so near have distances to
     any pivot that differ no more than that (the triangle inequality): where the bound is small, vectors meet in a grid of such
-    distances; where it is not, those cells meet that may hold a pair so near, part by part. Rows equal in id and vector count once,
+    distances; where it is not, those cells meet that may hold a pair so near, in blocks of many cells. Rows equal in id and vector count once,
     rows of one id make no pair. Vectors that are null, zero, empty or hold null or non-finite components are in no pair, nor are
     vectors of different lengths."""
     spark = points.sparkSession
-    rows, _, near, first, id_type, grid = _paired(points, top, side, pivots)
+    rows, cells, near, first, id_type, grid = _paired(points, top, side, pivots)
     if grid is not None:
         more = _in_grid(grid, top, side, id_type)
         found = spark.createDataFrame(first, more.schema).unionByName(more) if first.num_rows else more
         return found.distinct().orderBy(F.desc("score"), "i", "j").limit(top)
-    pairs = F.broadcast(spark.createDataFrame(near, "a long, b long, parts_a long, parts_b long"))  # cells squared at most
-    met = rows.drop("parts").join(pairs, F.col("cell") == F.col("a"))
-    low = F.when(F.col("a") == F.col("b"), F.col("part") + 1).otherwise(F.lit(0))
-    left = met.where(low < F.col("parts_b")).select("id", "embedding", "a", "b", F.col("part").alias("pa"), F.explode(F.sequence(low, F.col("parts_b") - 1)).alias("pb"), F.lit(0).alias("side"))
-    met = rows.drop("parts").join(pairs, F.col("cell") == F.col("b"))
-    high = F.when(F.col("a") == F.col("b"), F.col("part") - 1).otherwise(F.col("parts_a") - 1)
-    right = met.where(high >= 0).select("id", "embedding", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), high)).alias("pa"), F.col("part").alias("pb"), F.lit(1).alias("side"))
-
-    def between(t: pa.Table) -> pa.Table:
-        sides = [t.filter(pc.equal(t["side"], k)) for k in (0, 1)]
-        if not all(x.num_rows for x in sides):
-            return pa.table({"i": t["id"].slice(0, 0), "j": t["id"].slice(0, 0), "score": pa.array([], pa.float64())})
-        held = [next(iter(_matrices(x["embedding"].combine_chunks(), "cosine").values())) for x in sides]
-        ids = tuple(x["id"].combine_chunks().take(pa.array(at)) for x, (at, _) in zip(sides, held, strict=True))
-        return _top_pairs(ids, tuple(x for _, x in held), top, False)
-
-    more = left.unionByName(right).groupBy("a", "b", "pa", "pb").applyInArrow(between, f"i {id_type}, j {id_type}, score double")
+    met, meets = _met_blocks(rows, cells, near, side)
+    scores = first.column("score").to_pylist()
+    sent = spark.sparkContext.broadcast((meets, scores[-1] if len(scores) == top else -2.0))  # cells squared
+
+    def by_cell(t: pa.Table) -> list[tuple]:
+        t = t.sort_by("cell").combine_chunks()
+        cell = t["cell"].to_numpy()
+        ends = np.flatnonzero(np.r_[cell[1:] != cell[:-1], True]) + 1
+        out = []
+        for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+            ((at, x),) = _matrices(t["embedding"].slice(lo, hi - lo).combine_chunks(), "cosine").values()  # a cell has one length, sound vectors only
+            out.append((int(cell[lo]), t["id"].slice(lo, hi - lo).combine_chunks().take(pa.array(at)), x))
+        return out
+
+    def meet(t: pa.Table) -> pa.Table:
+        meets, least = sent.value
+        (a,), (b,) = pc.unique(t["a"]).to_pylist(), pc.unique(t["b"]).to_pylist()
+        left = by_cell(t if a == b else t.filter(pc.equal(t["block"], a)))
+        right = left if a == b else by_cell(t.filter(pc.equal(t["block"], b)))
+        best = pa.table({"i": t["id"].slice(0, 0), "j": t["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        for k, (c, i, x) in enumerate(left):
+            for d, j, y in right[k if a == b else 0 :]:
+                if meets[c, d] and (new := _top_pairs((i, j), (x, y), top, a == b and c == d, least)).num_rows:
+                    best = pa.concat_tables([best, new]).sort_by([("score", "descending"), ("i", "ascending"), ("j", "ascending")]).slice(0, top).combine_chunks()
+                    least = max(least, best["score"][top - 1].as_py()) if best.num_rows == top else least
+        return best
+
+    more = met.groupBy("a", "b").applyInArrow(meet, f"i {id_type}, j {id_type}, score double")
     found = spark.createDataFrame(first, more.schema).unionByName(more) if first.num_rows else more
     return found.distinct().orderBy(F.desc("score"), "i", "j").limit(top)
 
@@ -384,5 +449,5 @@ def compared_pairs(points: DataFrame, top: int = 5, side: int = 512, pivots: int
     every = sum(int(w) * (int(w) - 1) // 2 for w in cells.groupby("width")["n"].sum())
     if grid is not None:
         return own + (grid.groupBy("grid").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0), every
-    met = sum(int(n[a] * n[b]) if a != b else int(n[a] ** 2 * (1 - 1 / p) / 2) for a, b, p in zip(near["a"], near["b"], near["parts_a"], strict=True))
+    met = sum(int(n[a] * n[b]) if a != b else int(n[a] ** 2 / 2) for a, b in zip(near["a"], near["b"], strict=True))
     return own + met, every

@@ -89,6 +89,20 @@ def test_equal_vectors(spark):
     assert [(r.i, r.j, r.score) for r in got] == [(ids[0], ids[k], 1.0) for k in range(1, 6)]
 
 
+def test_pairs_meet_in_blocks_of_cells(spark):
+    """Directions without clusters: a vector travels once for each other block, not for each cell; the result is that of all pairs.
+    Pairs of one id take no place of others."""
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.normal(size=32).tolist()) for i in range(1200)]
+    rows, cells, near, *_ = se._paired(spark.createDataFrame(vectors, POINT), 5, 10, 64)
+    met, _ = se._met_blocks(rows, cells, near, 10)
+    assert len(near) > 1000 and met.count() < 10 * len(vectors) and met.groupBy("a", "b").count().agg({"count": "max"}).first()[0] <= 4 * se.MEET * 10
+    got = se.similar_pairs(spark.createDataFrame(vectors, POINT), 5, 10, 64).collect()
+    assert [(r.i, r.j, round(r.score, 6)) for r in got] == all_pairs(vectors, 5)
+    same = [(1, [1.0, 0.001 * k]) for k in range(9)] + [(2, [1.0, 0.5]), (3, [0.0, 1.0])]
+    assert [(r.i, r.j) for r in se.similar_pairs(spark.createDataFrame(same, POINT), 2).collect()] == [(1, 2), (1, 2)]
+
+
 def run(spark, tmp_path, rows, **kw):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     df.write.mode("append").parquet(str(tmp_path / "in"))
