@@ -15,18 +15,36 @@ from pyspark.sql.window import Window
 from docpipe.functions.text import keywords as extract_keywords
 
 BLOCK = 2048  # queries compared at once; up to so many are broadcast, more are dealt into blocks of about so many
-POINTS = 8192  # points that a task compares with a block of queries at once
+POINTS = 16_384  # points that a task compares with a block of queries at once
 SCORES, TILE = 1 << 21, 2048  # scores that a task holds at once, and the sides of a square tile of them
+TEXTS = 256  # texts whose keywords are held at once
 KEYWORDS = 200_000  # keywords of one automaton; more come in blocks, each a pass over the texts
 _MACHINES: dict[str, object] = {}
 
 
-def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "dot":
-        return q @ x.T
+def _first(q: np.ndarray, x: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, score) of the k best rows of x for each of q, of equal scores those that stand first in x. A matrix
+    product tells what can't be among them, the rest is scored pair by pair."""
+    qq, xx = (q * q).sum(1), (x * x).sum(1)
+    s = q @ x.T
     if metric == "cosine":
-        return (q @ x.T) / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((x * x).sum(1))[None, :]
-    return -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T))
+        s /= np.sqrt(qq)[:, None]
+        s /= np.sqrt(xx)[None, :]
+        slack = np.full(len(q), 1e-12)
+    elif metric == "dot":
+        slack = 1e-12 * np.sqrt(qq * xx.max())
+    else:  # the squares stand for the distances
+        s *= 2
+        s -= xx[None, :]
+        slack = 1e-12 * (qq + xx.max())
+    keep = s.shape[1] - min(k, s.shape[1])
+    last = np.partition(s, keep, axis=1)[:, keep]
+    r, c = np.nonzero(s >= (last - np.where(np.isfinite(slack), slack, 0))[:, None])
+    score = _pairs_scored(q, x, r, c, metric)
+    order = np.lexsort((c, score if metric == "euclid" else -score, r))
+    r = r[order]
+    kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[kept], c[order][kept], score[order][kept]
 
 
 def _matrices(vectors: pa.Array, metric: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -49,21 +67,20 @@ def _matrices(vectors: pa.Array, metric: str) -> dict[int, tuple[np.ndarray, np.
 
 
 def _best(queries: pa.RecordBatch, held: dict, points, k: int, metric: str):
-    """Record batches (query_id, id, score): the k best points of each query, and all that tie with the last of them."""
+    """Record batches (query_id, id, score): the k best of each ``POINTS`` points for each query, ties by id."""
     for at in range(0, points.num_rows, POINTS):
         p = points.slice(at, POINTS)
+        p = p.take(pc.sort_indices(p.column("id"), null_placement="at_start"))
         column = p.column("embedding")
         for n, (rows, x) in _matrices(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, metric).items():
             if n not in held:
                 continue
             ids, q = held[n]
-            s = _scores(q, x, metric)
-            keep = min(k, s.shape[1])
-            last = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
-            r, c = np.nonzero(s >= last[:, None])  # ties at the edge stay, the rank settles them
-            score = s[r, c] if metric != "euclid" else -s[r, c]
-            cols = queries.column("query_id").take(pa.array(ids[r])), p.column("id").take(pa.array(rows[c])), pa.array(score)
-            yield pa.record_batch([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cols], names=["query_id", "id", "score"])
+            step = max(1, SCORES // len(x))
+            for lo in range(0, len(q), step):
+                r, c, score = _first(q[lo : lo + step], x, k, metric)
+                cols = queries.column("query_id").take(pa.array(ids[r + lo])), p.column("id").take(pa.array(rows[c])), pa.array(score)
+                yield pa.record_batch([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cols], names=["query_id", "id", "score"])
 
 
 def ranked(scores: DataFrame, k: int, best_first: bool = True) -> DataFrame:
@@ -75,7 +92,7 @@ def ranked(scores: DataFrame, k: int, best_first: bool = True) -> DataFrame:
 def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | None = None) -> DataFrame:
     """Exact search. points (id, embedding), queries (query_id, embedding); the filter goes to the scan.
 
-    Each task keeps its own k best per query and ``POINTS`` points, so the shuffle carries k rows of these. Up to ``BLOCK`` queries
+    Each task keeps its own k best per query and ``POINTS`` points, so the shuffle carries k rows of these, and holds ``SCORES`` scores at a time. Up to ``BLOCK`` queries
     are broadcast. More are dealt, as points are, and each block of queries meets each block of points in a task; a point then
     travels once for a block of queries, far less than comparing them costs, and points are scanned once. Vectors that are null or
     empty or hold null or non-finite components match nothing, vectors of different lengths not each other, and a zero vector has
@@ -97,7 +114,7 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", w
 
         found = points.mapInArrow(score, schema)
     else:
-        n_q, n_p = (max(1, -(-df.count() // most)) for df, most in ((queries, BLOCK), (points, POINTS)))
+        n_q, n_p = (max(1, -(-df.count() // most)) for df, most in ((queries, 4 * BLOCK), (points, POINTS)))
         dealt = lambda df, n, m, mine, other: df.withColumn(mine, F.monotonically_increasing_id() % n).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
         def meet(q: pa.Table, p: pa.Table) -> pa.Table:
@@ -135,7 +152,7 @@ def keyword_hits(points: DataFrame, words: DataFrame) -> DataFrame:
                     machine.add_word(w, w)
                 machine.make_automaton()
             machine = _MACHINES[key]
-            for b in batches:
+            for b in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
                 got = [{w for _, w in machine.iter(t)} if len(machine) and t else set() for t in b.column(1).to_pylist()]
                 at = np.repeat(np.arange(len(got)), [len(g) for g in got])
                 yield pa.record_batch({"id": b.column(0).take(pa.array(at)), "kw": pa.array([w for g in got for w in g], pa.string())})

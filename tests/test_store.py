@@ -1,6 +1,7 @@
 """Search and the points table: odd vectors, dealt queries, pruned pairs, documents that are replaced and deleted."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docpipe.operators import search as se
@@ -103,6 +104,24 @@ def test_pairs_meet_in_blocks_of_cells(spark):
     assert [(r.i, r.j) for r in se.similar_pairs(spark.createDataFrame(same, POINT), 2).collect()] == [(1, 2), (1, 2)]
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclid"])
+def test_scores_are_held_in_tiles(spark, monkeypatch, metric):
+    """Few scores are held at once, and equal vectors rank by their ids wherever they stand."""
+    seen = []
+    first = se._first
+    monkeypatch.setattr(se, "SCORES", 64)
+    monkeypatch.setattr(se, "_first", lambda q, x, k, m: (seen.append(len(q) * len(x)), first(q, x, k, m))[1])
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(5, 33))
+    points = pa.record_batch({"id": pa.array(np.arange(60)[::-1]), "embedding": pa.array([base[i % 5].tolist() for i in range(60)])})
+    queries = pa.record_batch({"query_id": pa.array(range(40)), "embedding": pa.array(rng.normal(size=(40, 33)).tolist())})
+    got = pa.Table.from_batches(se._best(queries, se._matrices(queries["embedding"], metric), points, 3, metric)).to_pylist()
+    assert max(seen) <= 64 and len(got) == 40 * 3
+    for q in range(40):
+        mine = [r for r in got if r["query_id"] == q]
+        assert len({r["score"] for r in mine}) == 1 and len({r["id"] % 5 for r in mine}) == 1 and sorted(r["id"] for r in mine)[-1] < 15
+
+
 def run(spark, tmp_path, rows, **kw):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     df.write.mode("append").parquet(str(tmp_path / "in"))
