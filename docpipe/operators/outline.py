@@ -38,14 +38,15 @@ def too_deep(nodes: DataFrame, most: int = MAX_LEVELS) -> DataFrame:
     return nodes.where(F.col("lvl") >= most).select("doc", F.lit("level too deep").alias("reason"), F.concat_ws(":", F.col("st").cast("string"), F.col("en").cast("string"), F.col("lvl").cast("string")).alias("detail"))
 
 
-def attach_outline(blocks: DataFrame, toc: DataFrame) -> DataFrame:
-    """Paragraphs (doc, seq, pid, text) with interval and level: of the contents row that starts there, else [pid, pid] one level below the last match."""
+def attach_outline(blocks: DataFrame, toc: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """Paragraphs (doc, seq, pid, text) with interval and level: of the contents row that starts there, else [pid, pid] one level below the last match.
+    also: further columns of the paragraphs that stay."""
     t = toc.select("doc", F.col("st").alias("pid"), "en", "caption", "unit", "lvl")
     w = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     out = blocks.join(t, ["doc", "pid"], "left")
     under = F.coalesce(F.last("lvl", True).over(w), F.lit(0)) + 1
     return out.withColumn("lvl", F.coalesce("lvl", under)).select(
-        "doc", "seq", F.col("pid").alias("st"), F.coalesce("en", "pid").alias("en"), "lvl", "caption", F.coalesce("unit", F.lit("paragraph")).alias("unit"), "text"
+        "doc", "seq", F.col("pid").alias("st"), F.coalesce("en", "pid").alias("en"), "lvl", "caption", F.coalesce("unit", F.lit("paragraph")).alias("unit"), "text", *(also or [])
     )
 
 

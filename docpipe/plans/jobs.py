@@ -21,7 +21,7 @@ def placed_paragraphs(blocks: DataFrame, contents: DataFrame) -> DataFrame:
     """(doc, seq, st, en, lvl, caption, unit, text, links): numbered paragraphs of documents whose contents can be read, in their outline."""
     failed = ol.failed_documents(contents).select("doc")
     paragraphs = hr.numbered_paragraphs(blocks).join(failed, "doc", "left_anti")
-    return ol.attach_outline(paragraphs, ol.toc_intervals(contents)).join(paragraphs.select("doc", "seq", "links"), ["doc", "seq"])
+    return ol.attach_outline(paragraphs, ol.toc_intervals(contents), ["links"])
 
 
 def outline_nodes(blocks: DataFrame, contents: DataFrame, levels: int = ol.MAX_LEVELS) -> DataFrame:
