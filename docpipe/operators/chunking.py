@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,8 +35,12 @@ ABBREVIATIONS = (
     "т.д.", "т.п.", "т.е.", "т.к.", "т.н.", "т.о.", "др.", "проф.", "акад.", "стр.", "рис.", "гл.", "e.g.", "i.e.", "etc.", "vs.",
     "Mr.", "Mrs.", "Dr.", "Prof.", "Inc.", "Ltd.", "Corp.", "Co.", "табл.", "разд.", "п.", "с.",
 )
+ENDS = frozenset(m[-1] for marks, _ in BOUNDARIES for m in marks)
 PLAIN_MARKS, PLAIN_ABBREVIATIONS = ".;:!?)]}", ("т.д.", "т.п.")
 
+HELD = 1 << 20  # characters that are held at once of what goes on as an Arrow batch
+ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
 TOKEN = re.compile(r"\s+|\w+|[^\w\s]+?")
 
 
@@ -71,10 +77,12 @@ def token_cut(tokens: list[str], start: int, end: int, most: int) -> int:
     text = "".join(tokens[start:end])
     place = len(text) - len(tokens[end - 1])
     for i in range(end - 1, start + most * 4 // 5 - 1, -1):
-        head = text[:place]
+        if text[place - 1 : place] not in ENDS:  # no mark ends here
+            place -= len(tokens[i - 1])
+            continue
         for marks, priority in BOUNDARIES:
-            mark = next((m for m in marks if head.endswith(m)), None)
-            if mark and (priority < 3 or _ends_sentence(head[-40:], mark)):
+            mark = next((m for m in marks if text.endswith(m, 0, place)), None)
+            if mark and (priority < 3 or _ends_sentence(text[max(0, place - 40) : place], mark)):
                 if priority >= 3:
                     return i
                 if priority > best:
@@ -111,8 +119,7 @@ def plain_windows_of(text: str, tokenizer: Callable = regex_tokens, most: int =
         end = min(start + most, len(tokens))
         if end < len(tokens):
             for i in range(end - 1, start + most // 2, -1):
-                pair, context = tokens[i - 1] + tokens[i], "".join(tokens[max(0, i - 3) : i + 1])
-                if pair[-1] in PLAIN_MARKS and not context.endswith(PLAIN_ABBREVIATIONS):
+                if (tokens[i] or tokens[i - 1])[-1] in PLAIN_MARKS and not "".join(tokens[max(0, i - 3) : i + 1]).endswith(PLAIN_ABBREVIATIONS):
                     end = i
                     break
         out.append((len(out), "".join(tokens[start:end]), end - start, start, end))
@@ -125,27 +132,82 @@ def plain_windows_of(text: str, tokenizer: Callable = regex_tokens, most: int =
 WINDOW = "chunk_index int, content string, token_count int, start_token int, end_token int"
 
 
-def exploded(df: DataFrame, text: str, cut: Callable[[str], list[tuple]], schema: str) -> DataFrame:
-    """df, one row per piece that cut gives for its text (null: empty); columns that bear a piece's name are replaced."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    kept = [c for c in df.columns if c not in names]
+def exploded(df: DataFrame, text: str, cut: Callable[[str], list[tuple]], schema: str, keep: list[str] | None = None) -> DataFrame:
+    """df, one row per piece that cut gives for its text (null: empty); columns that bear a piece's name are replaced. keep: the
+    columns of df that stand beside the pieces, all if not given; a text that is kept goes on once a piece."""
+    made = {x.split()[0]: ARROW[x.split()[1]] for x in schema.split(", ")}
+    kept = [c for c in (df.columns if keep is None else keep) if c not in made]
+    wide = [c for c in kept if df.schema[c].dataType.simpleString() in ("string", "binary")]
 
     def run(batches):
         for b in batches:
-            rows = [(i, *piece) for i, t in enumerate(b[text]) for piece in cut(t or "")]
-            out = pd.DataFrame(rows, columns=["_i", *names])
-            yield pd.concat([b[kept].iloc[out["_i"]].reset_index(drop=True), out.drop(columns="_i")], axis=1)
+            texts, own, at, rows, held = b.column(text), [b.column(c) for c in kept], [], [], 0
+            beside = sum((pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(int) for c in wide), np.zeros(b.num_rows, int)).tolist()
+
+            def batch():
+                cols = zip(*rows, strict=True) if rows else [[]] * len(made)
+                i = pa.array(at, pa.int64())
+                return pa.record_batch([*(c.take(i) for c in own), *(pa.array(c, t) for c, t in zip(cols, made.values(), strict=True))], names=[*kept, *made])
+
+            for i in range(b.num_rows):
+                for piece in cut(texts[i].as_py() or ""):
+                    at.append(i)
+                    rows.append(piece)
+                    held += beside[i] + sum(len(x) for x in piece if isinstance(x, str)) + 64
+                    if held >= HELD:
+                        yield batch()
+                        at, rows, held = [], [], 0
+            yield batch()
+
+    columns = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
+    given = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])])
+    return given.mapInArrow(run, f"{columns}, {schema}" if kept else schema)
+
+
+def folded(fold: Callable[[list[tuple]], list[tuple]], made: dict[str, pa.DataType]) -> Callable:
+    """A sweep over rows (doc, ...) sorted by doc: what fold makes of the rows (without doc) of each. A task holds one document."""
 
-    own = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return df.mapInPandas(run, f"{own}, {schema}")
+    def run(batches):
+        docs, out, kind, held, now, rows = [], [], None, 0, None, []
+
+        def end():
+            nonlocal held
+            got = fold(rows)
+            docs.extend([now] * len(got))
+            out.extend(got)
+            held += sum(len(x) for r in got for x in r if isinstance(x, str)) + 64 * len(got)
+
+        def batch():
+            cols = zip(*out, strict=True) if out else [[]] * len(made)
+            return pa.record_batch([pa.array(docs, kind), *(pa.array(c, t) for c, t in zip(cols, made.values(), strict=True))], names=["doc", *made])
 
+        for whole in batches:
+            kind = whole.schema.field("doc").type
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                for doc, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if rows and doc != now:
+                        end()
+                        rows = []
+                        if held >= HELD:
+                            yield batch()
+                            docs, out, held = [], [], 0
+                    now = doc
+                    rows.append(tuple(row))
+        if rows:
+            end()
+        if kind is not None:
+            yield batch()
 
-def token_windows(df: DataFrame, text: str, tokenizer: Callable = regex_tokens, most: int = 8192, overlap: int | None = None) -> DataFrame:
-    return exploded(df, text, lambda t: token_windows_of(t, tokenizer, most, overlap), WINDOW + ", total_chunks int")
+    return run
 
 
-def plain_windows(df: DataFrame, text: str, tokenizer: Callable = regex_tokens, most: int = 512, overlap: int = 50) -> DataFrame:
-    return exploded(df, text, lambda t: plain_windows_of(t, tokenizer, most, overlap), WINDOW)
+def token_windows(df: DataFrame, text: str, tokenizer: Callable = regex_tokens, most: int = 8192, overlap: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    return exploded(df, text, lambda t: token_windows_of(t, tokenizer, most, overlap), WINDOW + ", total_chunks int", keep)
+
+
+def plain_windows(df: DataFrame, text: str, tokenizer: Callable = regex_tokens, most: int = 512, overlap: int = 50, keep: list[str] | None = None) -> DataFrame:
+    return exploded(df, text, lambda t: plain_windows_of(t, tokenizer, most, overlap), WINDOW, keep)
 
 
 def char_windows_of(text: str, size: int = 512, overlap: int = 50, emit_tail: bool = True, blank_line: bool = True) -> list[tuple]:
@@ -210,9 +272,7 @@ def chunk_sections(sections: DataFrame, by_paragraphs: bool = True, size: int =
 def semantic_chunks(sections: DataFrame, tokenizer: Callable = regex_tokens, most: int = 512, overlap: int = 50) -> DataFrame:
     """Sections (doc, section_index, heading, content, section_type) of each document joined until the budget is passed or a
     heading or paragraph section begins; every closed chunk but the first is led by the last tokens of the one before."""
-    schema = "doc string, chunk_index int, content string, token_count int, tags array<string>, total_chunks int"
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows):
         chunks: list[list] = []
         held, kinds = "", []
 
@@ -223,13 +283,14 @@ def semantic_chunks(sections: DataFrame, tokenizer: Callable = regex_tokens, mos
                 chunks.append(["".join(lead) + held, ["legal_document", *dict.fromkeys(kinds)]])
             held, kinds = "", []
 
-        for r in p.sort_values("section_index").itertuples():
-            body = "\n".join(x for x in (r.heading, r.content) if x)
-            if held and (len(tokenizer(held)) + len(tokenizer(body)) > most or r.section_type in ("Header", "Paragraph")):
+        for _, heading, content, kind in rows:
+            body = "\n".join(x for x in (heading, content) if x)
+            if held and (kind in ("Header", "Paragraph") or len(tokenizer(held)) + len(tokenizer(body)) > most):
                 close(False)
-            held, kinds = f"{held}\n\n{body}" if held else body, [*kinds, r.section_type]
+            held, kinds = f"{held}\n\n{body}" if held else body, [*kinds, kind]
         close(True)
-        rows = [(str(p["doc"].iloc[0]), i, c, len(tokenizer(c)), t, len(chunks)) for i, (c, t) in enumerate(chunks)]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+        return [(i, c, len(tokenizer(c)), t, len(chunks)) for i, (c, t) in enumerate(chunks)]
 
-    return sections.groupBy("doc").applyInPandas(fold, schema)
+    schema = "chunk_index int, content string, token_count int, tags array<string>, total_chunks int"
+    dealt = sections.select(F.col("doc").cast("string").alias("doc"), "section_index", "heading", "content", "section_type").repartition("doc").sortWithinPartitions("doc", "section_index")
+    return dealt.mapInArrow(folded(fold, {x.split()[0]: ARROW[x.split()[1]] for x in schema.split(", ")}), f"doc string, {schema}")

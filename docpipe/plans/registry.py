@@ -357,13 +357,13 @@ def c1(spark, d):
 
 @query("c2_c4_token_windows")
 def c2(spark, d):
-    out = ch.token_windows(table(spark, d, "documents").select("doc_id", "text"), "text", most=256, overlap=25)
+    out = ch.token_windows(table(spark, d, "documents").select("doc_id", "text"), "text", most=256, overlap=25, keep=["doc_id"])
     return out.select("doc_id", "chunk_index", "token_count", "start_token", "end_token", "total_chunks", F.md5("content").alias("content_md5"))
 
 
 @query("c5_plain_windows")
 def c5(spark, d):
-    out = ch.plain_windows(table(spark, d, "documents").select("doc_id", "text"), "text", most=256, overlap=25)
+    out = ch.plain_windows(table(spark, d, "documents").select("doc_id", "text"), "text", most=256, overlap=25, keep=["doc_id"])
     return out.select("doc_id", "chunk_index", "token_count", "start_token", "end_token", F.md5("content").alias("content_md5"))
 
 
