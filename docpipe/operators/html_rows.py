@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunking import folded
 from .records import carry_last, section_type, text_paragraphs
 
 # What is noise, what the marks for upper and lower digits are, and the block elements that end a paragraph.
@@ -16,6 +17,8 @@ MARKS = {"w9": "^", "w8": "_"}
 BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SCHEMA = "seq int, tag string, elem_id string, classes array<string>, text string, clean_text string, links array<string>"
+ARROW = {"seq": pa.int32(), "tag": pa.string(), "elem_id": pa.string(), "classes": pa.list_(pa.string()), "text": pa.string(), "clean_text": pa.string(), "links": pa.list_(pa.string()), "found_root": pa.bool_()}
+HELD = 1 << 20  # characters of pages whose rows are held at once
 
 
 class _Rows(HTMLParser):
@@ -98,17 +101,23 @@ def html_rows(pages: DataFrame, doc: str, html: str, root_id: str | None = None,
 
     def run(batches):
         for b in batches:
-            out = []
-            for key, page in zip(b["doc"], b["html"], strict=True):
+            html, out, at, held = b.column("html"), [], [], 0
+            for i in range(b.num_rows):
+                page = html[i].as_py()
                 rows = parse_page(page, root_id, drop)
                 if rows is None:
-                    out.append((key, 0, None, None, None, None, None, None, False))
+                    out.append((0, None, None, None, None, None, None, False))
                 for r in rows or []:
-                    out.append((key, *r[:5], converter(r[5]) if converter else r[5], r[6], True))
-            yield pd.DataFrame(out, columns=["doc", "seq", "tag", "elem_id", "classes", "text", "clean_text", "links", "found_root"])
+                    out.append((*r[:5], converter(r[5]) if converter else r[5], r[6], True))
+                at += [i] * (len(out) - len(at))
+                held += len(page)
+                if held >= HELD or i == b.num_rows - 1:
+                    cols = zip(*out, strict=True) if out else [[]] * len(ARROW)
+                    yield pa.record_batch([b.column("doc").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, ARROW.values(), strict=True))], names=["doc", *ARROW])
+                    out, at, held = [], [], 0
 
     kind = pages.schema[doc].dataType.simpleString()
-    return pages.select(F.col(doc).alias("doc"), F.coalesce(html, F.lit("")).alias("html")).mapInPandas(run, f"doc {kind}, {SCHEMA}, found_root boolean")
+    return pages.select(F.col(doc).alias("doc"), F.coalesce(html, F.lit("")).alias("html")).mapInArrow(run, f"doc {kind}, {SCHEMA}, found_root boolean")
 
 
 def scrub_attributes(html: Column) -> Column:
@@ -160,21 +169,21 @@ def plain_text(blocks: DataFrame) -> DataFrame:
 
 def group_sections(blocks: DataFrame, min_bytes: int = 100) -> DataFrame:
     """(doc, section_index, heading, level, content, section_type): classed elements begin sections once there is content; small ones of one kind are merged."""
-    typed = blocks.withColumn("kind", section_type(F.col("classes")))
+    typed = blocks.select("doc", "seq", "text", section_type(F.col("classes")).alias("kind"))
     kind = typed.schema["doc"].dataType.simpleString()
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows):
         got: list[list] = []
         now = ["", "", "Paragraph"]
-        for r in p.sort_values("seq").itertuples():
-            text = (r.text or "").strip()
+        for _, text, kind in rows:
+            text = (text or "").strip()
             if not text:
                 continue
-            if r.kind != "Paragraph":
+            if kind != "Paragraph":
                 if now[1].strip():
                     got.append(now)
-                    now = ["", "", r.kind]
-                    if r.kind == "Header":
+                    now = ["", "", kind]
+                    if kind == "Header":
                         now[0] = text
                         continue
                     now[1] = text
@@ -188,10 +197,11 @@ def group_sections(blocks: DataFrame, min_bytes: int = 100) -> DataFrame:
                 merged[-1][1] += "\n\n" + s[1]
             else:
                 merged.append(s)
-        doc = p["doc"].iloc[0]
-        return pd.DataFrame([(doc, i, h, 1, c, k) for i, (h, c, k) in enumerate(merged)], columns=["doc", "section_index", "heading", "level", "content", "section_type"])
+        return [(i, h, 1, c, k) for i, (h, c, k) in enumerate(merged)]
 
-    return typed.groupBy("doc").applyInPandas(fold, f"doc {kind}, section_index int, heading string, level int, content string, section_type string")
+    made = {"section_index": pa.int32(), "heading": pa.string(), "level": pa.int32(), "content": pa.string(), "section_type": pa.string()}
+    dealt = typed.repartition("doc").sortWithinPartitions("doc", "seq")
+    return dealt.mapInArrow(folded(fold, made), f"doc {kind}, section_index int, heading string, level int, content string, section_type string")
 
 
 def numbered_paragraphs(blocks: DataFrame) -> DataFrame:
