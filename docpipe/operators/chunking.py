@@ -35,7 +35,7 @@ ABBREVIATIONS = (
     "т.д.", "т.п.", "т.е.", "т.к.", "т.н.", "т.о.", "др.", "проф.", "акад.", "стр.", "рис.", "гл.", "e.g.", "i.e.", "etc.", "vs.",
     "Mr.", "Mrs.", "Dr.", "Prof.", "Inc.", "Ltd.", "Corp.", "Co.", "табл.", "разд.", "п.", "с.",
 )
-ENDS = frozenset(m[-1] for marks, _ in BOUNDARIES for m in marks)
+BY_END = {c: [(held, n) for marks, n in BOUNDARIES if (held := tuple(m for m in marks if m[-1] == c))] for c in {m[-1] for marks, _ in BOUNDARIES for m in marks}}  # last character: marks
 PLAIN_MARKS, PLAIN_ABBREVIATIONS = ".;:!?)]}", ("т.д.", "т.п.")
 
 HELD = 1 << 20  # characters that are held at once of what goes on as an Arrow batch
@@ -77,16 +77,14 @@ def token_cut(tokens: list[str], start: int, end: int, most: int) -> int:
     text = "".join(tokens[start:end])
     place = len(text) - len(tokens[end - 1])
     for i in range(end - 1, start + most * 4 // 5 - 1, -1):
-        if text[place - 1 : place] not in ENDS:  # no mark ends here
-            place -= len(tokens[i - 1])
-            continue
-        for marks, priority in BOUNDARIES:
-            mark = next((m for m in marks if text.endswith(m, 0, place)), None)
-            if mark and (priority < 3 or _ends_sentence(text[max(0, place - 40) : place], mark)):
-                if priority >= 3:
+        for marks, priority in BY_END.get(text[place - 1 : place], ()):
+            if not text.endswith(marks, 0, place):
+                continue
+            if priority >= 3:
+                if _ends_sentence(text[max(0, place - 40) : place], next(m for m in marks if text.endswith(m, 0, place))):
                     return i
-                if priority > best:
-                    best, found = priority, i
+            elif priority > best:
+                best, found = priority, i
         place -= len(tokens[i - 1])
     if best >= 0 and found >= start + most // 3:
         return found
