@@ -29,6 +29,7 @@ from docpipe.operators.html_rows import BLOCKS, VOID
 # What opens a level-0 section, what is no text, how tables and code are marked, the heading of a page without
 # sections, words read in a minute, bytes a token has, tokens a chunk of a section holds.
 SECTIONS, SECTION_CLASSES = ("section", "article"), ("section", "chapter")
+ROWS = 256  # pages, or sections, that are held at once
 NO_TEXT = ("script", "style", "template")
 TABLE, CODE = ("[TABLE]\n", "\n[/TABLE]"), ("[CODE lang=", "]\n", "\n[/CODE]")
 WHOLE_PAGE, WORDS_A_MINUTE, BYTES_A_TOKEN, SECTION_TOKENS = "Document", 200, 4, 2000
@@ -250,7 +251,7 @@ def structure_rows(pages: DataFrame, doc: str, html: str) -> DataFrame:
     schema = pa.schema([(n, kinds[k]) for n, k in FIELDS])
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             for i, page in enumerate(b.column("html").to_pylist()):
                 if rows := parse_structure(page):
                     made = pa.RecordBatch.from_pylist(rows, schema)
@@ -371,7 +372,7 @@ def section_chunks(found: DataFrame, tokens: int = SECTION_TOKENS) -> DataFrame:
     most = tokens * BYTES_A_TOKEN
 
     def cut(batches):
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             pieces = [split_section_of(t or "", most) for t in b.column("content").to_pylist()]
             at = pa.array([i for i, p in enumerate(pieces) for _ in p], pa.int64())
             kept = b.drop_columns(["content"]).take(at)

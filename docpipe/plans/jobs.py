@@ -76,9 +76,15 @@ def section_points(sections: DataFrame, dim: int = 64, encoder=None, by_paragrap
     return checked_size(encode(to_points(led), "embedding_text", encoder, batch_size), dim)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """rows, made now and read from the checkpoint folder wherever they are used."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+
+
 def structure_chunks(pages: DataFrame, tokens: int = ps.SECTION_TOKENS) -> DataFrame:
-    """Pages (doc, html) to chunks of their sections with the path of headings, and the page's title and language."""
-    rows = ps.structure_rows(pages, "doc", "html")
-    chunks = ps.section_chunks(ps.sections(rows), tokens)
+    """Pages (doc, html) to chunks of their sections with the path of headings, and the page's title and language. Pages are parsed once,
+    their rows and then the sections stand in spark.checkpoint.dir; where that is unset, each use parses them again."""
+    rows = _once(ps.structure_rows(pages, "doc", "html"))
+    chunks = ps.section_chunks(_once(ps.sections(rows)), tokens)
     heads = ps.page_titles(rows).join(ps.page_metadata(rows).select("doc", "language", "tags", "reading_minutes"), "doc")
     return chunks.join(heads, "doc", "left")

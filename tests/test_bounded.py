@@ -56,3 +56,14 @@ def test_pages_are_parsed_once(spark):
     placed = jobs.placed_paragraphs(hr.html_rows(pages, "doc", "html"), contents)
     assert placed._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert [(r.text, r.links) for r in placed.collect()] == [("a b", None)]
+
+
+def test_structure_is_parsed_once(spark, tmp_path):
+    """Where there is a checkpoint folder, what follows the parser reads its rows from there."""
+    pages = spark.createDataFrame([(i, f"<title>T{i}</title><h1>A</h1><p>one</p><h2>B</h2><p>two</p>") for i in range(5)], "doc int, html string")
+    before = sorted(jobs.structure_chunks(pages).drop("tags").collect())
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    out = jobs.structure_chunks(pages)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and len(list(tmp_path.glob("*/rdd-*"))) == 2  # the cut of sections alone
+    assert sorted(out.drop("tags").collect()) == before and len(before) == 10
