@@ -102,3 +102,8 @@ def test_structure_job(spark):
     html = "<h1>A</h1>a<h3>B$</h3>b<h2>C</h2>c<h1>D</h1>d"
     out = jobs.structure_chunks(spark.createDataFrame([(1, html)], "doc int, html string")).orderBy("section_index").collect()
     assert [(r.path, r.hierarchy_level) for r in out] == [("A", 0), ("A->B", 1), ("A->C", 1), ("D", 0)]
+
+
+def test_headings_cut_in_a_reference(spark):
+    """A heading cut behind &quot or &amp: HTML reads both without their semicolon, also before a tag; &quo is text."""
+    assert found(spark, "<h1>x &amp y = &quot</h1>a<h2>&quo</h2>b") == [('x & y = "', 1, "h1", "a"), ("&quo", 2, "h2", "b")]
