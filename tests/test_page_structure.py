@@ -107,3 +107,9 @@ def test_structure_job(spark):
 def test_headings_cut_in_a_reference(spark):
     """A heading cut behind &quot or &amp: HTML reads both without their semicolon, also before a tag; &quo is text."""
     assert found(spark, "<h1>x &amp y = &quot</h1>a<h2>&quo</h2>b") == [('x & y = "', 1, "h1", "a"), ("&quo", 2, "h2", "b")]
+
+
+def test_titles_cut_in_a_reference(spark):
+    """As for headings, in the title element and in an h1 that stands for it."""
+    got = ps.page_titles(rows_of(spark, "<title>x &amp y = &quot</title>", "<title> </title><h1>x = &quot</h1>", "<title>&quo</title>")).orderBy("doc").collect()
+    assert [r.title for r in got] == ['x & y = "', 'x = "', "&quo"]
