@@ -6,6 +6,7 @@ from itertools import combinations
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,44 @@ def test_embeddings_dense_group(spark, monkeypatch, leaf):
     assert sum(got[i] for i in range(len(x))) >= 0.98 * near.sum()
 
 
+def test_embeddings_group_of_the_table(spark, monkeypatch):
+    """A group of a hundredth of all vectors is taken out before the trees, so no leaf is split for it again and again; chains that
+    lead out of it stay linked, copies count as often as they stand."""
+    monkeypatch.setattr(embedding_dedup, "_split", lambda *a: pytest.fail("a leaf was split"))
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.standard_normal((12000, 32)), rng.standard_normal(32) + 0.27 * rng.standard_normal((150, 32)), rng.standard_normal((40, 32)).repeat(3, 0)])
+    x[200:240] = x[12000:12040] + 0.3 * rng.standard_normal((40, 32))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_components(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert got == {i: (near[i].sum(), c) for i, c in groups(np.argwhere(near).tolist(), range(len(x))).items()}
+
+
+def test_embeddings_at_the_limit(spark):
+    """Cosines a billionth above and below 0.9, vectors of four and of eight bytes a component: told apart in double precision."""
+    rows, want = [], {}
+    for k in range(40):
+        axis = np.eye(90)[2 * k : 2 * k + 2]
+        for side, cos in ((1, 0.9 + 1e-9), (-1, 0.9 - 1e-9)):
+            rows.append((len(rows), (cos * axis[0] + side * np.sqrt(1 - cos * cos) * axis[1]).tolist()))
+            want[len(rows) - 1] = side > 0
+        rows.append((len(rows), axis[0].tolist()))
+        want[len(rows) - 1] = 1
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("m", [40, 400])
+def test_shared_numbers(m):
+    """Few pairs are told by comparing lists, many by products."""
+    rng = np.random.default_rng(m)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(0, 9))) for _ in range(m)]
+    r, q = np.triu_indices(m, 1) if m == 40 else rng.integers(0, m, (2, 20))
+    got = embedding_dedup._shared(pa.array([s.tolist() for s in sets], pa.list_(pa.int64())), 25, r, q)
+    assert got.tolist() == [len({v for v in sets[a] if v < 25} & set(sets[b])) for a, b in zip(r, q, strict=True)]
+
+
 def test_urls(spark):
     urls = ["https://www.Example.org/es/x?q#f", "http://example.org/en/17", "http://org/", "http://a.com/fr/1", "http://xcom/fr/", None, "no url", "ftp://example.org", "http://example.org./es/", "http://a.com/it/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string")
